@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graph"]
+MODULES = ["graph", "walk", "records", "vectors"]
 
 for _name in MODULES:
     importlib.import_module(f"catalog.{_name}")

@@ -18,38 +18,25 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
-HOT_ROWS = 1_000_000
+SALTS = 8
 SEGMENT_ROWS = 65_536
 
 
 def join_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", parts: int = SALTS
 ) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``on``), splitting keys that repeat on the left.
+    """Join ``left`` to a narrower ``right``, with every key of the left cut into ``parts``.
 
-    A key with n rows on the left is cut into ceil(n / hot_rows) parts; only the
-    matching lookup row is copied to each part. The list of such keys has at most
-    rows(left) / hot_rows entries, which is what makes broadcasting it safe.
+    The rows of one key on the left are dealt out by a hash of the whole row and the
+    matching rows on the right are copied to each part, so a key that holds a third
+    of the left side is worked on by ``parts`` tasks instead of one. What is still
+    uneven after that is split again at run time by adaptive skew-join handling.
+    The plan reads each side once, so these joins can be nested.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__fan"))
-    )
-    parts = F.coalesce(F.col("__fan"), F.lit(1))
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(
-        "__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")
-    )
-    copied = right.join(F.broadcast(hot), on, "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    return spread.drop("__fan").join(copied.drop("__fan"), [*on, "__salt"], how).drop("__salt")
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(parts)).cast("int"))
+    copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx", start: int = 0) -> DataFrame:

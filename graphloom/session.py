@@ -30,6 +30,7 @@ def local_session(app: str, cores: int | str = "*", memory: str = "8g", partitio
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
