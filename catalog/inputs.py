@@ -78,18 +78,15 @@ DERIVED = {
     # Questions: every user turn.
     "fx_questions": """
         SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user'""",
-    # Questions about parts, one per order priority, part name and question form.
+    # Questions about parts; the question is its own id.
     "fx_part_questions": """
-        SELECT DISTINCT concat(p_name, '/', p_brand) AS qid,
-               concat(CASE WHEN p_size <= 10 THEN 'What is the ' WHEN p_size <= 20 THEN 'Compare the '
-                           WHEN p_size <= 30 THEN 'Please explain the ' WHEN p_size <= 40 THEN 'Tell me why the '
-                           ELSE 'Does any company develop ' END,
-                      p_name, ' of ', p_brand, ' in an AI system') AS question
-        FROM part""",
-    # Document text with headings: a '#', '##' or '###' line before every fifth line.
-    "fx_headed": """
-        SELECT doc_id, text, lang, source FROM documents""",
-    # Vectors asked for: the mean vector of each label.
+        SELECT question AS qid, question FROM (
+        SELECT DISTINCT concat(CASE WHEN p_size <= 10 THEN 'What is the ' WHEN p_size <= 20 THEN 'Compare the '
+                                    WHEN p_size <= 30 THEN 'Please explain the ' WHEN p_size <= 40 THEN 'Tell me why the '
+                                    ELSE 'Does any company develop ' END,
+                               p_name, ' of ', p_brand, ' in an AI system') AS question
+        FROM part) t""",
+    # Parsed elements of documents: order lines.
     "fx_elements": """
         SELECT concat('o', o_orderkey) AS doc_id, l_linenumber AS idx,
                CASE l_linenumber % 7 WHEN 1 THEN 'title' WHEN 2 THEN 'h3' WHEN 3 THEN 'list_item' WHEN 4 THEN 'code'

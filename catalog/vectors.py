@@ -87,9 +87,9 @@ def filtered(i):
 
 
 @query("vec6_overfetch", with_(f"""WITH {knn_sql('true', 20)},
-    f AS (SELECT r.* EXCLUDE (place), CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, idx) AS INTEGER) AS place
-          FROM r JOIN fx_vectors USING (idx) WHERE NOT deleted AND doc_id IN ('doc1', 'doc2', 'doc5') QUALIFY place <= 4)
-    SELECT qid, idx, round(distance, 6) AS distance, place, round(1 / (1 + distance), 6) AS similarity FROM f"""))
+    f AS (SELECT r.* EXCLUDE (place), CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, idx) AS INTEGER) AS p2
+          FROM r JOIN fx_vectors USING (idx) WHERE NOT deleted AND doc_id IN ('doc1', 'doc2', 'doc5') QUALIFY p2 <= 4)
+    SELECT qid, idx, round(distance, 6) AS distance, p2 AS place, round(1 / (1 + distance), 6) AS similarity FROM f"""))
 def overfetch(i):
     return shown(v.search(i.fx_vectors, centres(i), 4, ["doc1", "doc2", "doc5"], overfetch=5))
 

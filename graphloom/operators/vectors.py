@@ -125,16 +125,22 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
         yield [r["qid"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
 
 
-def _closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest squared distances from q to rows of x, ties by id."""
-    rough = (x * x).sum(axis=1) - 2.0 * (x @ q) + q @ q
-    if len(rough) > k:
-        bound = np.partition(rough, k - 1)[k - 1]
-        keep = np.flatnonzero(rough <= bound + 1e-9)
-        x, ids = x[keep], ids[keep]
-    exact = ((x - q) ** 2).sum(axis=1)
-    order = np.lexsort((ids, exact))[:k]
-    return exact[order], ids[order]
+def _closest(x: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each asked vector the k smallest squared distances to rows of x, ties by id.
+
+    A matrix product finds who can be among the best; their distances are then
+    computed exactly, so equal vectors get equal distances.
+    """
+    size = (x * x).sum(axis=1)
+    for start in range(0, len(asked), 256):
+        block = asked[start : start + 256]
+        rough = size[:, None] - 2.0 * (x @ block.T) + (block * block).sum(axis=1)
+        bound = np.partition(rough, k - 1, axis=0)[k - 1] if len(x) > k else np.full(len(block), np.inf)
+        for n, q in enumerate(block):
+            keep = np.flatnonzero(rough[:, n] <= bound[n] + 1e-9)
+            exact = ((x[keep] - q) ** 2).sum(axis=1)
+            order = np.lexsort((ids[keep], exact))[:k]
+            yield exact[order], ids[keep][order]
 
 
 def _scan(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_type: T.DataType, cells: dict | None) -> DataFrame:
@@ -158,8 +164,7 @@ def _scan(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_type:
                 groups = [(np.flatnonzero(cell == c), probed.get(int(c), [])) for c in np.unique(cell)]
             for rows, wanted in groups:
                 part, part_ids = x[rows], ids[rows]
-                for n in wanted:
-                    d, i = _closest(part, part_ids, asked[n], k)
+                for n, (d, i) in zip(wanted, _closest(part, part_ids, asked[list(wanted)], k)):
                     if best[n] is not None:
                         d, i = np.concatenate([best[n][0], d]), np.concatenate([best[n][1], i])
                         order = np.lexsort((i, d))[:k]
