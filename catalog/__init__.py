@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graph", "walk", "records", "vectors", "questions", "dialogue", "reports"]
+MODULES = ["graph", "walk", "records", "vectors", "questions", "dialogue", "reports", "text", "links", "ingestion"]
 
 for _name in MODULES:
     importlib.import_module(f"catalog.{_name}")

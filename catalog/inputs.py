@@ -114,7 +114,7 @@ class Inputs:
         """Run SQL over supplied and derived tables without registering views."""
         used = sorted({w for w in re.findall(r"(?:FROM|JOIN)\s+(\w+)", text) if w in TABLES or w in DERIVED})
         marked = re.sub(
-            r"(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text
+            r"(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text.replace("{", "{{").replace("}", "}}")
         )
         return self.spark.sql(marked, **{name: getattr(self, name) for name in used})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where ``use`` needs it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(c: Column) -> Column:
     """Collapse white space runs to one blank and trim."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

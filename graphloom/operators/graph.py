@@ -129,7 +129,8 @@ def sync_edges(relationships: DataFrame) -> DataFrame:
     return build_edges(relationships, scope=["doc_id"], strength="avg")
 
 
-def _latest(per_document: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge_documents(per_document: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per-document rows to one row per key: attributes of the last document, number of documents."""
     values = [c for c in per_document.columns if c not in {*keys, "doc_id"}]
     return (
         per_document.groupBy(*keys)
@@ -143,11 +144,11 @@ def _latest(per_document: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rebuild_nodes(entities: DataFrame) -> DataFrame:
     """All documents synced in doc_id order: the last one sets the attributes."""
-    return _latest(sync_nodes(entities), ["node_id"])
+    return merge_documents(sync_nodes(entities), ["node_id"])
 
 
 def rebuild_edges(relationships: DataFrame) -> DataFrame:
-    return _latest(sync_edges(relationships), ["source", "target"])
+    return merge_documents(sync_edges(relationships), ["source", "target"])
 
 
 def node_documents(entities: DataFrame) -> DataFrame:
