@@ -12,7 +12,7 @@ from graphloom.functions.text import token_count
 from graphloom.operators import chunking as c
 from graphloom.sources import files, store
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def unescape_sql(x: str) -> str:
