@@ -110,6 +110,12 @@ class Inputs:
             return self.sql(DERIVED[name])
         raise AttributeError(name)
 
+    def dealt(self, name: str) -> DataFrame:
+        """A supplied table for Python-heavy steps: dealt out when its files give fewer tasks than there are cores."""
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over supplied and derived tables without registering views."""
         used = sorted({w for w in re.findall(r"(?:FROM|JOIN)\s+(\w+)", text) if w in TABLES or w in DERIVED})

@@ -234,7 +234,7 @@ def full_context(i):
     """Questions about parts answered end to end with the hashing encoder over all documents."""
     from graphloom.operators.inference import encode
 
-    docs = i.documents.select(
+    docs = i.dealt("documents").select(
         F.col("doc_id").alias("idx"), F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"),
         F.concat("source", F.lit(".txt")).alias("filename"), F.lit("CHUNK").alias("entity_type"), F.lit(False).alias("deleted"), F.col("text").alias("content"),
     )

@@ -30,7 +30,7 @@ HTML_SQL = rf"""
 
 @query("src3_html_text", HTML_SQL)
 def html_text(i):
-    return files.parse_column(i.pages.select("page_id", "html"), "html", markup.html_text)
+    return files.parse_column(i.dealt("pages").select("page_id", "html"), "html", markup.html_text)
 
 
 @query("src4_xml_text", "SELECT o_orderkey, concat(o_orderstatus, chr(10), 'by ', o_custkey, ' & co', chr(10), o_orderpriority) AS text FROM orders")
@@ -139,13 +139,13 @@ LINES = f"""
                   regexp_replace(regexp_extract(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^#{{1,6}} (.*)$', 1), '^\\s+|\\s+$', '', 'g') AS title FROM ln)"""
 
 
-def headed(i):
+def headed(i, documents=None):
     number = lambda p: F.floor(p / 5) % 3 + 1
     lines = F.transform(
         F.split("text", "\n"),
         lambda line, p: F.when(p % 5 == 0, F.concat(F.repeat(F.lit("#"), number(p).cast("int")), F.lit(" Part "), p.cast("string"), F.lit("\n"), line)).otherwise(line),
     )
-    return i.documents.withColumn("text", F.array_join(lines, "\n"))
+    return (documents or i.documents).withColumn("text", F.array_join(lines, "\n"))
 
 
 @query("chk2_headings", f"WITH {LINES} SELECT doc_id, line_no, level, title FROM hd WHERE level > 0")
@@ -165,7 +165,7 @@ LIVE = ", ".join(
 @query("chk3_sections", f"""WITH {LINES}, lt AS (SELECT doc_id, line_no, {LAST} FROM hd WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
     SELECT doc_id, line_no, coalesce(nullif(concat_ws(' > ', {LIVE}), ''), 'ROOT') AS section FROM lt""")
 def sections(i):
-    return c.line_sections(headed(i).select("doc_id", "text"))
+    return c.line_sections(headed(i, i.dealt("documents")).select("doc_id", "text"))
 
 
 @query("chk4_chunks")
@@ -174,7 +174,7 @@ def chunks(i):
 
 
 def _chunks(i):
-    docs = headed(i).withColumn("file_path", F.concat("source", F.lit(".txt")))
+    docs = headed(i, i.dealt("documents")).withColumn("file_path", F.concat("source", F.lit(".txt")))
     return c.chunk_documents(docs, ChunkSettings(200, 20))
 
 
@@ -197,7 +197,7 @@ def table_span(i):
 
 @query("chk7_packed_rows")
 def packed_rows(i):
-    tables = i.documents.select("doc_id", F.lit("a | b").alias("header"), F.split("text", "\n").alias("rows"), F.col("source").alias("prefix"))
+    tables = i.dealt("documents").select("doc_id", F.lit("a | b").alias("header"), F.split("text", "\n").alias("rows"), F.col("source").alias("prefix"))
     return c.packed_rows(tables, ChunkSettings(60, 6))
 
 

@@ -50,7 +50,7 @@ def texts(i):
 @query("vec2_encoded")
 def encoded(i):
     """Whole documents encoded by the hashing encoder."""
-    out = encode(i.documents.select("doc_id", "text"), HashingEncoder(64))
+    out = encode(i.dealt("documents").select("doc_id", "text"), HashingEncoder(64))
     return out.select("doc_id", F.posexplode("embedding").alias("p", "x")).where("x <> 0")
 
 
@@ -152,7 +152,7 @@ def document_map(i):
 def search_text(i):
     """Nearest documents of every user turn, by the hashing encoder."""
     store = encode(
-        i.documents.select(F.col("doc_id").alias("idx"), F.concat(F.lit("doc"), "doc_id").alias("doc_id"), F.lit("CHUNK").alias("entity_type"),
+        i.dealt("documents").select(F.col("doc_id").alias("idx"), F.concat(F.lit("doc"), "doc_id").alias("doc_id"), F.lit("CHUNK").alias("entity_type"),
                            F.lit(False).alias("deleted"), F.col("text")), HashingEncoder(64)
     )
     found = v.search_text(store.drop("text"), i.fx_questions, HashingEncoder(64), 3)

@@ -23,7 +23,7 @@ SEGMENT_ROWS = 65_536
 
 
 def join_lookup(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", parts: int = SALTS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", parts: int = SALTS, grows: bool = False
 ) -> DataFrame:
     """Join ``left`` to a narrower ``right``, with every key of the left cut into ``parts``.
 
@@ -31,11 +31,16 @@ def join_lookup(
     matching rows on the right are copied to each part, so a key that holds a third
     of the left side is worked on by ``parts`` tasks instead of one. What is still
     uneven after that is split again at run time by adaptive skew-join handling.
-    The plan reads each side once, so these joins can be nested.
+    The plan reads each side once, so these joins can be nested. ``grows`` marks a
+    join with far more rows out than in: it keeps all its tasks, where otherwise
+    partitions that look small would be put together before the join.
     """
     on = list(on)
     dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(parts)).cast("int"))
     copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if grows:
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt, copied = dealt.repartition(tasks, *on, "__salt"), copied.repartition(tasks, *on, "__salt")
     return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
 
 
