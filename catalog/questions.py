@@ -96,7 +96,7 @@ GRAPH_BRANCH = f"""{HOPS}, {NODES.replace('fx_entities', 'fx_walk_entities')},
     sums AS (SELECT qid, seed, avg(importance) FILTER (WHERE hop = 1) AS average, count(*) FILTER (WHERE hop = 1) AS n_relationships, count(*) AS n_neighbours
              FROM both_hops GROUP BY ALL),
     ctx AS (SELECT qid, seed, type, description, coalesce(n_relationships, 0) AS n_relationships, coalesce(n_neighbours, 0) AS n_neighbours,
-                   coalesce(least(1.0::DOUBLE, average * (n_neighbours / 10.0::DOUBLE)), 0) AS score
+                   least(1.0::DOUBLE, coalesce(average * (n_neighbours / 10.0::DOUBLE), 0)) AS score
             FROM fx_seeds s JOIN nodes n ON n.node_id = s.seed LEFT JOIN sums USING (qid, seed))"""
 
 

@@ -35,7 +35,7 @@ LINES = rf"""
     ents AS (SELECT chunk_id, ord, line_no, {clean_sql('f[2]')} AS entity_name,
                     CASE WHEN lower({clean_sql('f[3]')}) IN (SELECT type FROM types) THEN lower({clean_sql('f[3]')}) ELSE 'other' END AS entity_type,
                     {clean_sql('f[4]')} AS description,
-                    CAST(coalesce(greatest(1, least(5, TRY_CAST({clean_sql('f[5]')} AS INTEGER))), 3) AS INTEGER) AS confidence
+                    CASE WHEN TRY_CAST({clean_sql('f[5]')} AS INTEGER) IS NULL THEN 3 ELSE greatest(1, least(5, TRY_CAST({clean_sql('f[5]')} AS INTEGER))) END AS confidence
              FROM lines WHERE len(f) >= 4 AND contains(lower(f[1]), 'entity'))"""
 
 

@@ -105,7 +105,7 @@ def second_hop(i):
     sums AS (SELECT qid, seed, avg(importance) FILTER (WHERE hop = 1) AS average, count(*) FILTER (WHERE hop = 1) AS n_relationships, count(*) AS n_neighbours
              FROM both_hops GROUP BY ALL)
     SELECT qid, seed, type, description, coalesce(n_relationships, 0) AS n_relationships, coalesce(n_neighbours, 0) AS n_neighbours,
-           round(coalesce(least(1.0::DOUBLE, average * (n_neighbours / 10.0::DOUBLE)), 0), 6) AS score
+           round(least(1.0::DOUBLE, coalesce(average * (n_neighbours / 10.0::DOUBLE), 0)), 6) AS score
     FROM fx_seeds s JOIN nodes n ON n.node_id = s.seed LEFT JOIN sums USING (qid, seed)"""))
 def graph_context(i):
     df = t.contexts(i.fx_seeds, g.build_nodes(i.fx_walk_entities), found(i, 2))

@@ -50,7 +50,7 @@ def parse_entities(output: DataFrame, check_quality: bool = True) -> DataFrame:
             clean_field(field[1]).alias("entity_name"),
             F.when(type_.isin(fixed.ENTITY_TYPES), type_).otherwise("other").alias("entity_type"),
             clean_field(field[3]).alias("description"),
-            F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), given)), F.lit(3)).alias("confidence"),
+            F.when(given.isNull(), 3).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), given))).alias("confidence"),
         )
         .where("entity_name <> '' AND description <> ''")
     )

@@ -41,7 +41,8 @@ def join_lookup(
     if grows:
         tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt, copied = dealt.repartition(tasks, *on, "__salt"), copied.repartition(tasks, *on, "__salt")
-    return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
+    added = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in on]
+    return dealt.join(copied, [*on, "__salt"], how).select(*left.columns, *added)
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx", start: int = 0) -> DataFrame:

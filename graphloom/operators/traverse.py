@@ -116,7 +116,8 @@ def contexts(seeds: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_neighbours"),
     )
     about = nodes.select(F.col("node_id").alias("seed"), "type", "description")
-    score = F.least(F.lit(1.0), F.col("average") * (F.col("n_neighbours") / F.lit(10.0)))
+    # Without relationships there is no average; `least` would skip the missing value, so it becomes 0 first.
+    score = F.least(F.lit(1.0), F.coalesce(F.col("average") * (F.col("n_neighbours") / F.lit(10.0)), F.lit(0.0)))
     return (
         join_lookup(seeds, about, ["seed"])
         .join(sums, ["qid", "seed"], "left")
@@ -127,7 +128,7 @@ def contexts(seeds: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
             "description",
             F.coalesce("n_relationships", F.lit(0)).alias("n_relationships"),
             F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"),
-            F.coalesce(score, F.lit(0.0)).alias("score"),
+            score.alias("score"),
         )
     )
 
