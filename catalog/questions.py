@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import query
 from catalog.graph import NODES
 from catalog.inputs import DERIVED, with_
-from catalog.vectors import CENTRES
+from catalog.vectors import CENTRES, centres
 from catalog.walk import HOPS, found, walk_edges
 from graphloom.functions import fixed
 from graphloom.functions import questions as q
@@ -17,6 +17,7 @@ from graphloom.operators import retrieval as r
 from graphloom.operators import traverse as t
 from graphloom.operators import vectors as v
 from graphloom.plans import ask
+from graphloom.session import cut
 
 # All questions: the user turns and the generated questions about parts.
 DERIVED["fx_asked"] = """
@@ -106,8 +107,6 @@ def _vector_branch(i):
 
 
 def _centres(i):
-    from catalog.vectors import centres
-
     return centres(i)
 
 
@@ -166,8 +165,6 @@ def _contexts(i):
 
 
 def cut_found(i):
-    from graphloom.session import cut
-
     return cut(found(i, 2))
 
 
@@ -238,8 +235,8 @@ def full_context(i):
         F.col("doc_id").alias("idx"), F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"),
         F.concat("source", F.lit(".txt")).alias("filename"), F.lit("CHUNK").alias("entity_type"), F.lit(False).alias("deleted"), F.col("text").alias("content"),
     )
-    store = encode(docs, HashingEncoder(64), "content")
+    store = cut(encode(docs, HashingEncoder(64), "content"))
     result = ask.retrieve(
-        i.fx_part_questions, i.fx_entities, store, g.build_nodes(i.fx_entities), walk_edges(i), HashingEncoder(64), 5, ask.Mode(expand_query=True)
+        i.fx_part_questions, i.fx_entities, store, cut(g.build_nodes(i.fx_entities)), walk_edges(i), HashingEncoder(64), 5, ask.Mode(expand_query=True)
     )
     return ask.context(result, g.edge_keywords(i.fx_walk))

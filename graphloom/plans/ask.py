@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import retrieval, traverse, vectors
 from graphloom.operators.inference import Encoder, encode
+from graphloom.session import cut
 
 
 @dataclass
@@ -47,10 +48,11 @@ def retrieve(
     """Both branches for every question.
 
     ``questions`` (qid, question); ``names`` (ord, entity_name); ``store`` the vector
-    store with ``content``; ``edges`` scored by ``traverse.edge_scores``.
+    store with ``content``; ``edges`` scored by ``traverse.edge_scores``. What several
+    later steps read (entities, hits, seeds, neighbours) is written once.
     """
     mode = mode or Mode()
-    entities = retrieval.question_entities(questions, names)
+    entities = cut(retrieval.question_entities(questions, names))
     analysed = retrieval.analyse(questions, entities)
     texts = retrieval.expand(questions) if mode.expand_query else questions.select(
         "qid", F.lit(0).alias("branch"), F.col("question").alias("text")
@@ -59,10 +61,10 @@ def retrieve(
     asked = asked.select(F.to_json("qid").alias("qid"), "embedding")
     keys = texts.select(F.to_json(F.struct("qid", "branch")).alias("key"), "qid", "branch")
     chunks = hits_by_branch(vectors.search(store, asked, top_k), keys, store)
-    chunks = retrieval.merge_chunks(chunks if mode.use_global else chunks.where("false"))
+    chunks = cut(retrieval.merge_chunks(chunks if mode.use_global else chunks.where("false")))
     seeds = traverse.find_seeds(entities.select("qid", "entity"), nodes)
-    seeds = seeds if mode.use_local else seeds.where("false")
-    found = traverse.neighbours(seeds, edges, 2, top_k)
+    seeds = cut(seeds if mode.use_local else seeds.where("false"))
+    found = cut(traverse.neighbours(seeds, edges, 2, top_k))
     contexts = traverse.contexts(seeds, nodes, found)
     paths = None
     if mode.use_multi_hop:
