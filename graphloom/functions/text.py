@@ -90,16 +90,26 @@ def joined_text(
     the rank limit is applied on both sides of it.
     """
     keys = list(keys)
-    needed = 1 + max_chars // (len(sep) + 1)
     same = F.lower(F.col(text)) if fold_case else F.col(text)
     firsts = (
         df.where(F.col(text).isNotNull() & (F.col(text) != ""))
         .groupBy(*keys, same.alias("__same"))
-        .agg(F.min(F.struct(F.col(order).alias("at"), F.left(F.col(text), F.lit(max_chars)).alias("text"))).alias("__first"))
+        .agg(F.min(first_text(text, order, max_chars)).alias("__first"))
     )
+    return join_firsts(firsts, keys, max_chars, name, sep)
+
+
+def first_text(text: str, order: str, max_chars: int) -> Column:
+    """What has to be known of a text's appearance; the minimum per distinct text is its first one."""
+    return F.struct(F.col(order).alias("at"), F.left(F.col(text), F.lit(max_chars)).alias("text"))
+
+
+def join_firsts(firsts: DataFrame, keys: Sequence[str], max_chars: int, name: str, sep: str = "; ") -> DataFrame:
+    """Second half of ``joined_text``: from one row per key and distinct text (``__first``)."""
+    needed = 1 + max_chars // (len(sep) + 1)
     place = Window.partitionBy(*keys).orderBy("__first")
     return (
-        firsts.withColumn("__rank", F.row_number().over(place))
+        firsts.select(*keys, "__first", F.row_number().over(place).alias("__rank"))
         .where(F.col("__rank") <= needed)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("__first")).alias("__texts"))

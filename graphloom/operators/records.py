@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from graphloom.functions import fixed
-from graphloom.functions.text import clean_field, is_good_entity, joined_text, keyword_list, strip
+from graphloom.functions.text import clean_field, first_text, is_good_entity, join_firsts, keyword_list, strip
 from graphloom.operators.spread import join_lookup
 
 ENTITY_CHARS = 500
@@ -84,20 +84,33 @@ def good_entities(entities: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- dedup
 
 
+def _merge(rows: DataFrame, keys: list[str], values: list[str], chars: int) -> DataFrame:
+    """Per key: first row's values, merged description, numbers of rows, distinct descriptions and sources.
+
+    Equal descriptions are merged first, with partial sums, so that everything but
+    the sources is worked out from one row per key and distinct description.
+    """
+    said = rows.groupBy(*keys, F.lower("description").alias("__same")).agg(
+        F.min(F.struct("ord", *values)).alias("row"),
+        F.min(first_text("description", "ord", chars)).alias("__first"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    facts = said.groupBy(*keys).agg(
+        F.min("row").alias("first"), F.sum("n").alias("n_rows"), F.count("__same").alias("n_descriptions")
+    )
+    merged = join_firsts(said.where("`__same` <> ''"), keys, chars, "merged")
+    sources = rows.select(*keys, "chunk_id").distinct().groupBy(*keys).agg(F.count("chunk_id").alias("n_sources"))
+    return facts.join(merged, keys, "left").join(sources, keys)
+
+
 def dedup_entities(entities: DataFrame) -> DataFrame:
     """One row per case-insensitive name: first spelling and type, distinct descriptions, source count.
 
     A name that occurs once keeps its whole description.
     """
     keyed = entities.withColumn("key", F.lower(F.trim("entity_name")))
-    facts = keyed.groupBy("key").agg(
-        F.min(F.struct("ord", "entity_name", "entity_type", "description")).alias("first"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("chunk_id").alias("n_sources"),
-        F.countDistinct(F.lower("description")).alias("n_descriptions"),
-    )
-    merged = joined_text(keyed, ["key"], "description", "ord", ENTITY_CHARS, "merged", fold_case=True)
-    return facts.join(merged, "key", "left").select(
+    merged = _merge(keyed, ["key"], ["entity_name", "entity_type", "description"], ENTITY_CHARS)
+    return merged.select(
         "key",
         F.col("first.entity_name").alias("entity_name"),
         F.col("first.entity_type").alias("entity_type"),
@@ -123,13 +136,7 @@ def distinct_descriptions(rows: DataFrame, keys: list[str]) -> DataFrame:
 def dedup_relationships(relationships: DataFrame) -> DataFrame:
     """One row per directed pair: distinct descriptions, the first five keywords in order, first weight, source count."""
     keys = ["source_id", "target_id"]
-    facts = relationships.groupBy(*keys).agg(
-        F.min(F.struct("ord", "keywords", "description", "weight")).alias("first"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("chunk_id").alias("n_sources"),
-        F.countDistinct(F.lower("description")).alias("n_descriptions"),
-    )
-    merged = joined_text(relationships, keys, "description", "ord", RELATION_CHARS, "merged", fold_case=True)
+    merged = _merge(relationships, keys, ["keywords", "description", "weight"], RELATION_CHARS)
     kept = (
         relationships.select(*keys, F.explode(keyword_list(F.col("keywords"))).alias("keyword"))
         .distinct()
@@ -140,8 +147,7 @@ def dedup_relationships(relationships: DataFrame) -> DataFrame:
     )
     once = F.col("n_rows") == 1
     return (
-        facts.join(merged, keys, "left")
-        .join(kept, keys, "left")
+        merged.join(kept, keys, "left")
         .select(
             *keys,
             F.when(once, F.col("first.keywords")).otherwise(F.coalesce("kept", F.lit(""))).alias("keywords"),
