@@ -144,7 +144,7 @@ def _tables(i):
 
 
 def _gone(i):
-    """Documents that say nothing about admin-like suppliers: those of nation 3's suppliers."""
+    """Documents to delete: those of the suppliers of nation 3."""
     return i.sql("SELECT DISTINCT concat('d', s_suppkey % 50) AS doc_id FROM supplier WHERE s_nationkey = 3")
 
 
