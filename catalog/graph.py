@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import query
 from catalog.inputs import with_
 from graphloom.operators import graph as g
+from graphloom.session import cut
 
 NODES = """
     firsts AS (SELECT entity_name, description, min(ord) AS o FROM fx_entities GROUP BY ALL),
@@ -49,7 +50,7 @@ def node_sources(i):
 @query("grf2_edges", with_(f"""WITH {LOWER_RELS}, {edge_sql('rels', PAIR, 'sum')}
     SELECT source_id AS source, target_id AS target, description, round(strength, 6) AS strength, n_keywords, n_chunks FROM edges"""))
 def edges(i):
-    rels = g.connected(i.fx_relationships, g.build_nodes(i.fx_entities))
+    rels = cut(g.connected(i.fx_relationships, i.fx_entities.select(F.col("entity_name").alias("node_id"))))
     return g.build_edges(rels, strength="sum").withColumn("strength", F.round("strength", 6))
 
 

@@ -12,7 +12,7 @@ from graphloom.functions import fixed
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
