@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality
+from graphloom.llm import quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,23 @@ def _query(name: str, sql: str | None = None):
 @_query("op6_line_cleaning")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@_query(
+    "op10_warc",
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+    ), k AS (SELECT hex, max(page_id) AS keeper FROM p GROUP BY hex)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(1 + ((CAST(concat('0x', substr(p.hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5)) AS INTEGER)
+                    >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+           CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+    FROM p JOIN k ON p.hex = k.hex
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
