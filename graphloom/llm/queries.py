@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality, warc
+from graphloom.llm import packing, quality, tokenfiles, warc
+from graphloom.llm.common import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,11 +27,35 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, which every worker has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op3_best_two_fit")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@_query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tokens")
+    manifest = tokenfiles.write_parquet(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return tokenfiles.digests(tokenfiles.read_parquet(manifest, path))
+
+
 @_query("op6_line_cleaning")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+@_query("op8_separator_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 50256)
+
+
 @_query(
     "op10_warc",
     """
