@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import packing, quality, tokenfiles, warc
+from graphloom.llm import fingerprints, packing, quality, tokenfiles, warc
 from graphloom.llm.common import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(tokenfiles.read_parquet(manifest, path))
 
 
+@_query("op5_imatch")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return fingerprints.compare_neighbours(documents, fingerprints.lexicon(documents))
+
+
 @_query("op6_line_cleaning")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
