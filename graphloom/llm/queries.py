@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import fingerprints, packing, quality, tokenfiles, warc
+from graphloom.llm import fingerprints, packing, quality, substrings, tokenfiles, warc
 from graphloom.llm.common import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 50256)
 
 
+@_query(
+    "op9_substrings",
+    """
+    WITH w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+    ), s AS (
+        SELECT doc_id, i, array_to_string(list_slice(words, i, i + 34), ' ') AS g
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)
+    ), r AS (SELECT doc_id, list(i) AS starts FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) GROUP BY doc_id),
+    gone AS (
+        SELECT w.doc_id, words, list_sort(list_distinct(flatten(list_transform(coalesce(starts, []), lambda i: range(i, i + 35))))) AS gone
+        FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+    )
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+           sha256(coalesce(array_to_string(list_select(words, list_where(range(1, len(words) + 1), list_transform(
+               range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)))), ' '), '')) AS kept_sha256
+    FROM gone
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+
+
 @_query(
     "op10_warc",
     """
