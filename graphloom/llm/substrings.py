@@ -110,10 +110,16 @@ def _unpacked(batches: Iterator[pa.RecordBatch], column: int, chunk: int = 256)
             yield part, pa.array([unpack.decompress(p).decode() for p in part.column(column).to_pylist()], pa.large_string())
 
 
-def repeated_windows(keyed: DataFrame, packed: DataFrame, threshold: int, seed: int) -> DataFrame:
+def _classes(keyed: DataFrame) -> DataFrame:
+    """Of every text: key, first_id (the least doc_id that has it) and copied (whether it occurs more than once)."""
+    found = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return found.select("key", "first_id", (F.col("n") > 1).alias("copied"))
+
+
+def repeated_windows(keyed: DataFrame, packed: DataFrame, classes: DataFrame, threshold: int, seed: int) -> DataFrame:
     """key and starts: of each text, the first words of its windows that also start anywhere else.
 
-    Windows of equal texts are told once here; the texts that have copies are told by ``copies``.
+    Windows of equal texts are told once here, from the row with the least doc_id.
     """
     laid = stored(anchors(keyed, threshold, seed), "anchors")
     seeds = laid.join(_repeated(laid, "anchor", "key", "span"), "anchor", "left_semi")
@@ -142,7 +148,8 @@ def repeated_windows(keyed: DataFrame, packed: DataFrame, threshold: int, seed:
                      pa.array(start.astype(np.int32))], schema=schema,
                 )
 
-    around = packed.join(spans, "key").select("doc_id", "key", "packed", "spans")
+    around = packed.join(spans.join(classes, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    around = around.select("doc_id", "key", "packed", "spans")
     found = stored(around.mapInArrow(run, "hash long, key long, start int"), "windows")
     marked = found.join(_repeated(found, "hash", "key", "start"), "hash", "left_semi")
     return marked.groupBy("key").agg(F.collect_set("start").alias("starts"))
@@ -162,9 +169,9 @@ def remove_repeats(documents: DataFrame, threshold: int = THRESHOLD, seed: int =
     """
     keyed = _keyed(documents)
     packed = _compressed(keyed)
-    copies = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key", F.lit(True).alias("copied"))
-    # Left out before the join, so that no row of a text without repeats waits for one.
-    marks = repeated_windows(keyed, packed, threshold, seed).join(copies, "key", "full")
+    classes = stored(_classes(keyed), "texts")
+    starts = repeated_windows(keyed, packed, classes, threshold, seed)
+    marks = classes.filter("copied").select("key", "copied").join(starts, "key", "full")
     ready = packed.join(marks, "key", "left").select("doc_id", "key", "packed", "starts", F.coalesce("copied", F.lit(False)).alias("copied"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
