@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import fingerprints, packing, quality, substrings, tokenfiles, warc
+from graphloom.llm import fingerprints, packing, partenum, quality, substrings, tokenfiles, warc
 from graphloom.llm.common import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+@_query("op7_partenum")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_separator_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 50256)
