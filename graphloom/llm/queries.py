@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import fingerprints, packing, partenum, quality, substrings, tokenfiles, warc
+from graphloom.llm import fingerprints, packing, partenum, quality, substrings, tokenfiles, toxicity, warc
 from graphloom.llm.common import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query("op1_string_kernel")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled(documents, _table(spark, sf_dir, "labels")))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out(scored.doc_id).alias("held_out"), "score", "predicted", "worst")
+
+
 @_query("op3_best_two_fit")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))

@@ -14,8 +14,10 @@ import re
 from tokenizers import Tokenizer
 
 #: Words kept per generation; at most two generations are held.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 _CLOSE_BLANKS = re.compile(r"  |\s \s|^ | $")
+#: A sign at the end of a word is a piece of its own if a letter or number stands before it.
+_SIGNS = frozenset(".,!?;:|)")
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -79,6 +81,33 @@ class Encoder:
             return self.whole(words)
         return self.whole([w[1:] if w[:1] == "\0" else " " + w for w in words])
 
+    def _parts(self, word: str) -> list[str]:
+        """Words whose ids make up those of ``word``: without line breaks, closing signs and capitals, where that is safe."""
+        if self.mode == "opens" and "\n" in word:
+            lines = word.split("\n")
+            if all(lines) and lines[0] != "\0" and not any(x.isspace() for x in word if x != "\n"):
+                first, *rest = (self._parts(x if i == 0 else "\0" + x) for i, x in enumerate(lines))
+                return sum(([*x] for y in rest for x in (["\0\n"], y)), first)
+            return [word]
+        tail = []
+        if word[-1:] in _SIGNS and word[-2:-1].isalnum() and word[-2:-1].lower().isalnum():
+            tail = [word[-1] if self.mode == "dropped" else "\0" + word[-1]]
+            word = word[:-1]
+        if self.mode == "dropped" and word.isascii():
+            word = word.lower()
+        return [word, *tail]
+
+    def _learn(self, words: set[str]) -> None:
+        """Add ``words`` to the known ones."""
+        known, older = self.words, self.older
+        known.update([(w, older[w]) for w in words if w in older])
+        made = {w: self._parts(w) for w in words if w not in older}
+        parts = {x for xs in made.values() for x in xs}.difference(known)
+        known.update([(w, older[w]) for w in parts if w in older])
+        ask = [w for w in parts if w not in older]
+        known.update(zip(ask, self._ask(ask)))
+        known.update([(w, b"".join([known[x] for x in xs])) for w, xs in made.items()])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         out: list[bytes] = [b""] * len(texts)
@@ -87,16 +116,14 @@ class Encoder:
             out[i] = ids
         if len(self.words) > KNOWN_WORDS:
             self.older, self.words = self.words, {}
-        known, older = self.words, self.older
+        known = self.words
         new: set[str] = set()
         for words in cut:
             if words is not None:
                 new.update(words)
         new.difference_update(known)
-        known.update([(w, older[w]) for w in new if w in older])
-        ask = [w for w in new if w not in older]
-        if ask:
-            known.update(zip(ask, self._ask(ask)))
+        if new:
+            self._learn(new)
         for i, words in enumerate(cut):
             if words is not None:
                 out[i] = b"".join(map(known.__getitem__, words))
