@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,24 +136,45 @@ def windows(hashes: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarra
     return mix(out)[first], first
 
 
+def _position(df: DataFrame, column: str) -> int:
+    """Place of a column: the one of that very name, or else the first that differs in case only."""
+    if column in df.columns:
+        return df.columns.index(column)
+    return [c.lower() for c in df.columns].index(column.lower())
+
+
 def select(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, found without regard to case; other columns never reach an operator."""
-    by_lower: dict[str, str] = {}
-    for c in df.columns:
-        by_lower.setdefault(c.lower(), c)
-        if c in columns:
-            by_lower[c.lower()] = c
-    names = [by_lower[c.lower()] for c in columns]
-    exact = spark_case_sensitive(df.sparkSession) or len({c.lower() for c in df.columns}) == len(df.columns)
-    if not exact:  # names that differ in case only cannot be told apart by name
-        position = [df.columns.index(c) for c in names]
-        renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        return renamed.select(*[F.col(f"c{p}").alias(c) for p, c in zip(position, columns)])
-    return df.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, columns)])
-
-
-def spark_case_sensitive(spark: SparkSession) -> bool:
-    return str(spark.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
+    """Only the named columns. Found by place, so that others may have names that clash with these or with each other."""
+    place = {c: _position(df, c) for c in columns}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{p}").alias(c) for c, p in place.items()])
+
+
+def placed(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """All columns renamed to their places (c0, c1, …), and the places of the named ones."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{_position(df, c)}" for c in columns]
+
+
+def ddl_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def judged(documents: DataFrame, judge: Callable[[pa.Array], Iterator[tuple[int, pa.Array]]], kind: str) -> tuple[DataFrame, list[str]]:
+    """All rows and columns (renamed to their places) with a column ``verdict`` that ``judge`` gives from the text.
+
+    ``judge`` yields, run by run, how many rows it judged and their verdicts. Returns the places of doc_id and text as well.
+    """
+    named, at = placed(documents, "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = 0
+            for n, verdict in judge(batch.column(batch.num_columns - 1)):
+                part = batch.slice(low, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], verdict], names=[*part.schema.names[:-1], "verdict"])
+                low += n
+
+    ready = named.withColumn("judged", F.col(at[1]))
+    return ready.mapInArrow(run, f"{ddl_of(named)}, verdict {kind}"), at
 
 
 def folder(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import fingerprints, packing, partenum, quality, substrings, tokenfiles, toxicity, warc
+from graphloom.llm import fingerprints, mixing, packing, partenum, quality, substrings, tokenfiles, toxicity, warc
 from graphloom.llm.common import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(scored.doc_id).alias("held_out"), "score", "predicted", "worst")
 
 
+#: Target weights of the domains that the labels tell apart.
+TARGETS = {"good": 0.9, "low_quality": 0.08, "toxic": 0.02}
+
+
+@_query("op2_soft_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    labelled = mixing.label_domains(documents, _table(spark, sf_dir, "labels"))
+    return mixing.document_rates(documents, labelled, TARGETS, upper=4.0)
+
+
 @_query("op3_best_two_fit")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Block, blocks, hash_spans, select, stored, windows
+from graphloom.llm.common import Block, blocks, ddl_of, hash_spans, placed, select, stored, windows
 
 THRESHOLD = 35
 SEED = 8
@@ -53,10 +53,11 @@ def _anchors(words: np.ndarray, docs: np.ndarray, threshold: int, seed: int) ->
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and key: equal texts have equal keys and are one text from here on."""
-    narrow = select(documents, "doc_id", "text")
-    filled = narrow.select(narrow.doc_id.cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return filled.withColumn("key", F.xxhash64("text"))
+    """doc_id, text (null: empty), key (equal texts have equal keys and are one text from here on) and the other columns by place."""
+    named, (doc_id, text) = placed(documents, "doc_id", "text")
+    others = [c for c in named.columns if c not in (doc_id, text)]
+    filled = named.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *others)
+    return filled.select("doc_id", "text", F.xxhash64("text").alias("key"), *others)
 
 
 def anchors(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
@@ -88,16 +89,19 @@ def _repeated(places: DataFrame, hashed: str, *place: str) -> DataFrame:
 
 
 def _compressed(keyed: DataFrame) -> DataFrame:
+    """doc_id, key, packed (the text, compressed) and the other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("packed", pa.binary())])
         for batch in batches:
             packed = pa.array([pack.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed], schema=schema)
+            names = ["doc_id", "key", "packed", *batch.schema.names[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed, *batch.columns[3:]], names=names)
 
-    return keyed.mapInArrow(run, "doc_id long, key long, packed binary")
+    others = keyed.drop("doc_id", "text", "key")
+    return keyed.mapInArrow(run, ", ".join(["doc_id long, key long, packed binary", *([ddl_of(others)] if others.columns else [])]))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], column: int, chunk: int = 256) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -167,15 +171,35 @@ def remove_repeats(documents: DataFrame, threshold: int = THRESHOLD, seed: int =
     of each other, so they lose all words if they have a window. Null doc_ids are allowed, other columns
     ignored; an empty table gives an empty result.
     """
+    return _judged(_keyed(select(documents, "doc_id", "text")), threshold, seed)
+
+
+def without_repeats(documents: DataFrame, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
+    """All columns of ``documents`` with their texts as ``remove_repeats`` leaves them, and n_chars of the new text.
+
+    Documents that lose all their words are left out; those without any word stay as they are.
+    """
     keyed = _keyed(documents)
+    left = _judged(keyed, threshold, seed).filter("n_words = 0 or n_removed < n_words")
+    named, (doc_id, text) = placed(documents, "doc_id", "text")
+    columns = {doc_id: F.col("doc_id"), text: F.col("text")}
+    if "n_chars" in documents.columns:
+        columns[f"c{documents.columns.index('n_chars')}"] = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+    return left.select(*[columns.get(c, F.col(c)).alias(c) for c in named.columns]).toDF(*documents.columns)
+
+
+def _judged(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
+    """What ``remove_repeats`` returns, and the other columns of ``keyed``."""
+    others = [c for c in keyed.columns if c not in ("doc_id", "text", "key")]
     packed = _compressed(keyed)
     classes = stored(_classes(keyed), "texts")
     starts = repeated_windows(keyed, packed, classes, threshold, seed)
     marks = classes.filter("copied").select("key", "copied").join(starts, "key", "full")
-    ready = packed.join(marks, "key", "left").select("doc_id", "key", "packed", "starts", F.coalesce("copied", F.lit(False)).alias("copied"))
+    told = packed.join(marks, "key", "left")
+    ready = told.select("doc_id", "key", "packed", "starts", F.coalesce("copied", F.lit(False)).alias("copied"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *others]
         for part, texts in _unpacked(batches, 2):
             lists = part.column(3).fill_null([])
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -200,10 +224,12 @@ def remove_repeats(documents: DataFrame, threshold: int = THRESHOLD, seed: int =
                     rows.append((n, int(gone.sum()), *_kept(raw, block, i, start[lo : lo + n], end[lo : lo + n], gone)))
             n, removed, digest, text = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(text, pa.string())], schema=schema
+                [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(text, pa.string()), *part.columns[5:]],
+                names=names,
             )
 
-    return ready.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+    return ready.mapInArrow(run, ", ".join([ddl, *([ddl_of(ready.select(*others))] if others else [])]))
 
 
 def _kept(raw: bytes, block: Block, i: int, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> tuple[str, str]:

@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, hash_spans, mix, select
+from graphloom.llm.common import blocks, hash_spans, judged, mix, select
 
 LENGTH = 4
 STRETCH = 7
-DECAY = 0.6
+DECAY = 0.75
+#: Signs put into known insults to train on gapped forms.
+GAPS = b"-*._"
 #: A token of more bytes is looked at in windows of this size, half a window apart.
 WINDOW = 24
 #: As many tokens of one or two bytes in a row are also read as one word.
@@ -249,16 +251,17 @@ def _kernel(units: list[bytes], landmarks: list[bytes]) -> tuple[np.ndarray, np.
     return out, keys, table
 
 
-def _support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss (the last one is the bias), by Newton steps."""
-    x = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1)
+def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss and bias ``LEAST``, by Newton steps.
+
+    With that bias a span that shares nothing with a landmark is a certain negative.
+    """
     w = np.zeros(x.shape[1])
-    hold = np.full(x.shape[1], ridge)
-    hold[-1] = 1e-6
+    hold = np.diag(np.full(x.shape[1], ridge))
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        xi, yi, ci = x[inside].astype(np.float64), y[inside], weight[inside]
-        new = np.linalg.solve(xi.T @ (xi * ci[:, None]) + np.diag(hold), xi.T @ (ci * yi))
+        inside = y * (x @ w + LEAST) < 1
+        xi, yi, ci = x[inside].astype(np.float64), y[inside], cost[inside]
+        new = np.linalg.solve(xi.T @ (xi * ci[:, None]) + hold, xi.T @ (ci * (yi - LEAST)))
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -342,12 +345,20 @@ def train(labelled: DataFrame, settings: Training = Training()) -> Model:
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     mapped = (kernel @ root).astype(np.float32)
 
-    # Negative spans: all of sentences of documents without the label. Positive: the worst of each sentence.
     score = np.where(in_positive > 2, odds - np.log(_CLEAR), -1.0)
+    # Gapped forms of clear spans: a sign put into them. All forms of a span cost half as much as the span.
+    gapped, gap_cost = [], []
+    for i in best[score[best] > 0].tolist():
+        forms = [units[i][:k] + bytes([sign]) + units[i][k:] for k, sign in zip(range(1, len(units[i])), GAPS * len(units[i]))]
+        gapped += forms
+        gap_cost += [in_positive[i] / 2 / len(forms)] * len(forms)
+    stretched = (_kernel(gapped, landmarks)[0] @ root).astype(np.float32)
+
+    # Negative spans: all of sentences of documents without the label. Positive: the worst of each sentence.
     negative = np.flatnonzero(usable & (in_negative > 0))
     toxic = label[doc] == 1
     t_unit, t_sentence, t_doc = unit[toxic], sentence[toxic], doc[toxic]
-    w = np.zeros(len(landmarks) + 1)
+    w = np.zeros(len(landmarks))
     for _ in range(settings.rounds):
         order = np.lexsort((-score[t_unit], t_sentence))
         lead = order[np.concatenate(([True], t_sentence[order][1:] != t_sentence[order][:-1]))]
@@ -356,16 +367,16 @@ def train(labelled: DataFrame, settings: Training = Training()) -> Model:
         np.maximum.at(by_doc, t_doc[lead], score[worst])
         chosen = worst[(score[worst] > 0) | (score[worst] >= by_doc[t_doc[lead]])]
         positive, times = np.unique(chosen, return_counts=True)
-        x = np.concatenate((mapped[positive], mapped[negative]))
-        y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
+        x = np.concatenate((mapped[positive], stretched, mapped[negative]))
+        y = np.concatenate((np.ones(len(positive) + len(gapped)), -np.ones(len(negative))))
         # A span costs what the documents cost that it would put on the wrong side.
-        cost = np.concatenate((2 * times, in_negative[negative])) / len(label)
+        cost = np.concatenate((2 * times, gap_cost, in_negative[negative])) / len(label)
         w = _support_vectors(x, y, cost, settings.ridge)
-        score = mapped @ w[:-1] + w[-1]
+        score = mapped @ w + LEAST
 
-    folded = table @ (root @ w[:-1])
+    folded = table @ (root @ w)
     used = np.flatnonzero(folded)
-    model = Model(keys[used], folded[used], float(w[-1]), np.zeros(WORST), 0.0, [u.decode("utf-8", "replace") for u in landmarks])
+    model = Model(keys[used], folded[used], LEAST, np.zeros(WORST), 0.0, [u.decode("utf-8", "replace") for u in landmarks])
     return _calibrated(model, worst_margins(doc, unit, score[unit], len(label)), label)
 
 
@@ -390,6 +401,35 @@ def _calibrated(model: Model, worst: np.ndarray, label: np.ndarray) -> Model:
     return model
 
 
+class Scorer:
+    """Scores texts; margins of spans that it has met are kept in a table of fixed size."""
+
+    SIZE = 1 << 20
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known, self.margin_of = np.zeros(self.SIZE, np.uint64), np.full(self.SIZE, LEAST, np.float32)
+
+    def scores(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[str | None]]]:
+        """First row, rows, probabilities and worst spans of each block."""
+        for first, n, found in spans(texts):
+            distinct, at, where = np.unique(found.hash, return_index=True, return_inverse=True)
+            slot = (distinct & np.uint64(self.SIZE - 1)).astype(np.int64)
+            margin = self.margin_of[slot]
+            new = np.flatnonzero(self.known[slot] != distinct)
+            margin[new] = self.model.margins(found.data, found.start[at[new]], found.end[at[new]])
+            self.known[slot[new]], self.margin_of[slot[new]] = distinct[new], margin[new]
+            each = margin[where]
+            p = self.model.probability(worst_margins(found.doc, where, each, n))
+            worst: list[str | None] = [None] * n
+            bad = np.flatnonzero(each > LEAST)
+            for i in bad[np.lexsort((found.start[bad], -each[bad], found.doc[bad]))].tolist():
+                d = int(found.doc[i])
+                if worst[d] is None:
+                    worst[d] = found.text(i)
+            yield first, n, p, worst
+
+
 def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= ``threshold``) and worst (the span with the largest margin).
 
@@ -400,25 +440,9 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("worst", pa.string())])
-        model = sent.value
-        size = 1 << 20
-        known, margin_of = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+        scorer = Scorer(sent.value)
         for batch in batches:
-            for first, n, found in spans(batch.column(1)):
-                distinct, at, where = np.unique(found.hash, return_index=True, return_inverse=True)
-                slot = (distinct & np.uint64(size - 1)).astype(np.int64)
-                margin = margin_of[slot]
-                new = np.flatnonzero(known[slot] != distinct)
-                margin[new] = model.margins(found.data, found.start[at[new]], found.end[at[new]])
-                known[slot[new]], margin_of[slot[new]] = distinct[new], margin[new]
-                each = margin[where]
-                p = model.probability(worst_margins(found.doc, where, each, n))
-                worst: list[str | None] = [None] * n
-                bad = np.flatnonzero(each > LEAST)
-                for i in bad[np.lexsort((found.start[bad], -each[bad], found.doc[bad]))].tolist():
-                    d = int(found.doc[i])
-                    if worst[d] is None:
-                        worst[d] = found.text(i)
+            for first, n, p, worst in scorer.scores(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(worst, pa.string())],
                     schema=schema,
@@ -429,6 +453,22 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     return narrow.withColumn("doc_id", narrow.doc_id.cast("long")).mapInArrow(run, ddl)
 
 
+def accepted(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """All columns of the documents whose score is under ``threshold``."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    kept: list[Scorer] = []  # one for each task
+
+    def judge(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        if not kept:
+            kept.append(Scorer(sent.value))
+        for _, n, p, _ in kept[0].scores(texts):
+            yield n, pa.array(p)
+
+    scored, _ = judged(documents, judge, "double")
+    return scored.filter(F.col("verdict") < threshold).drop("verdict").toDF(*documents.columns)
+
+
 def held_out(doc_id) -> F.Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
