@@ -224,31 +224,42 @@ def worst_margins(doc: np.ndarray, span: np.ndarray, margin: np.ndarray, n: int)
     return out
 
 
-def _kernel(units: list[bytes], landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised kernel of units and landmarks, and the landmarks' subsequences: (keys, weights × landmarks)."""
-
-    def laid(words: list[bytes]):
-        size = np.array([len(w) for w in words], np.int64)
-        data = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8)
-        end = np.cumsum(size)
-        own, key, weight = _merged(*subsequences(data, end - size, end))
-        norm = np.sqrt(np.bincount(own, weights=weight.astype(np.float64) ** 2, minlength=len(words)))
-        return own, key, weight / np.maximum(norm, 1e-9)[own]
-
-    own, key, weight = laid(landmarks)
-    keys, place = np.unique(key, return_inverse=True)
-    table = np.zeros((len(keys), len(landmarks)), np.float32)
-    table[place, own] = weight
-    out = np.zeros((len(units), len(landmarks)), np.float32)
-    for a in range(0, len(units), 5_000):
-        own, key, weight = laid(units[a : a + 5_000])
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        own, at, weight = own[hit], at[hit], weight[hit]
+def _laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Span, subsequence and weight, the weights of a span making a vector of length 1."""
+    size = np.array([len(w) for w in words], np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum(size)
+    own, key, weight = _merged(*subsequences(data, end - size, end))
+    norm = np.sqrt(np.bincount(own, weights=weight.astype(np.float64) ** 2, minlength=len(words)))
+    return own, key, weight / np.maximum(norm, 1e-9)[own]
+
+
+class Landmarks:
+    """Spans that others are compared with; ``table`` has their subsequences (``keys`` × landmarks)."""
+
+    def __init__(self, spans: list[bytes]):
+        own, key, weight = _laid(spans)
+        self.keys, place = np.unique(key, return_inverse=True)
+        self.table = np.zeros((len(self.keys), len(spans)), np.float32)
+        self.table[place, own] = weight
+        value, vector = np.linalg.eigh(self.kernel(spans).astype(np.float64))
+        #: The inverse square root of the landmarks' own kernel makes kernel rows Nyström features.
+        self.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+
+    def kernel(self, units: list[bytes]) -> np.ndarray:
+        """Normalised kernel of units and landmarks."""
+        out = np.zeros((len(units), self.table.shape[1]), np.float32)
+        own, key, weight = _laid(units)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        own, at, weight = own[hit], at[hit], weight[hit].astype(np.float32)
         if len(own):
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            out[a + own[first]] = np.add.reduceat(table[at] * weight[:, None], first, axis=0)
-    return out, keys, table
+            out[own[first]] = np.add.reduceat(self.table[at] * weight[:, None], first, axis=0)
+        return out
+
+    def features(self, kernel: np.ndarray) -> np.ndarray:
+        return (kernel @ self.root).astype(np.float32)
 
 
 def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
@@ -275,11 +286,11 @@ class Training:
     Half of the ``landmarks`` are the spans most tied to the label, half are others.
     """
 
-    positive: int = 1_500
-    negative: int = 3_000
+    positive: int = 1_000
+    negative: int = 2_000
     landmarks: int = 128
     ridge: float = 1e-4
-    rounds: int = 4
+    rounds: int = 5
 
 
 def train(labelled: DataFrame, settings: Training = Training()) -> Model:
@@ -337,46 +348,58 @@ def train(labelled: DataFrame, settings: Training = Training()) -> Model:
     best = best[tied[best] > 0]
     rest = np.flatnonzero(usable & (in_negative > 0))
     rest = rest[np.argsort(mix(rest.astype(np.uint64)), kind="stable")][:half]
-    landmarks = [units[i] for i in dict.fromkeys([*best.tolist(), *rest.tolist()])]
-
-    kernel, keys, table = _kernel(units, landmarks)
-    own = _kernel(landmarks, landmarks)[0].astype(np.float64)
-    value, vector = np.linalg.eigh(own)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    mapped = (kernel @ root).astype(np.float32)
+    chosen = list(dict.fromkeys([*best.tolist(), *rest.tolist()]))
+    marks = Landmarks([units[i] for i in chosen])
 
     score = np.where(in_positive > 2, odds - np.log(_CLEAR), -1.0)
+    # Fitting starts from the spans that are like a landmark tied to the label, common, or clear.
+    near = []
+    for at in range(0, len(units), 4_000):
+        like = marks.kernel(units[at : at + 4_000])[:, : len(best)].max(axis=1, initial=0) > 0.1
+        near.append(at + np.flatnonzero(like | (in_negative[at : at + 4_000] > 5) | (score[at : at + 4_000] > 0)))
+    near = np.concatenate(near)
+    size = np.array([len(u) for u in units])
+    low = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(units), np.uint8)
     # Gapped forms of clear spans: a sign put into them. All forms of a span cost half as much as the span.
     gapped, gap_cost = [], []
     for i in best[score[best] > 0].tolist():
         forms = [units[i][:k] + bytes([sign]) + units[i][k:] for k, sign in zip(range(1, len(units[i])), GAPS * len(units[i]))]
         gapped += forms
         gap_cost += [in_positive[i] / 2 / len(forms)] * len(forms)
-    stretched = (_kernel(gapped, landmarks)[0] @ root).astype(np.float32)
+    stretched = marks.features(marks.kernel(gapped)) if gapped else np.zeros((0, len(chosen)), np.float32)
 
     # Negative spans: all of sentences of documents without the label. Positive: the worst of each sentence.
-    negative = np.flatnonzero(usable & (in_negative > 0))
     toxic = label[doc] == 1
     t_unit, t_sentence, t_doc = unit[toxic], sentence[toxic], doc[toxic]
-    w = np.zeros(len(landmarks))
+    place = np.full(len(units), -1)
+    mapped = np.zeros((0, len(chosen)), np.float32)
+    w = np.zeros(len(chosen))
     for _ in range(settings.rounds):
         order = np.lexsort((-score[t_unit], t_sentence))
         lead = order[np.concatenate(([True], t_sentence[order][1:] != t_sentence[order][:-1]))]
         worst = t_unit[lead]
         by_doc = np.full(len(label), -np.inf)
         np.maximum.at(by_doc, t_doc[lead], score[worst])
-        chosen = worst[(score[worst] > 0) | (score[worst] >= by_doc[t_doc[lead]])]
-        positive, times = np.unique(chosen, return_counts=True)
-        x = np.concatenate((mapped[positive], stretched, mapped[negative]))
+        taken = worst[(score[worst] > 0) | (score[worst] >= by_doc[t_doc[lead]])]
+        positive, times = np.unique(taken, return_counts=True)
+        new = np.setdiff1d(np.concatenate((near, positive)), np.flatnonzero(place >= 0))
+        place[new] = len(mapped) + np.arange(len(new))
+        mapped = np.concatenate([mapped, *(marks.features(marks.kernel([units[i] for i in new[k : k + 4_000].tolist()])) for k in range(0, len(new), 4_000))])
+        negative = np.flatnonzero((place >= 0) & usable & (in_negative > 0))
+        x = np.concatenate((mapped[place[positive]], stretched, mapped[place[negative]]))
         y = np.concatenate((np.ones(len(positive) + len(gapped)), -np.ones(len(negative))))
         # A span costs what the documents cost that it would put on the wrong side.
         cost = np.concatenate((2 * times, gap_cost, in_negative[negative])) / len(label)
         w = _support_vectors(x, y, cost, settings.ridge)
-        score = mapped @ w + LEAST
+        # All spans are scored; those of documents without the label that are no clear negatives join the fit.
+        score = Model(marks.keys, marks.table @ (marks.root @ w), LEAST, np.zeros(WORST), 0.0, []).margins(data, low, low + size)
+        near = np.flatnonzero(usable & (in_negative > 0) & (score > LEAST / 2))
 
-    folded = table @ (root @ w)
+    folded = marks.table @ (marks.root @ w)
     used = np.flatnonzero(folded)
-    model = Model(keys[used], folded[used], LEAST, np.zeros(WORST), 0.0, [u.decode("utf-8", "replace") for u in landmarks])
+    names = [units[i].decode("utf-8", "replace") for i in chosen]
+    model = Model(marks.keys[used], folded[used], LEAST, np.zeros(WORST), 0.0, names)
     return _calibrated(model, worst_margins(doc, unit, score[unit], len(label)), label)
 
 
