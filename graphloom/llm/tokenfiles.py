@@ -187,13 +187,17 @@ def digests(read: DataFrame) -> DataFrame:
 # Flat files
 
 
-def write_flat(documents: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Write ids as bare little-endian unsigned 32-bit numbers, ``end_id`` after each document, in order of doc_id.
+def write_flat(documents: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
+    """Write ids as bare little-endian unsigned numbers of ``width`` bytes (2 or 4), ``end_id`` after each document.
 
-    Strings of special tokens in a text are encoded as ordinary text, so ``end_id`` occurs at ends only.
+    Documents are written where they are read, in the order of the table. Strings of special tokens in a
+    text are encoded as ordinary text, so ``end_id`` occurs at ends only; an id that does not fit raises.
     Returns, stored in the shared folder, which document is where: file, part, n_bytes (of the file),
-    ordinal (from 0 in its file), doc_id. Nulls, ties and other columns are as in ``write_parquet``.
+    ordinal (from 0 in its file), doc_id. Null and empty texts have the end id alone; repeated rows and null
+    doc_ids are written like others; other columns are ignored; an empty table writes no file.
     """
+    if width not in (2, 4):
+        raise ValueError("width is 2 or 4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer, True), TaskContext.get().partitionId()
@@ -204,26 +208,28 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str, end_id: int) ->
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
-            for ids in encoded:
-                out.write(ids)
-                n += len(ids)
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            if width == 2 and ids.max(initial=0) >= 1 << 16:
+                raise ValueError(f"id {ids.max()} does not fit into two bytes")
+            out.write(ids.astype(f"<u{width}").tobytes())
+            n += width * len(ids)
             written += docs
         if out is not None:
             out.close()
             schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_bytes", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
-            rows = len(written)
-            for at in range(0, rows, 50_000):
+            for at in range(0, len(written), 50_000):
                 ids = written[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(ids)), pa.array([part] * len(ids), pa.int32()), pa.array([n] * len(ids), pa.int64()),
                      pa.array(np.arange(at, at + len(ids))), pa.array(ids, pa.int64())], schema=schema,
                 )
 
+    narrow = select(documents, "doc_id", "text")
     ddl = "file string, part int, n_bytes long, ordinal long, doc_id long"
-    return stored(in_order(documents).mapInArrow(run, ddl), "flat-files")
+    return stored(narrow.withColumn("doc_id", narrow.doc_id.cast("long")).mapInArrow(run, ddl), "flat-files")
 
 
-def scan_flat(files: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan_flat(files: DataFrame, path: str, end_id: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Count the tokens of every document in flat files (``files``: file, n_bytes), from their bytes alone.
 
     Blocks of ``block_bytes`` are searched for ``end_id`` on their own. A prefix scan over the blocks of a
@@ -234,23 +240,25 @@ def scan_flat(files: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK
     Returns file, ordinal (from 0 in its file), start (ids of the file before it), n_tokens (with the end
     id), ended. An empty file has no row; consecutive ends are documents of one token.
     """
-    block_bytes -= block_bytes % 4
+    block_bytes = max(width, block_bytes - block_bytes % width)
+    in_block = block_bytes // width
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("ends", pa.list_(pa.int64())), ("last", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             for file, n_bytes, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                low = block * block_bytes
+                low = block * in_block
                 with fs.open_input_file(f"{root}/{file}") as f:
-                    ids = np.frombuffer(f.read_at(min(block_bytes, n_bytes - low), low), "<u4")
-                ends = np.flatnonzero(ids == end_id) + (low // 4 + 1)
-                tail = low // 4 + len(ids) if low + block_bytes >= n_bytes and (not len(ends) or ends[-1] != low // 4 + len(ids)) else None
+                    ids = np.frombuffer(f.read_at(min(block_bytes, n_bytes - block * block_bytes), block * block_bytes), f"<u{width}")
+                ends = np.flatnonzero(ids == end_id) + (low + 1)
+                high = low + len(ids)
                 # An unended rest counts as one more end, at the end of the file.
-                found = np.append(ends, tail).astype(np.int64) if tail is not None else ends
+                if high * width >= n_bytes and (not len(ends) or ends[-1] != high):
+                    ends = np.append(ends, high)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([block], pa.int64()), pa.array([found], pa.list_(pa.int64())),
-                     pa.array([found[-1] if len(found) else None], pa.int64()), pa.array([len(found)], pa.int64())], schema=schema,
+                    [pa.array([file]), pa.array([block], pa.int64()), pa.array([ends], pa.list_(pa.int64())),
+                     pa.array([ends[-1] if len(ends) else None], pa.int64()), pa.array([len(ends)], pa.int64())], schema=schema,
                 )
 
     spark = files.sparkSession
@@ -269,7 +277,7 @@ def scan_flat(files: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"),
         F.coalesce(F.max("last").over(before), F.lit(0)).alias("open_since"),
     )
-    sizes = listed.select("file", (F.col("n_bytes") / 4).cast("long").alias("n_ids"))
+    sizes = listed.select("file", (F.col("n_bytes") / width).cast("long").alias("n_ids"))
     rows = found.select("file", "block", "ends").join(carried, ["file", "block"])
     rows = rows.select("file", "docs_before", F.array_insert(F.col("ends"), 1, F.col("open_since")).alias("edges"))
     spans = F.arrays_zip(F.slice("edges", 1, F.greatest(F.size("edges") - 1, F.lit(0))), F.slice("edges", 2, F.size("edges")))
@@ -279,12 +287,12 @@ def scan_flat(files: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK
         (F.col("span.1") - F.col("span.0")).alias("n_tokens"), F.col("span.1").alias("end"),
     )
     # Whether a file's last document was ended is known from its last id.
-    unended = _unended(listed, path, end_id)
+    unended = _unended(listed, path, end_id, width)
     joined = out.join(sizes.join(unended, "file"), "file")
     return joined.select("file", "ordinal", "start", "n_tokens", ((F.col("end") < F.col("n_ids")) | ~F.col("open_tail")).alias("ended"))
 
 
-def _unended(files: DataFrame, path: str, end_id: int) -> DataFrame:
+def _unended(files: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     schema = pa.schema([("file", pa.string()), ("open_tail", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,18 +301,18 @@ def _unended(files: DataFrame, path: str, end_id: int) -> DataFrame:
             names, open_tail = batch.column(0).to_pylist(), []
             for file, n_bytes in zip(names, batch.column(1).to_pylist()):
                 with fs.open_input_file(f"{root}/{file}") as f:
-                    open_tail.append(int.from_bytes(f.read_at(4, n_bytes - 4), "little") != end_id)
+                    open_tail.append(int.from_bytes(f.read_at(width, n_bytes - width), "little") != end_id)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(open_tail)], schema=schema)
 
     return files.mapInArrow(run, "file string, open_tail boolean")
 
 
-def count_tokens(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
     """Write ``documents`` to flat files, scan them, and name the documents again: doc_id, part, ordinal, start, n_tokens."""
     path = folder(documents.sparkSession, "flat")
-    written = write_flat(documents, path, tokenizer, end_id)
+    written = write_flat(documents, path, tokenizer, end_id, width)
     files = written.groupBy("file").agg(F.max("n_bytes").alias("n_bytes"))
-    counted = scan_flat(files, path, end_id)
+    counted = scan_flat(files, path, end_id, width)
     return written.select("file", "part", "ordinal", "doc_id").join(counted, ["file", "ordinal"]).select(
         "doc_id", "part", "ordinal", "start", "n_tokens"
     )

@@ -70,15 +70,15 @@ def test_token_files_of_nothing(spark):
     assert manifest.count() == 0 and tokenfiles.read_parquet(manifest, path).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 12, 64, 4_000_000])
-def test_separator_scan(spark, block):
+@pytest.mark.parametrize("block, width", [(4, 4), (12, 2), (64, 4), (4_000_000, 2)])
+def test_separator_scan(spark, block, width):
     path = folder(spark, "flat")
     fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
     rng = np.random.default_rng(block)
     files, want = [], set()
     for k in range(4):
-        ids = np.where(rng.random(200) < (0.0, 0.05, 0.4, 1.0)[k], 9, 1).astype("<u4")
+        ids = np.where(rng.random(200) < (0.0, 0.05, 0.4, 1.0)[k], 9, 1).astype(f"<u{width}")
         with fs.open_output_stream(f"{root}/f{k}") as out:
             out.write(ids.tobytes())
         files.append((f"f{k}", ids.nbytes))
@@ -88,7 +88,7 @@ def test_separator_scan(spark, block):
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
             want.add((f"f{k}", i, a, b - a, not (open_tail and b == len(ids))))
     files.append(("none", 0))
-    got = tokenfiles.scan_flat(spark.createDataFrame(files, "file string, n_bytes long"), path, 9, block)
+    got = tokenfiles.scan_flat(spark.createDataFrame(files, "file string, n_bytes long"), path, 9, width, block)
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -140,13 +140,9 @@ def test_best_two_fit_places_everything(lengths, capacity):
         assert len(own) and (offset[own] == np.cumsum(length[own]) - length[own]).all() and length[own].sum() <= capacity
 
 
-def test_second_step_fits_more_tightly():
-    # Greedy takes 6 and leaves 4; the 3 + 3 that fit better need the smaller document to give way.
-    assert packing.best_two_fit(np.bincount([6, 3, 4, 3, 3], minlength=11), 10)[0] == (1, [(6, 1), (4, 1)])
-    counts = np.bincount([7, 2, 0, 5, 5], minlength=11)
-    counts[0] = 0
-    patterns = packing.best_two_fit(np.bincount([8, 1, 5, 5], minlength=11), 10)
-    assert sum(b for b, _ in patterns) == 2
+def test_two_fit_more_tightly_than_one():
+    # After 11 the longest that fits is 8, which leaves 1; 5 and 4 in its place leave nothing.
+    assert packing.best_two_fit(np.bincount([11, 8, 5, 4], minlength=21), 20) == [(1, [(11, 1), (5, 1), (4, 1)]), (1, [(8, 1)])]
 
 
 def pages(spark):
