@@ -37,33 +37,65 @@ LOWER_RELS = """
 PAIR = "source_id, target_id"
 
 
-@query("grf1_nodes", with_(f"WITH {NODES} SELECT * FROM nodes"))
+@query("grf1_nodes", with_("""
+    SELECT entity_name AS node_id, coalesce(arg_min(entity_type, ord) FILTER (WHERE entity_type <> ''), 'UNKNOWN') AS type,
+           count(DISTINCT description) FILTER (WHERE description <> '') AS n_descriptions, count(DISTINCT chunk_id) AS n_sources
+    FROM fx_entities GROUP BY entity_name"""))
 def nodes(i):
     return g.build_nodes(i.fx_entities)
 
 
+@query("grf1_node_descriptions", with_("""
+    SELECT entity_name AS node_id, description, min(ord) AS ord FROM fx_entities WHERE description <> '' GROUP BY ALL"""))
+def node_descriptions(i):
+    """Whole descriptions: together far more than the short form of a node holds."""
+    return g.node_descriptions(i.fx_entities)
+
+
+@query("grf4_summarised_nodes", with_(f"WITH {NODES} SELECT * FROM nodes"))
+def summarised_nodes(i):
+    return g.summarised_nodes(i.fx_entities)
+
+
 @query("grf1_node_sources", with_("SELECT DISTINCT entity_name AS node_id, chunk_id AS source FROM fx_entities"))
 def node_sources(i):
     return g.node_sources(i.fx_entities)
 
 
+def _connected(i):
+    return g.connected(i.fx_relationships, i.fx_entities.select(F.col("entity_name").alias("node_id")))
+
+
 @query("grf2_edges", with_(f"""WITH {LOWER_RELS}, {edge_sql('rels', PAIR, 'sum')}
-    SELECT source_id AS source, target_id AS target, description, round(strength, 6) AS strength, n_keywords, n_chunks FROM edges"""))
+    SELECT source_id AS source, target_id AS target, round(strength, 6) AS strength, n_keywords,
+           (SELECT count(*) FROM efirsts f WHERE f.source_id = edges.source_id AND f.target_id = edges.target_id) AS n_descriptions, n_chunks
+    FROM edges"""))
 def edges(i):
-    rels = cut(g.connected(i.fx_relationships, i.fx_entities.select(F.col("entity_name").alias("node_id"))))
-    return g.build_edges(rels, strength="sum").withColumn("strength", F.round("strength", 6))
+    return g.build_edges(cut(_connected(i)), strength="sum").withColumn("strength", F.round("strength", 6))
+
+
+@query("grf2_edge_descriptions", with_(f"""WITH {LOWER_RELS}
+    SELECT source_id AS source, target_id AS target, description, min(ord) AS ord FROM rels WHERE description <> '' GROUP BY ALL"""))
+def edge_descriptions(i):
+    return g.edge_descriptions(_connected(i))
+
+
+@query("grf4_summarised_edges", with_(f"""WITH {LOWER_RELS}, {edge_sql('rels', PAIR, 'sum')}
+    SELECT source_id AS source, target_id AS target, description, round(strength, 6) AS strength, n_keywords, n_chunks FROM edges"""))
+def summarised_edges(i):
+    return g.summarised_edges(cut(_connected(i)), strength="sum").withColumn("strength", F.round("strength", 6))
 
 
 @query("grf2_edge_keywords", with_(f"""WITH {LOWER_RELS}, {edge_sql('rels', PAIR, 'sum')}
     SELECT source_id AS source, target_id AS target, keyword FROM ekw"""))
 def edge_keywords(i):
-    return g.edge_keywords(g.connected(i.fx_relationships, g.build_nodes(i.fx_entities)))
+    return g.edge_keywords(g.connected(i.fx_relationships, g.summarised_nodes(i.fx_entities)))
 
 
 @query("grf2_edge_chunks", with_(f"""WITH {LOWER_RELS}
     SELECT DISTINCT source_id AS source, target_id AS target, chunk_id AS chunk FROM rels"""))
 def edge_chunks(i):
-    return g.edge_chunks(g.connected(i.fx_relationships, g.build_nodes(i.fx_entities)))
+    return g.edge_chunks(g.connected(i.fx_relationships, g.summarised_nodes(i.fx_entities)))
 
 
 @query("grf3_statistics", with_("""
@@ -72,14 +104,14 @@ def edge_chunks(i):
     SELECT n AS n_nodes, m AS n_edges, round(2.0 * m / n, 6) AS avg_degree,
            round(CAST(m AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1)), 6) AS density FROM n, m"""))
 def statistics(i):
-    df = g.statistics(g.build_nodes(i.fx_entities), g.build_edges(i.fx_relationships))
+    df = g.statistics(g.summarised_nodes(i.fx_entities), g.summarised_edges(i.fx_relationships))
     return df.withColumns({c: F.round(c, 6) for c in ("avg_degree", "density")})
 
 
 @query("grf3_type_counts", with_("""
     SELECT type, count(*) AS n FROM (SELECT entity_name, arg_min(entity_type, ord) AS type FROM fx_entities GROUP BY ALL) GROUP BY ALL"""))
 def type_counts(i):
-    return g.type_counts(g.build_nodes(i.fx_entities))
+    return g.type_counts(g.summarised_nodes(i.fx_entities))
 
 
 DOC_NODES = """
@@ -126,8 +158,8 @@ def node_documents(i):
     SELECT node_id, coalesce(nullif(type, 'product'), 'unknown') AS type, description, n_sources FROM nodes"""))
 def read_nodes(i):
     """Node types left empty on purpose read as ``unknown``."""
-    raw = g.build_nodes(i.fx_entities).withColumn("type", F.nullif("type", F.lit("product")))
-    return g.read_graph(raw, g.build_edges(i.fx_relationships))[0]
+    raw = g.summarised_nodes(i.fx_entities).withColumn("type", F.nullif("type", F.lit("product")))
+    return g.read_graph(raw, g.summarised_edges(i.fx_relationships))[0]
 
 
 def _tables(i):
@@ -189,7 +221,7 @@ def delete_tenant(i):
 
 @query("grf18_select_nodes", with_(f"WITH {NODES} SELECT node_id FROM nodes WHERE type IN ('organization', 'product')"))
 def select_nodes(i):
-    return g.select_nodes(g.build_nodes(i.fx_entities), "type", ["organization", "product"])
+    return g.select_nodes(g.summarised_nodes(i.fx_entities), "type", ["organization", "product"])
 
 
 @query("grf18_select_endpoints", with_("""
@@ -208,7 +240,7 @@ def keyword_counts(i):
            (SELECT count(DISTINCT keyword) FROM ekw) AS n_keywords"""))
 def strength_summary(i):
     rels = i.fx_relationships
-    df = g.strength_summary(g.build_edges(rels, strength="avg"), g.edge_keywords(rels))
+    df = g.strength_summary(g.summarised_edges(rels, strength="avg"), g.edge_keywords(rels))
     return df.withColumn("avg_strength", F.round("avg_strength", 6))
 
 
@@ -220,14 +252,14 @@ DEGREES = "deg AS (SELECT node_id, count(*) AS degree FROM (SELECT unnest([sourc
            + CASE WHEN contains(lower(type), 'ring') THEN 3 ELSE 0 END AS INTEGER) AS score, coalesce(degree, 0) AS degree
     FROM nodes LEFT JOIN deg USING (node_id) WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20"""))
 def search_nodes(i):
-    return g.search_nodes(g.build_nodes(i.fx_entities), g.build_edges(i.fx_relationships), "Ring")
+    return g.search_nodes(g.summarised_nodes(i.fx_entities), g.summarised_edges(i.fx_relationships), "Ring")
 
 
 @query("grf21_browse_nodes", with_(f"""WITH {NODES}, {DEGREES}
     SELECT node_id, type, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (node_id)
     WHERE contains(lower(node_id), 'e') AND type = 'organization' ORDER BY degree DESC, node_id LIMIT 50"""))
 def browse_nodes(i):
-    return g.browse_nodes(g.build_nodes(i.fx_entities), g.build_edges(i.fx_relationships), "E", "organization")
+    return g.browse_nodes(g.summarised_nodes(i.fx_entities), g.summarised_edges(i.fx_relationships), "E", "organization")
 
 
 @query("grf22_browse_edges", with_(f"""WITH {edge_sql('fx_relationships', PAIR, 'sum')},
@@ -240,7 +272,7 @@ def browse_nodes(i):
     FROM best JOIN ekw USING (source_id, target_id) GROUP BY source_id, target_id"""))
 def browse_edges(i):
     rels = i.fx_relationships
-    edges_ = g.build_edges(rels, strength="sum")
+    edges_ = g.summarised_edges(rels, strength="sum")
     edges_ = edges_.withColumn("strength", F.round("strength", 6))
     return g.browse_edges(edges_, g.edge_keywords(rels), "bulk", 3.0)
 
@@ -253,7 +285,7 @@ def browse_edges(i):
 def view_subset(i):
     rels = i.fx_relationships
     _, inside = g.view_subset(
-        g.build_nodes(i.fx_entities), g.build_edges(rels), g.edge_keywords(rels),
+        g.summarised_nodes(i.fx_entities), g.summarised_edges(rels), g.edge_keywords(rels),
         200, ["organization", "product"], ["bulk", "economy"], 2.0,
     )
     return inside.select("source", "target", F.round("strength", 6).alias("strength"))

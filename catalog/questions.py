@@ -115,7 +115,7 @@ def _centres(i):
     UNION ALL SELECT qid, 'entity', seed, round(score, 6) FROM ctx"""))
 def dual(i):
     chunks = _vector_branch(i).select("qid", F.lit("chunk").alias("kind"), F.col("idx").cast("string").alias("item"), F.round("similarity", 6).alias("score"))
-    ctx = t.contexts(i.fx_seeds, g.build_nodes(i.fx_walk_entities), found(i, 2))
+    ctx = t.contexts(i.fx_seeds, g.summarised_nodes(i.fx_walk_entities), found(i, 2))
     return chunks.unionByName(ctx.select("qid", F.lit("entity").alias("kind"), F.col("seed").alias("item"), F.round("score", 6).alias("score")))
 
 
@@ -160,7 +160,7 @@ CTX_RANKED = """
 def _contexts(i):
     """Contexts of the nation questions, scores scaled down so that few reach the cap."""
     near = cut_found(i)
-    ctx = t.contexts(i.fx_seeds, g.build_nodes(i.fx_walk_entities), near).withColumn("score", F.col("score") * 0.3)
+    ctx = t.contexts(i.fx_seeds, g.summarised_nodes(i.fx_walk_entities), near).withColumn("score", F.col("score") * 0.3)
     return near, r.rerank_contexts(ctx, i.fx_nation_questions)
 
 
@@ -222,7 +222,7 @@ def context_block(i):
     FROM ck LEFT JOIN lines USING (qid, seed) LEFT JOIN names USING (qid, seed)"""))
 def graph_text(i):
     near, ctx = _contexts(i)
-    edges = g.build_edges(i.fx_walk, strength="avg").select("source", "target", "description")
+    edges = g.summarised_edges(i.fx_walk, strength="avg").select("source", "target", "description")
     return r.graph_text(ctx, near, edges, g.edge_keywords(i.fx_walk))
 
 
@@ -237,6 +237,6 @@ def full_context(i):
     )
     store = cut(encode(docs, HashingEncoder(64), "content"))
     result = ask.retrieve(
-        i.fx_part_questions, i.fx_entities, store, cut(g.build_nodes(i.fx_entities)), walk_edges(i), HashingEncoder(64), 5, ask.Mode(expand_query=True)
+        i.fx_part_questions, i.fx_entities, store, cut(g.summarised_nodes(i.fx_entities)), walk_edges(i), HashingEncoder(64), 5, ask.Mode(expand_query=True)
     )
     return ask.context(result, g.edge_keywords(i.fx_walk))

@@ -59,15 +59,13 @@ def clean(i):
     return i.documents.select("doc_id", clean_field(F.col("text")).alias("cleaned"))
 
 
-WORDS = r"SELECT doc_id, w, text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w, left(text, 12) AS text FROM documents)"
+WORDS = r"SELECT doc_id, w, text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w, text FROM documents)"
 
 
 @query("ext6_good_entities", f"WITH w AS ({WORDS}) SELECT w, count(*) AS n FROM w WHERE {good_sql('w', 'text')} GROUP BY ALL")
 def good_entities(i):
-    """Every word of every document as an entity name, the start of the text as its description."""
-    named = i.documents.select(
-        F.explode(F.split("text", r"\s+")).alias("w"), F.left("text", F.lit(12)).alias("text")
-    )
+    """Every word of every document as an entity name, the whole text as its description."""
+    named = i.documents.select(F.explode(F.split("text", r"\s+")).alias("w"), "text")
     return named.where(is_good_entity(F.col("w"), F.col("text"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -206,9 +206,9 @@ def _document_stats(i):
 
 
 @query("anl9_documents", with_(f"""WITH {DOC_STATS} SELECT *, CASE WHEN chunks > 0 AND embeddings > 0 THEN 'completed' ELSE 'failed' END AS status
-    FROM d ORDER BY uploaded_at DESC, doc_id LIMIT 100"""))
+    FROM d """))
 def documents(i):
-    return a.document_list(_document_stats(i), 100)
+    return a.document_list(_document_stats(i))
 
 
 @query("anl10_document_stats", with_(f"""WITH {DOC_STATS} SELECT * EXCLUDE (filename, uploaded_at), CASE WHEN chunks > 0 AND embeddings > 0 THEN 'completed' ELSE 'failed' END AS status FROM d"""))

@@ -44,9 +44,9 @@ def json_text(i):
     return files.parse_column(i.events.select("event_id", "props"), "props", markup.json_text)
 
 
-@query("src6_row_lines", "SELECT p_partkey, concat(p_partkey, ' | ', p_name, ' | ', p_brand, ' | ', p_size) AS line FROM part")
+@query("src6_row_lines", "SELECT p_partkey, concat_ws(' | ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) AS line FROM part")
 def row_lines(i):
-    return files.row_lines(i.part, ["p_partkey", "p_name", "p_brand", "p_size"]).select("p_partkey", "line")
+    return files.row_lines(i.part, i.part.columns).select("p_partkey", "line")
 
 
 # Parsed documents: the elements of an order, in one row.
@@ -94,9 +94,9 @@ UPLOADS = """SELECT page_id, url AS filename, length(html) * 1000 AS length, ts
 
 
 @query("src9_uploads", r"""SELECT page_id, concat(strftime(ts, '%Y%m%d_%H%M%S'), '_', regexp_replace(url, '[^\p{L}\p{N}._\- ]', '', 'g')) AS stored_as,
-    concat(strftime(ts, '%Y%m%d_%H%M%S'), '_', url) AS doc_id FROM pages JOIN events ON event_id = page_id WHERE length(html) * 1000 <= 1500000""")
+    concat(strftime(ts, '%Y%m%d_%H%M%S'), '_', url) AS doc_id, length(html) * 1000 <= 1500000 AS accepted FROM pages JOIN events ON event_id = page_id""")
 def uploads(i):
-    return files.accepted_uploads(i.sql(UPLOADS), 1_500_000).select("page_id", "stored_as", "doc_id")
+    return files.judged_uploads(i.sql(UPLOADS), 1_500_000).select("page_id", "stored_as", "doc_id", "accepted")
 
 
 STORED = """SELECT user_id, conversation_id, message_index, arg_max(rating, (created_at, event_id)) AS rating, arg_max(relevancy_score, (created_at, event_id)) AS relevancy_score

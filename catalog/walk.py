@@ -39,7 +39,7 @@ WALK = f"{edge_sql('fx_walk', PAIR, 'avg')}, {IMPORTANCE}"
 
 def walk_edges(i):
     """Scored edges; importance is rounded so that both engines rank ties alike."""
-    edges = t.edge_scores(g.build_edges(i.fx_walk, strength="avg"))
+    edges = t.edge_scores(g.summarised_edges(i.fx_walk, strength="avg"))
     return cut(edges.withColumn("importance", F.round("importance", 6)))
 
 
@@ -51,7 +51,7 @@ def walk_edges(i):
     FROM scored LEFT JOIN hits USING (source_id, target_id)"""))
 def edge_importance(i):
     rels = i.fx_relationships
-    scored = t.edge_scores(g.build_edges(rels, strength="sum"), g.edge_keywords(rels), ["Econ", "brand#1", ""])
+    scored = t.edge_scores(g.summarised_edges(rels, strength="sum"), g.edge_keywords(rels), ["Econ", "brand#1", ""])
     return scored.select("source", "target", F.round("importance", 6).alias("importance"))
 
 
@@ -108,7 +108,7 @@ def second_hop(i):
            round(least(1.0::DOUBLE, coalesce(average * (n_neighbours / 10.0::DOUBLE), 0)), 6) AS score
     FROM fx_seeds s JOIN nodes n ON n.node_id = s.seed LEFT JOIN sums USING (qid, seed)"""))
 def graph_context(i):
-    df = t.contexts(i.fx_seeds, g.build_nodes(i.fx_walk_entities), found(i, 2))
+    df = t.contexts(i.fx_seeds, g.summarised_nodes(i.fx_walk_entities), found(i, 2))
     return df.withColumn("score", F.round("score", 6))
 
 

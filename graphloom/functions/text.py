@@ -84,8 +84,8 @@ def joined_text(
 ) -> DataFrame:
     """Per key: distinct texts in order of first appearance, joined, cut to ``max_chars``.
 
-    The result never needs more than the first ``1 + max_chars / (len(sep) + 1)``
-    distinct texts, each cut to ``max_chars``, so the group that meets in one task
+    The result never needs more than the first ``(max_chars + len(sep)) / (len(sep) + 1)``
+    distinct texts (rounded up), each cut to ``max_chars``, so the group that meets in one task
     is bounded however large the key is: copies are merged before the shuffle and
     the rank limit is applied on both sides of it.
     """
@@ -106,7 +106,8 @@ def first_text(text: str, order: str, max_chars: int) -> Column:
 
 def join_firsts(firsts: DataFrame, keys: Sequence[str], max_chars: int, name: str, sep: str = "; ") -> DataFrame:
     """Second half of ``joined_text``: from one row per key and distinct text (``__first``)."""
-    needed = 1 + max_chars // (len(sep) + 1)
+    # n texts of a character each, with separators between them, reach max_chars.
+    needed = -(-(max_chars + len(sep)) // (len(sep) + 1))
     place = Window.partitionBy(*keys).orderBy("__first")
     return (
         firsts.select(*keys, "__first", F.row_number().over(place).alias("__rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from graphloom.operators.inference import Model, run_model
 
 KEY = ["user_id", "conversation_id", "message_index"]
 SCORES = ["rating", "relevancy_score", "faithfulness_score"]
+TEXTS = ["feedback_text", "relevancy_reason", "faithfulness_reason"]
+#: Columns that tell which of two rows is the later one; those that a table lacks are left out.
+ORDER = ("created_at", "event_id")
 NO_REASON = "No reason given"
 
 
@@ -26,28 +31,50 @@ def split_feedback(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
     return feedback.where(valid_scores()), feedback.where(~valid_scores())
 
 
-def latest_feedback(feedback: DataFrame) -> DataFrame:
-    """Last write per user, conversation and message."""
+def _moment(feedback: DataFrame, order: Sequence[str]) -> Column:
+    """When a row was written, with every column of ``order`` that the table has."""
+    return F.struct(*[c for c in order if c in feedback.columns])
+
+
+def _newest(feedback: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Newest first; rows of one moment in the order of their keys."""
+    return [*[F.desc(c) for c in order if c in feedback.columns], *[F.asc(c) for c in KEY if c in feedback.columns]]
+
+
+def latest_feedback(feedback: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """Last write per user, conversation and message; ``order`` tells which is last."""
     values = [c for c in feedback.columns if c not in KEY]
-    last = F.max_by(F.struct(*values), F.struct("created_at", "event_id"))
+    last = F.max_by(F.struct(*values), F.struct(_moment(feedback, order), *values))
     return feedback.groupBy(*KEY).agg(last.alias("last")).select(*KEY, "last.*")
 
 
-def merge_evaluations(feedback: DataFrame) -> DataFrame:
-    """Manual and automatic evaluation of one message together: the last value given for each field."""
-    fields = [*SCORES, "response_time_ms"]
-    at = F.struct("created_at", "event_id")
+def _given(feedback: DataFrame) -> list[str]:
+    return [c for c in (*SCORES, "response_time_ms", *TEXTS) if c in feedback.columns]
+
+
+def merge_evaluations(feedback: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """Manual and automatic evaluation of one message together: the last value given for each score, time, text and reason."""
+    at = _moment(feedback, order)
     return feedback.groupBy(*KEY).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(at, c))).alias(c) for c in _given(feedback)],
         F.max("auto_evaluated").alias("auto_evaluated"),
     )
 
 
 def merge_with_existing(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert evaluations into stored ones; a field missing in the new row keeps its stored value."""
-    fields = [*SCORES, "response_time_ms", "auto_evaluated"]
+    """Upsert evaluations into stored ones; a field missing in the new row keeps its stored value.
+
+    A message that was evaluated automatically once stays marked so.
+    """
     a, b = existing.alias("a"), new.alias("b")
-    return a.join(b, KEY, "full").select(*KEY, *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in fields])
+
+    def either(c: str) -> Column:
+        sides = [F.col(f"{t}.{c}") for t, df in (("b", new), ("a", existing)) if c in df.columns]
+        return F.coalesce(*sides).alias(c)
+
+    fields = [c for c in (*SCORES, "response_time_ms", *TEXTS) if c in {*existing.columns, *new.columns}]
+    marked = F.coalesce("a.auto_evaluated", F.lit(False)) | F.coalesce("b.auto_evaluated", F.lit(False))
+    return a.join(b, KEY, "full").select(*KEY, *[either(c) for c in fields], marked.alias("auto_evaluated"))
 
 
 def statistics(feedback: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -70,10 +97,10 @@ def rating_histogram(feedback: DataFrame) -> DataFrame:
     return scale.join(n, "rating", "left").select("rating", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def list_feedback(feedback: DataFrame, user_id=None, skip: int = 0, limit: int = 50) -> DataFrame:
+def list_feedback(feedback: DataFrame, user_id=None, skip: int = 0, limit: int = 50, order: Sequence[str] = ORDER) -> DataFrame:
     """Newest first."""
     rows = feedback if user_id is None else feedback.where(F.col("user_id") == user_id)
-    return rows.orderBy(F.desc("created_at"), F.desc("event_id")).offset(skip).limit(limit)
+    return rows.orderBy(*_newest(feedback, order)).offset(skip).limit(limit)
 
 
 def satisfaction(feedback: DataFrame) -> DataFrame:
@@ -82,9 +109,11 @@ def satisfaction(feedback: DataFrame) -> DataFrame:
     return feedback.agg(F.count(F.lit(1)).alias("total"), mean.alias("mean_rating"), (mean / 5 * 100).alias("satisfaction"))
 
 
-def recent_feedback(feedback: DataFrame, users: DataFrame, per_user: int = 10, limit: int = 20) -> DataFrame:
+def recent_feedback(
+    feedback: DataFrame, users: DataFrame, per_user: int = 10, limit: int = 20, order: Sequence[str] = ORDER
+) -> DataFrame:
     """The newest ``per_user`` of each user, of those the newest ``limit``, of those the rated ones."""
-    newest = [F.desc("created_at"), F.desc("event_id")]
+    newest = _newest(feedback, order)
     mine = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest))
     shown = feedback.withColumn("place", mine).where(F.col("place") <= per_user).drop("place").orderBy(*newest).limit(limit)
     named = shown.where("rating IS NOT NULL").join(users.select("user_id", "username"), "user_id", "left")

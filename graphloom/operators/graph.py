@@ -24,23 +24,39 @@ DESCRIPTION_CHARS = 500
 
 
 def build_nodes(entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """One node per entity name (and scope): first type, distinct descriptions, source count."""
+    """One node per entity name (and scope): first type, numbers of distinct descriptions and sources.
+
+    The descriptions themselves are rows of ``node_descriptions``, whole and uncut.
+    """
     keys = [*scope, "entity_name"]
     typed = F.when(F.col("entity_type") != "", F.struct(F.col("ord").alias("at"), F.col("entity_type").alias("type")))
     facts = entities.groupBy(*keys).agg(
         F.coalesce(F.min(typed)["type"], F.lit("UNKNOWN")).alias("type"),
         F.countDistinct("chunk_id").alias("n_sources"),
     )
-    texts = joined_text(entities, keys, "description", "ord", DESCRIPTION_CHARS)
-    return (
-        facts.join(texts, keys, "left")
-        .select(
-            *scope,
-            F.col("entity_name").alias("node_id"),
-            "type",
-            F.coalesce("description", F.lit("")).alias("description"),
-            "n_sources",
-        )
+    said = node_descriptions(entities, scope).groupBy(*scope, "node_id").agg(F.count(F.lit(1)).alias("n_descriptions"))
+    named = facts.withColumnRenamed("entity_name", "node_id")
+    return named.join(said, [*scope, "node_id"], "left").select(
+        *scope, "node_id", "type", F.coalesce("n_descriptions", F.lit(0)).cast("long").alias("n_descriptions"), "n_sources"
+    )
+
+
+def node_descriptions(entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Link table node → distinct description, whole, with the ord of its first appearance."""
+    named = entities.withColumnRenamed("entity_name", "node_id")
+    return _descriptions(named, [*scope, "node_id"])
+
+
+def _descriptions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.where("description <> ''").groupBy(*keys, "description").agg(F.min("ord").alias("ord"))
+
+
+def summarised_nodes(entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Nodes as the per-document sync keeps them: the joined descriptions cut to ``DESCRIPTION_CHARS``."""
+    keys = [*scope, "entity_name"]
+    texts = joined_text(entities, keys, "description", "ord", DESCRIPTION_CHARS).withColumnRenamed("entity_name", "node_id")
+    return build_nodes(entities, scope).join(texts, [*scope, "node_id"], "left").select(
+        *scope, "node_id", "type", F.coalesce("description", F.lit("")).alias("description"), "n_sources"
     )
 
 
@@ -61,29 +77,36 @@ def connected(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_edges(relationships: DataFrame, scope: Sequence[str] = (), strength: str = "sum") -> DataFrame:
-    """One edge per directed pair (and scope); ``strength`` is the sum or the average of the weights."""
+    """One edge per directed pair (and scope); ``strength`` is the sum or the average of the weights.
+
+    Descriptions and keywords are counted; they are rows of ``edge_descriptions`` and ``edge_keywords``.
+    """
     keys = [*scope, "source_id", "target_id"]
+    ends = [*scope, "source", "target"]
     weight = F.coalesce(F.col("weight"), F.lit(1.0))
     total = {"sum": F.sum(weight), "avg": F.avg(weight)}[strength]
     facts = relationships.groupBy(*keys).agg(
         total.alias("strength"), F.countDistinct("chunk_id").alias("n_chunks")
-    )
-    texts = joined_text(relationships, keys, "description", "ord", DESCRIPTION_CHARS)
-    counted = edge_keywords(relationships, scope).groupBy(*scope, "source", "target").agg(
-        F.count(F.lit(1)).alias("n_keywords")
-    )
+    ).withColumnsRenamed({"source_id": "source", "target_id": "target"})
+    for links, name in ((edge_keywords(relationships, scope), "n_keywords"), (edge_descriptions(relationships, scope), "n_descriptions")):
+        facts = facts.join(links.groupBy(*ends).agg(F.count(F.lit(1)).alias(name)), ends, "left")
+    counted = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_keywords", "n_descriptions")]
+    return facts.select(*ends, "strength", *counted, "n_chunks")
+
+
+def edge_descriptions(relationships: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Link table edge → distinct description, whole, with the ord of its first appearance."""
+    named = relationships.withColumnsRenamed({"source_id": "source", "target_id": "target"})
+    return _descriptions(named, [*scope, "source", "target"])
+
+
+def summarised_edges(relationships: DataFrame, scope: Sequence[str] = (), strength: str = "sum") -> DataFrame:
+    """Edges as the per-document sync keeps them: the joined descriptions cut to ``DESCRIPTION_CHARS``."""
     ends = [*scope, "source", "target"]
-    return (
-        facts.join(texts, keys, "left")
-        .withColumnsRenamed({"source_id": "source", "target_id": "target"})
-        .join(counted, ends, "left")
-        .select(
-            *ends,
-            F.coalesce("description", F.lit("")).alias("description"),
-            "strength",
-            F.coalesce("n_keywords", F.lit(0)).cast("long").alias("n_keywords"),
-            "n_chunks",
-        )
+    texts = joined_text(relationships, [*scope, "source_id", "target_id"], "description", "ord", DESCRIPTION_CHARS)
+    texts = texts.withColumnsRenamed({"source_id": "source", "target_id": "target"})
+    return build_edges(relationships, scope, strength).join(texts, ends, "left").select(
+        *ends, F.coalesce("description", F.lit("")).alias("description"), "strength", "n_keywords", "n_chunks"
     )
 
 
@@ -121,12 +144,12 @@ def keyword_text(edges: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def sync_nodes(entities: DataFrame) -> DataFrame:
     """Nodes of every document in one pass."""
-    return build_nodes(entities, scope=["doc_id"])
+    return summarised_nodes(entities, scope=["doc_id"])
 
 
 def sync_edges(relationships: DataFrame) -> DataFrame:
     """Edges of every document in one pass; strength is the average weight."""
-    return build_edges(relationships, scope=["doc_id"], strength="avg")
+    return summarised_edges(relationships, scope=["doc_id"], strength="avg")
 
 
 def merge_documents(per_document: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -228,8 +251,8 @@ def delete_documents(tables: dict[str, DataFrame], documents: DataFrame) -> dict
 
 
 def delete_tenant(tables: dict[str, DataFrame], user_id: str) -> dict[str, DataFrame]:
-    """Drop every row of one user from every table; ``report`` counts them per table."""
-    out = {name: df.where(F.col("user_id") != user_id) for name, df in tables.items()}
+    """Drop every row of one user from every table; ``report`` counts them per table. Rows without a user stay."""
+    out = {name: df.where(~F.col("user_id").eqNullSafe(user_id)) for name, df in tables.items()}
     report = None
     for name, df in tables.items():
         part = df.where(F.col("user_id") == user_id).agg(F.count(F.lit(1)).alias("n")).select(

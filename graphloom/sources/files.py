@@ -25,14 +25,13 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(as_text, "\r\n?", "\n")
 
 
-def _files(spark: SparkSession, path: str, suffixes: Sequence[str], max_bytes: int) -> DataFrame:
+def _files(spark: SparkSession, path: str, suffixes: Sequence[str]) -> DataFrame:
     ends = [e for s in suffixes for e in (s, s.upper())]
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.{" + ",".join(ends) + "}")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .where(F.col("length") <= max_bytes)
     )
 
 
@@ -40,7 +39,6 @@ def read_documents(
     spark: SparkSession,
     path: str,
     parsers: dict[str, Parser] | None = None,
-    max_bytes: int = fixed.MAX_UPLOAD_BYTES,
     binary_parsers: dict[str, Callable[[bytes], str]] | None = None,
 ) -> DataFrame:
     """(file_path, file_type, text) of every readable file below ``path``.
@@ -51,11 +49,11 @@ def read_documents(
     """
     parsers = markup.PARSERS if parsers is None else parsers
     columns = [F.col("path").alias("file_path"), F.upper(suffix(F.col("path"))).alias("file_type")]
-    plain = _files(spark, path, fixed.TEXT_SUFFIXES, max_bytes).select(*columns, decode_text(F.col("content")).alias("text"))
-    marked = _files(spark, path, list(parsers), max_bytes).select(*columns, decode_text(F.col("content")).alias("text"))
+    plain = _files(spark, path, fixed.TEXT_SUFFIXES).select(*columns, decode_text(F.col("content")).alias("text"))
+    marked = _files(spark, path, list(parsers)).select(*columns, decode_text(F.col("content")).alias("text"))
     out = plain.unionByName(parse_marked(marked, parsers))
     if binary_parsers:
-        raw = _files(spark, path, list(binary_parsers), max_bytes).select(*columns, F.col("content").alias("text"))
+        raw = _files(spark, path, list(binary_parsers)).select(*columns, F.col("content").alias("text"))
         out = out.unionByName(parse_marked(raw, binary_parsers))
     return out.where(F.trim("text") != "")
 
@@ -151,8 +149,9 @@ def stored_name(name: Column, at: Column) -> Column:
     return F.concat(F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), safe_name(name))
 
 
-def accepted_uploads(uploads: DataFrame, max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:
-    """Uploads (filename, uploaded_at, length) within the size limit, with stored name and document id."""
+def judged_uploads(uploads: DataFrame, max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:
+    """Every upload (filename, uploaded_at, length) with stored name, document id and whether it is ``accepted`` by size."""
     name = stored_name(F.col("filename"), F.col("uploaded_at"))
     doc_id = F.concat(F.date_format("uploaded_at", "yyyyMMdd_HHmmss"), F.lit("_"), F.col("filename"))
-    return uploads.where(F.col("length") <= max_bytes).withColumns({"stored_as": name, "doc_id": doc_id})
+    accepted = F.coalesce(F.col("length") <= max_bytes, F.lit(False))
+    return uploads.withColumns({"stored_as": name, "doc_id": doc_id, "accepted": accepted})

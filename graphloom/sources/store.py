@@ -16,13 +16,14 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ("user_id",))
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full-row version of a keyed ``set``: fields given in ``new`` win, others keep their stored value.
 
-    Both sides are unique on the keys. The result is a new version of the table;
-    write it beside the old one, never over the files it is read from.
+    Fields that only ``new`` has are added, null for rows that it does not name. Both sides are unique on
+    the keys. The result is a new version of the table; write it beside the old one, never over the files
+    it is read from.
     """
     a, b = stored.alias("a"), new.alias("b")
-    fields = [c for c in stored.columns if c not in keys]
-    values = [F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in new.columns else F.col(f"a.{c}") for c in fields]
-    return a.join(b, list(keys), "full").select(*keys, *values)
+    values = [F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in new.columns else F.col(f"a.{c}") for c in stored.columns if c not in keys]
+    added = [F.col(f"b.{c}") for c in new.columns if c not in stored.columns]
+    return a.join(b, list(keys), "full").select(*keys, *values, *added)
 
 
 def add_links(stored: DataFrame, new: DataFrame) -> DataFrame:

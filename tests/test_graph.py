@@ -21,8 +21,9 @@ def chain(spark, names):
 def test_strength_is_summed_or_averaged(spark):
     r = rels(spark, ("A", "B", 1.0, "x, y"), ("A", "B", 3.0, "y,,z "))
     assert g.build_edges(r).first()["strength"] == 4.0
-    row = g.build_edges(r, strength="avg").first()
+    row = g.summarised_edges(r, strength="avg").first()
     assert (row["strength"], row["n_keywords"], row["n_chunks"], row["description"]) == (2.0, 3, 2, "text")
+    assert g.build_edges(r).first()["n_descriptions"] == 1
     assert sorted(x["keyword"] for x in g.edge_keywords(r).collect()) == ["x", "y", "z"]
 
 
@@ -122,3 +123,17 @@ def test_view_subset_bounds(spark):
     edges = spark.range(9).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"), F.col("id").cast("double").alias("strength"))
     shown, inside = g.view_subset(nodes, edges, edges.select("source", "target", F.lit("k").alias("keyword")), 4, None, ["k"], 1.0)
     assert shown.count() == 4 and sorted(r["source"] for r in inside.collect()) == ["1", "2"]
+
+
+def test_descriptions_are_whole_in_the_link_table(spark):
+    rows = [("A", "t", f"text {k} " + "x" * 300, "c", k) for k in range(5)] * 2
+    entities = spark.createDataFrame(rows, "entity_name string, entity_type string, description string, chunk_id string, ord long")
+    said = g.node_descriptions(entities).collect()
+    assert {r["description"] for r in said} == {r[2] for r in rows} and g.build_nodes(entities).first()["n_descriptions"] == 5
+    assert len(g.summarised_nodes(entities).first()["description"]) == g.DESCRIPTION_CHARS
+
+
+def test_rows_without_a_user_survive_a_tenant(spark):
+    table = spark.createDataFrame([("7",), ("8",), (None,)], "user_id string")
+    out = g.delete_tenant({"t": table}, "7")
+    assert {r["user_id"] for r in out["t"].collect()} == {"8", None} and out["report"].first()["n"] == 1

@@ -83,3 +83,10 @@ def test_spotting_matches_plain_regex(spark):
     found = re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", text) + re.findall("GPT|API|LLM|RAG|AI|ML|DL", text)
     want = sorted(set(found), key=lambda e: (-len(e), e))[:5]
     assert spark.createDataFrame([(text,)], "t string").select(r.spot_entities(F.col("t"))).first()[0] == want
+
+
+def test_joined_text_reaches_its_last_character(spark):
+    rows = [("k", chr(0x4E00 + n), n) for n in range(200)]
+    df = spark.createDataFrame(rows, "k string, d string, o long")
+    want = "; ".join(r[1] for r in rows)[:500]
+    assert len(want) == 500 and joined_text(df, ["k"], "d", "o", 500).first()["description"] == want

@@ -127,3 +127,11 @@ def test_upsert_is_idempotent(spark):
     once = store.upsert(old, new, ["k"])
     want = [(1, "a", "x"), (2, "c", "y"), (3, "d", None)]
     assert sorted(map(tuple, once.collect())) == want == sorted(map(tuple, store.upsert(once, new, ["k"]).collect()))
+
+
+def test_upsert_adds_new_fields(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c", 5), (3, "d", 6)], "k int, v string, extra int")
+    got = store.upsert(old, new, ["k"])
+    assert got.columns == ["k", "v", "extra"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, "c", 5), (3, "d", 6)]
