@@ -20,6 +20,8 @@ from graphloom.session import shared_dir
 
 #: Whole documents are put together until a block has this many bytes (a longer document is a block of its own).
 BLOCK_BYTES = 2_000_000
+#: Rows of a column that are copied together.
+_SLICE = 1_000
 #: The blank bytes of ``[\x20\x09-\x0D]``; no UTF-8 sequence of a larger character contains them.
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -105,21 +107,21 @@ class Block:
 
 def blocks(column: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut a string column into blocks; null texts count as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pa.concat_arrays([column.cast(pa.large_string()).fill_null("")])  # starts at offset 0
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1 + column.offset)[column.offset :]
-    buffer = column.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
-        part = data[offsets[at] : offsets[to]]
-        yield Block(LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at], at)
-        at = to
+    for low in range(0, len(column), _SLICE):
+        rows = column.slice(low, _SLICE)
+        if isinstance(rows, pa.ChunkedArray):
+            rows = rows.combine_chunks()
+        rows = pa.concat_arrays([rows.cast(pa.large_string()).fill_null("")])  # starts at offset 0
+        n = len(rows)
+        offsets = np.frombuffer(rows.buffers()[1], np.int64, n + 1 + rows.offset)[rows.offset :]
+        buffer = rows.buffers()[2]
+        data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
+            part = data[offsets[at] : offsets[to]]
+            yield Block(LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at], low + at)
+            at = to
 
 
 def windows(hashes: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +185,15 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there."""
-    path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it again: its lineage ends there.
+
+    Written by two tasks for each core, which take the partitions in turn: a table of many small
+    partitions becomes few files.
+    """
+    spark = df.sparkSession
+    path = folder(spark, name)
+    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def file_system(uri: str):

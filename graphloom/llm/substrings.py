@@ -126,7 +126,8 @@ def repeated_windows(keyed: DataFrame, packed: DataFrame, classes: DataFrame, th
     Windows of equal texts are told once here, from the row with the least doc_id.
     """
     laid = stored(anchors(keyed, threshold, seed), "anchors")
-    seeds = laid.join(_repeated(laid, "anchor", "key", "span"), "anchor", "left_semi")
+    # What is met again is written first, so that a hot anchor or window is split over tasks by the join.
+    seeds = laid.join(stored(_repeated(laid, "anchor", "key", "span"), "repeated-anchors"), "anchor", "left_semi")
     # Sets, because equal texts have equal spans; a set is no longer than its text.
     spans = seeds.groupBy("key").agg(F.collect_set("span").alias("spans"))
 
@@ -155,7 +156,7 @@ def repeated_windows(keyed: DataFrame, packed: DataFrame, classes: DataFrame, th
     around = packed.join(spans.join(classes, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
     around = around.select("doc_id", "key", "packed", "spans")
     found = stored(around.mapInArrow(run, "hash long, key long, start int"), "windows")
-    marked = found.join(_repeated(found, "hash", "key", "start"), "hash", "left_semi")
+    marked = found.join(stored(_repeated(found, "hash", "key", "start"), "repeated-windows"), "hash", "left_semi")
     return marked.groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
