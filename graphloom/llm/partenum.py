@@ -234,7 +234,7 @@ def buckets(documents: DataFrame, groups: int, bands: Bands, words: int = WORDS)
                         docs.append(doc_id)
                         held.append(marks)
                         count += len(marks)
-                    if count > 2_500_000 or len(docs) == 1 << 16:
+                    if count > 1_000_000 or len(docs) == 1 << 16:
                         yield flush()
                         docs, held, count = [], [], 0
                 at += len(sets)
