@@ -64,9 +64,9 @@ def elements_text(i):
 
 
 FORM_SQL = "CASE label " + " ".join(
-    f"WHEN '{k}' THEN concat('{v.split('{}')[0]}', t, '{v.split('{}')[1]}')" for k, v in fixed.ELEMENT_FORMS.items()
+    f"WHEN '{k}' THEN concat('{v.split('{}')[0]}', t, '{v.split('{}')[1]}')" for k, v in {**fixed.ELEMENT_FORMS, "table": fixed.TABLE_FORM}.items() if k not in fixed.QUOTED_ELEMENTS
 ) + " ELSE CASE WHEN label IN ('quote', 'block_quote', 'blockquote') THEN concat('> ', replace(t, chr(10), concat(chr(10), '> '))) ELSE t END END"
-ALL_LABELS = [*fixed.ELEMENT_FORMS, *fixed.QUOTED_ELEMENTS, "unheard_of"]
+ALL_LABELS = [*fixed.ELEMENT_FORMS, "table", "unheard_of"]
 
 
 @query("src7_element_markdown", rf"""WITH l AS (SELECT unnest([{', '.join(f"'{x}'" for x in ALL_LABELS)}]) AS label, unnest(range(0, {len(ALL_LABELS)})) AS n),

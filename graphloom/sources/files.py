@@ -102,7 +102,7 @@ def _lookup(entries: dict[str, str]) -> Column:
 
 def element_markdown(label: Column, text: Column) -> Column:
     """Markdown of one document element; an unknown label leaves the text as it is."""
-    forms = {k: v.split("{}") for k, v in fixed.ELEMENT_FORMS.items()}
+    forms = {k: v.split("{}") for k, v in {**fixed.ELEMENT_FORMS, "table": fixed.TABLE_FORM}.items()}
     before = F.coalesce(_lookup({k: v[0] for k, v in forms.items()})[label], F.lit(""))
     after = F.coalesce(_lookup({k: v[1] for k, v in forms.items()})[label], F.lit(""))
     body = strip(text)
