@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string kernel machine does not reject."""
-    model = toxicity.train(toxicity.labelled(docs, _table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.training_marks(_table(spark, sf_dir, "labels")))
     return toxicity.accepted(docs, model)
 
 
@@ -43,8 +43,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, and more often where its domains have less than their target weight."""
-    labelled = mixing.label_domains(docs, _table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs, labelled, TARGETS, lower=1.0, upper=4.0, total=None)
+    marks = mixing.label_domains(_table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, marks, TARGETS, lower=1.0, upper=4.0, total=None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

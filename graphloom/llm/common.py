@@ -179,6 +179,31 @@ def judged(documents: DataFrame, judge: Callable[[pa.Array], Iterator[tuple[int,
     return ready.mapInArrow(run, f"{ddl_of(named)}, verdict {kind}"), at
 
 
+def marked(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``marks`` (doc_id, mark) that mark a document, once each; no text is read."""
+    known = select(documents, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"))
+    named = marks.select(F.col("doc_id").cast("long").alias("doc_id"), "mark").filter("mark is not null").distinct()
+    return named.join(known, "doc_id", "left_semi")
+
+
+def sampled(documents: DataFrame, marks: DataFrame, most: dict) -> pa.Table:
+    """mark and text of at most ``most[mark]`` documents of each mark, taken by the hash of their ids.
+
+    The ids of the sample are as many as ``most`` says at any size of the tables, so they are broadcast and
+    no text is shuffled; the driver gets the texts of the sample.
+    """
+    taken = None
+    for mark, n in most.items():
+        ids = marks.filter(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        taken = ids if taken is None else taken.union(ids)
+    if taken is None:
+        return pa.table({"mark": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+    texts = select(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = texts.filter("text is not null").join(F.broadcast(taken), "doc_id")
+    # A doc_id may be in many rows; the sample stays as large as it was to be.
+    return found.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sum(most.values())).select("mark", "text").toArrow()
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder name in the folder that all executors share."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, hash_spans, judged, select, stored
+from graphloom.llm.common import blocks, hash_spans, judged, marked, sampled, select, stored
 
 #: Hash places of words, and of the shapes of words (signs, capitals and length).
 FEATURES = 1 << 12
@@ -67,24 +67,22 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield n, count, x
 
 
-def train(labelled: DataFrame, per_domain: int = 1_000, ridge: float = 1e-3, steps: int = 300) -> Classifier:
-    """Fit the classifier to ``labelled`` (text, domain).
+def train(documents: DataFrame, marks: DataFrame, per_domain: int = 1_000, ridge: float = 1e-3, steps: int = 300) -> Classifier:
+    """Fit the classifier to the ``documents`` (doc_id, text) whose domain ``marks`` (doc_id, mark) tells.
 
-    At most ``per_domain`` rows of each domain, taken by the hash of their text, are the sample that the
-    driver holds; the prior of each domain is its share of all labelled rows. Rows with a null domain are
-    left out, null texts are empty. Without labelled rows there is one domain, "all".
+    At most ``per_domain`` documents of each domain, taken by the hash of their id, are the sample that the
+    driver holds; the prior of each domain is its share of all marked documents. Null domains and texts are
+    left out. Without marked documents there is one domain, "all".
     """
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("domain").cast("string").alias("domain")).filter("domain is not null")
-    sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    domains = sorted(sizes)
+    known = marked(documents, marks.select("doc_id", F.col("mark").cast("string").alias("mark")))
+    sizes = {r["mark"]: r["n"] for r in known.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = sampled(documents, known, {d: per_domain for d in sorted(sizes)})
+    found = np.array(rows["mark"].to_pylist(), str)
+    domains = sorted(set(found.tolist()))
     if not domains:
         return Classifier(["all"], np.zeros((FEATURES + SHAPES, 1), np.float32), np.zeros(1), np.ones(FEATURES + SHAPES, np.float32))
-    sets, y = [], []
-    for k, d in enumerate(domains):
-        texts = rows.filter(F.col("domain") == d).orderBy(F.xxhash64("text")).limit(per_domain).select("text").toArrow()["text"]
-        for n, _, x in features(texts):
-            sets.append(x)
-            y += [k] * n
+    y = np.searchsorted(domains, found).tolist()
+    sets = [x for _, _, x in features(rows["text"])]
     x, y = np.concatenate(sets), np.array(y)
     prior = np.array([sizes[d] for d in domains], float)
     prior /= prior.sum()
@@ -206,18 +204,18 @@ def _copies(rate, *seed) -> F.Column:
 
 
 def document_rates(
-    documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], lower: float = 0.0, upper: float = 10.0,
+    documents: DataFrame, marks: DataFrame, targets: Mapping[str, float], lower: float = 0.0, upper: float = 10.0,
     total: float | None = 1.0,
 ) -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every row, for ``targets`` (domain: weight).
 
-    ``labelled`` has text and domain. Posteriors are in alphabetical order of the domains of its rows; a
-    target of an unknown domain is left out. copies is the rate as a whole number, rounded up or down by a
+    ``marks`` (doc_id, mark) tells the domains of some documents. Posteriors are in alphabetical order of the
+    domains; a target of an unknown domain is left out. copies is the rate as a whole number, rounded up or down by a
     hash of doc_id and text, so that a row that is computed again gets the same. Null and empty texts have
     no tokens. Repeated rows have equal results. Other columns are ignored; an empty table gives an empty
     result.
     """
-    classifier = train(labelled)
+    classifier = train(documents, marks)
     laid = stored(memberships(documents, classifier), "memberships")
     fit = fit_rates(laid, classifier.domains, targets, lower, upper, total)
     k = len(classifier.domains)
@@ -233,14 +231,14 @@ def document_rates(
 
 
 def mixed(
-    documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], lower: float = 0.0, upper: float = 10.0,
+    documents: DataFrame, marks: DataFrame, targets: Mapping[str, float], lower: float = 0.0, upper: float = 10.0,
     total: float | None = 1.0,
 ) -> DataFrame:
     """All rows of ``documents``, each as often as ``document_rates`` says, with all their columns.
 
     The rate of a row follows from its text, so no row is joined with its rate and nothing is shuffled.
     """
-    classifier = train(labelled)
+    classifier = train(documents, marks)
     laid = stored(memberships(documents, classifier), "memberships")
     fit = fit_rates(laid, classifier.domains, targets, lower, upper, total)
 
@@ -254,8 +252,7 @@ def mixed(
     return often.drop("verdict", "copies").toDF(*documents.columns)
 
 
-def label_domains(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and domain of the labelled documents: toxic, low_quality or good by the labels of each."""
-    marks = select(labels, "doc_id", "quality", "toxic")
+def label_domains(labels: DataFrame) -> DataFrame:
+    """doc_id and mark (toxic, low_quality or good) by the labels of each document."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality").when(F.col("quality") == 1, "good")
-    return select(documents, "doc_id", "text").join(marks.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+    return select(labels, "doc_id", "quality", "toxic").select("doc_id", domain.alias("mark"))

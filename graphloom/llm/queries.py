@@ -37,7 +37,7 @@ def vocabulary(name: str) -> str:
 @_query("op1_string_kernel")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled(documents, _table(spark, sf_dir, "labels")))
+    model = toxicity.train(documents, toxicity.training_marks(_table(spark, sf_dir, "labels")))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", toxicity.held_out(scored.doc_id).alias("held_out"), "score", "predicted", "worst")
 
@@ -49,8 +49,8 @@ TARGETS = {"good": 0.9, "low_quality": 0.08, "toxic": 0.02}
 @_query("op2_soft_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    labelled = mixing.label_domains(documents, _table(spark, sf_dir, "labels"))
-    return mixing.document_rates(documents, labelled, TARGETS, upper=4.0)
+    marks = mixing.label_domains(_table(spark, sf_dir, "labels"))
+    return mixing.document_rates(documents, marks, TARGETS, upper=4.0)
 
 
 @_query("op3_best_two_fit")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, hash_spans, judged, mix, select
+from graphloom.llm.common import blocks, hash_spans, judged, marked, mix, sampled, select
 
 LENGTH = 4
 STRETCH = 7
@@ -293,19 +293,17 @@ class Training:
     rounds: int = 5
 
 
-def train(labelled: DataFrame, settings: Training = Training()) -> Model:
-    """Fit the machine to a bounded sample of ``labelled`` (doc_id, text, label 0 or 1).
+def train(documents: DataFrame, marks: DataFrame, settings: Training = Training()) -> Model:
+    """Fit the machine to a bounded sample of ``documents`` (doc_id, text) marked 0 or 1 by ``marks`` (doc_id, mark).
 
     The sample has at most ``settings.positive`` and ``settings.negative`` documents, whatever the size of
-    the table; it is what the driver holds. Rows with a null label or text are left out. Without a document
-    of either label every text gets the share of positive rows (0.5 without rows) as its score.
+    the tables; it is what the driver holds. Null marks and texts are left out. Without a document of either
+    mark every text gets the share of positive ones (0.5 without any) as its score.
     """
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
-    rows = rows.filter("text is not null and label in (0, 1)").withColumn("at", F.xxhash64("doc_id", "text"))
-    taken = [
-        rows.filter(F.col("label") == label).orderBy("at").limit(n).select("text").toArrow()["text"].combine_chunks()
-        for label, n in ((1, settings.positive), (0, settings.negative))
-    ]
+    known = marked(documents, marks.select("doc_id", F.col("mark").cast("int").alias("mark")))
+    rows = sampled(documents, known, {1: settings.positive, 0: settings.negative})
+    marks_of = np.array(rows["mark"].to_pylist(), np.int64)
+    taken = [rows["text"].filter(pa.array(marks_of == y)).combine_chunks() for y in (1, 0)]
     label = np.concatenate([np.full(len(t), y) for t, y in zip(taken, (1, 0))])
     share = float(label.mean()) if len(label) else 0.5
     plain = Model(np.zeros(1, np.uint32), np.zeros(1), LEAST, np.zeros(WORST), float(np.log((share + 1e-3) / (1 - share + 1e-3))), [])
@@ -317,7 +315,7 @@ def train(labelled: DataFrame, settings: Training = Training()) -> Model:
     units: list[bytes] = []
     unit, sentence, doc = [], [], []
     sentences = 0
-    text = pa.concat_arrays([t.cast(pa.large_string()) for t in taken])
+    text = pa.concat_arrays([t.combine_chunks() if isinstance(t, pa.ChunkedArray) else t for t in (x.cast(pa.large_string()) for x in taken)])
     for first, _, found in spans(text):
         distinct, at, where = np.unique(found.hash, return_index=True, return_inverse=True)
         place = np.empty(len(distinct), np.int64)
@@ -497,8 +495,6 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and label (labels.toxic) of the labelled documents that training may see."""
-    marks = select(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").alias("label"))
-    texts = select(documents, "doc_id", "text")
-    return texts.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("doc_id", "text", "label")
+def training_marks(labels: DataFrame) -> DataFrame:
+    """doc_id and mark (labels.toxic) of the labels that training may see."""
+    return select(labels, "doc_id", "toxic").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("mark"))

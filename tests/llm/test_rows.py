@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import common, fingerprints, mixing, quality, toxicity
 from tests.llm.data import documents, empty, texts, words
@@ -90,7 +91,7 @@ def toxic_corpus(n: int) -> list[tuple[int, str, int]]:
 @pytest.fixture(scope="module")
 def machine(spark):
     rows = spark.createDataFrame(toxic_corpus(600), "doc_id long, text string, label int")
-    return toxicity.train(rows.filter(~toxicity.held_out(rows.doc_id)))
+    return toxicity.train(rows, toxicity.training_marks(rows.withColumnRenamed("label", "toxic")))
 
 
 def test_toxicity_held_out(spark, machine):
@@ -121,20 +122,21 @@ def test_toxicity_edges(spark, machine):
     assert toxicity.score(empty(spark), machine).count() == 0
     kept = toxicity.accepted(documents(spark), machine)
     assert kept.columns == documents(spark).columns and kept.count() == sum(r.predicted == 0 for r in got)
-    nothing = toxicity.train(spark.createDataFrame([], "doc_id long, text string, label int"))
+    nothing = toxicity.train(documents(spark), spark.createDataFrame([(1, None)], "doc_id long, mark int"))
     assert {round(r.score, 3) for r in toxicity.score(documents(spark), nothing).collect()} == {0.5}
 
 
 def test_mixing_reaches_targets(spark):
     rows = [(i, " ".join(f"{'abc'[i % 10 // 4]}{k}" for k in words(50, i, 50)), "abc"[i % 10 // 4]) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, domain string")
-    got = mixing.document_rates(table, table.select("text", "domain"), {"a": 1, "b": 1, "c": 2}, upper=10.0).collect()
+    marks = table.select("doc_id", F.col("domain").alias("mark"))
+    got = mixing.document_rates(table, marks, {"a": 1, "b": 1, "c": 2}, upper=10.0).collect()
     total = sum(r.n_tokens for r in got)
     share = [sum(r.n_tokens * r.rate * r.posteriors[j] for r in got) / total for j in range(3)]
     assert np.allclose(share, [0.25, 0.25, 0.5], atol=0.01)
     assert all(r.rate >= 0 and abs(r.copies - r.rate) < 1 and abs(sum(r.posteriors) - 1) < 1e-6 for r in got)
     assert np.mean([max(range(3), key=lambda j: r.posteriors[j]) == r.doc_id % 10 // 4 for r in got]) > 0.95
-    more = mixing.mixed(table.select("doc_id", "text"), table.select("text", "domain"), {"a": 1, "b": 1, "c": 2}, lower=1.0, total=None)
+    more = mixing.mixed(table.select("doc_id", "text"), marks, {"a": 1, "b": 1, "c": 2}, lower=1.0, total=None)
     counts = Counter(r.doc_id for r in more.collect())
     assert set(counts) == set(range(400)) and max(counts.values()) > 1
 
@@ -151,7 +153,7 @@ def test_mixing_rates_equal_plain_projection():
 
 
 def test_mixing_edges(spark):
-    labelled = spark.createDataFrame([("one two", "a"), ("three four", "b"), (None, "b"), ("x", None)], "text string, domain string")
+    labelled = spark.createDataFrame([(9, "a"), (18, "b"), (0, "b"), (21, None), (None, "a"), (7, "a")], "doc_id long, mark string")
     got = mixing.document_rates(documents(spark), labelled, {"a": 1, "b": 1, "unknown": 5})
     assert got.count() == len(texts()) + 3
     assert mixing.document_rates(empty(spark), labelled, {"a": 1}).count() == 0
