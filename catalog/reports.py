@@ -148,10 +148,11 @@ def daily(i):
     return a.daily_logins(i.fx_login_logs, "2023-12-28", 39)
 
 
-@query("anl3_totals", with_(f"""WITH {ACTIVITY} SELECT count(*) AS users, CAST(sum(logins) AS BIGINT) AS logins, CAST(sum(conversations) AS BIGINT) AS conversations,
+@query("anl3_totals", with_(f"""WITH {ACTIVITY} SELECT count(*) AS users,
+    (SELECT count(*) FROM fx_login_logs WHERE created_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}') AS logins, CAST(sum(conversations) AS BIGINT) AS conversations,
     CAST(sum(messages) AS BIGINT) AS messages FROM act"""))
 def totals(i):
-    return a.totals(_activity(i))
+    return a.totals(_activity(i), i.fx_login_logs, START, END)
 
 
 @query("anl4_table", with_(f"""WITH {ACTIVITY} SELECT username, role, logins, coalesce(strftime(last_login, '%Y-%m-%d %H:%M'), 'Never') AS last_login,
@@ -166,6 +167,12 @@ def recent_logins(i):
     return a.recent_logins(i.fx_login_logs, i.fx_users, limit=25)
 
 
+@query("anl5_logins_of_period", with_(f"""SELECT username, role, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS at FROM fx_login_logs JOIN fx_users USING (user_id)
+    WHERE created_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' ORDER BY created_at DESC, event_id DESC LIMIT 25""").replace(" AS at ", ' AS "at" '))
+def logins_of_period(i):
+    return a.recent_logins(i.fx_login_logs, i.fx_users, limit=25, start=START, end=END)
+
+
 @query("anl5_logins_of_user", with_("""SELECT username, role, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS at FROM fx_login_logs JOIN fx_users USING (user_id)
     WHERE username = 'user_7' ORDER BY created_at DESC, event_id DESC LIMIT 10""").replace(" AS at ", ' AS "at" '))
 def logins_of_user(i):

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from graphloom.functions import fixed
 
 
+#: Every character that Python's ``str.strip`` and ``str.split`` take for white space.
+BLANKS = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+    return F.trim(c, F.lit(BLANKS))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,7 +47,7 @@ def bare_name(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated tokens; the default token definition of the package."""
-    return F.regexp_extract_all(c, F.lit(r"(\S+)"), 1)
+    return F.regexp_extract_all(c, F.lit(f"([^{BLANKS}]+)"), 1)
 
 
 def token_count(c: Column) -> Column:

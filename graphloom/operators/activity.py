@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _in_period(rows: DataFrame, start=None, end=None) -> DataFrame:
+    if start is not None:
+        rows = rows.where(F.col("created_at") >= F.lit(start).cast("timestamp_ntz"))
+    return rows if end is None else rows.where(F.col("created_at") <= F.lit(end).cast("timestamp_ntz"))
+
+
 def user_activity(
     users: DataFrame, logins: DataFrame, conversations: DataFrame, messages: DataFrame, start, end
 ) -> DataFrame:
@@ -37,17 +45,22 @@ def daily_logins(logins: DataFrame, start: str, days: int) -> DataFrame:
     """Logins for every day of the period, zeros included (``days`` + 1 rows)."""
     first = F.to_date(F.lit(start))
     calendar = logins.sparkSession.range(1).select(F.explode(F.sequence(first, F.date_add(first, days))).alias("day"))
-    counted = logins.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    until = F.date_add(first, days + 1)
+    inside = logins.where((F.col("created_at") >= first.cast("timestamp_ntz")) & (F.col("created_at") < until.cast("timestamp_ntz")))
+    counted = inside.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return calendar.join(counted, "day", "left").select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
-def totals(activity: DataFrame) -> DataFrame:
-    return activity.agg(
-        F.count(F.lit(1)).alias("users"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("logins", "conversations", "messages")],
+def totals(activity: DataFrame, logins: DataFrame, start, end) -> DataFrame:
+    """Users, their conversations and messages, and all logins of the period, those of unknown users included."""
+    own = activity.agg(
+        F.count(F.lit(1)).alias("users"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("conversations", "messages")]
     )
+    counted = _in_period(logins, start, end).agg(F.count(F.lit(1)).alias("logins"))
+    # One row each.
+    return own.withColumn("k", F.lit(0)).join(counted.withColumn("k", F.lit(0)), "k").select("users", "logins", "conversations", "messages")
 
 
 def activity_table(activity: DataFrame) -> DataFrame:
@@ -62,12 +75,15 @@ def activity_table(activity: DataFrame) -> DataFrame:
     ).orderBy(F.desc("logins"), "username")
 
 
-def recent_logins(logins: DataFrame, users: DataFrame, username: str | None = None, limit: int = 10) -> DataFrame:
-    """Newest logins, of all users or of one."""
-    named = logins
+def recent_logins(
+    logins: DataFrame, users: DataFrame, username: str | None = None, limit: int = 10, start=None, end=None,
+    order: Sequence[str] = ("created_at", "event_id"),
+) -> DataFrame:
+    """Newest logins of the period, of all users or of one; columns of ``order`` that the table lacks are left out."""
+    named = _in_period(logins, start, end)
     if username is not None:
         named = named.join(users.where(F.col("username") == username).select("user_id"), "user_id", "left_semi")
-    top = named.orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
+    top = named.orderBy(*[F.desc(c) for c in order if c in logins.columns], "user_id").limit(limit)
     return top.join(users, "user_id", "left").select(
         F.coalesce("username", F.lit("Unknown")).alias("username"),
         F.coalesce("role", F.lit("N/A")).alias("role"),

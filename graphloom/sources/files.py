@@ -82,7 +82,7 @@ def parse_column(df: DataFrame, column: str, parser: Parser, out: str = "text")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.drop(columns=[column]).assign(**{out: [parser(x) for x in frame[column]]})
+            yield frame.drop(columns=[column]).assign(**{out: [parser(x or "") for x in frame[column]]})
 
     return df.mapInPandas(work, schema)
 

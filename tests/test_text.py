@@ -135,3 +135,23 @@ def test_upsert_adds_new_fields(spark):
     got = store.upsert(old, new, ["k"])
     assert got.columns == ["k", "v", "extra"]
     assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, "c", 5), (3, "d", 6)]
+
+
+def test_tokens_are_the_same_in_both_engines(spark):
+    from graphloom.functions.pieces import count_words
+    from graphloom.functions.text import strip, token_count
+
+    texts = ["un\u00a0mot et\u202fdeux", "a\x1cb c\x85d", "\u3000x y\u2009z ", "", "plain text"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(token_count(F.col("t")).alias("n"), strip(F.col("t")).alias("s")).collect()
+    assert [(r["n"], r["s"]) for r in got] == [(count_words(t), t.strip()) for t in texts]
+
+
+def test_null_texts_are_empty(spark):
+    from graphloom.operators import chunking
+
+    docs = spark.createDataFrame([(1, None), (2, "# A\nb")], "doc_id long, text string")
+    assert {(r.doc_id, r.section) for r in chunking.line_sections(docs).collect()} >= {(2, "A")}
+    assert {r.text for r in files.parse_column(docs.withColumnRenamed("text", "html"), "html", markup.html_text).collect()} == {"", "# A\nb"}
+    tables = spark.createDataFrame([(1, None, None, None), (2, "h", ["a", None], "p")], "doc_id long, header string, rows array<string>, prefix string")
+    assert chunking.packed_rows(tables).count() == 2
