@@ -18,31 +18,20 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
-SALTS = 8
 SEGMENT_ROWS = 65_536
 
 
-def join_lookup(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", parts: int = SALTS, grows: bool = False
-) -> DataFrame:
-    """Join ``left`` to a narrower ``right``, with every key of the left cut into ``parts``.
-
-    The rows of one key on the left are dealt out by a hash of the whole row and the
-    matching rows on the right are copied to each part, so a key that holds a third
-    of the left side is worked on by ``parts`` tasks instead of one. What is still
-    uneven after that is split again at run time by adaptive skew-join handling.
-    The plan reads each side once, so these joins can be nested. ``grows`` marks a
-    join with far more rows out than in: it keeps all its tasks, where otherwise
-    partitions that look small would be put together before the join.
+def join_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``left``, which may repeat a key very often, to ``right``; columns of the left first.
+
+    Both sides are shuffled on the keys by the join itself and by nothing before it: only then can adaptive
+    execution cut a hot key of the left into pieces of the size set by
+    ``spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes`` and give each piece the rows of the
+    right, in as many tasks as the key needs. No column is hashed but the keys, so maps may be among them.
     """
     on = list(on)
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(parts)).cast("int"))
-    copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    if grows:
-        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt, copied = dealt.repartition(tasks, *on, "__salt"), copied.repartition(tasks, *on, "__salt")
     added = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in on]
-    return dealt.join(copied, [*on, "__salt"], how).select(*left.columns, *added)
+    return left.join(right, on, how).select(*left.columns, *added)
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx", start: int = 0) -> DataFrame:

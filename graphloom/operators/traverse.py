@@ -56,20 +56,15 @@ def find_seeds(asked: DataFrame, nodes: DataFrame) -> DataFrame:
 def _best_edges(frontier: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """Edges of the frontier nodes that can still be among the best ``limit`` of some question.
 
-    Targets that are a seed of any question may be excluded later and are all kept;
-    of the others the best ``limit`` per node are enough.
+    A question leaves out no targets but its own seeds, so of each node the best ``limit`` edges and as many
+    more as the largest of its questions has seeds are enough, however many questions meet there.
     """
-    starts = frontier.select(F.col("via").alias("source")).distinct()
-    named = seeds.select(F.col("seed").alias("target")).distinct().withColumn("named", F.lit(True))
-    own = join_lookup(join_lookup(edges, starts, ["source"]), named, ["target"], "left")
+    own = seeds.select("qid", "seed").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_seeds"))
+    starts = frontier.join(own, "qid", "left").groupBy("via").agg(F.coalesce(F.max("n_seeds"), F.lit(0)).alias("spare"))
+    near = join_lookup(edges, starts.withColumnRenamed("via", "source"), ["source"])
     by_source = Window.partitionBy("source").orderBy(F.desc("importance"), "target")
-    plain = (
-        own.where(F.col("named").isNull())
-        .withColumn("place", F.row_number().over(by_source))
-        .where(F.col("place") <= limit)
-        .drop("place")
-    )
-    return plain.unionByName(own.where(F.col("named").isNotNull())).drop("named")
+    ranked = near.withColumn("place", F.row_number().over(by_source))
+    return ranked.where(F.col("place") <= limit + F.col("spare")).drop("place", "spare")
 
 
 def _hop(frontier: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int, hop: int) -> DataFrame:
@@ -104,6 +99,7 @@ def neighbours(
     )
     if hops < 2:
         return first
+    first = cut(first)  # both the second hop and the result read it
     second = _hop(first.select("qid", "seed", F.col("target").alias("via")), edges, seeds, limit, 2)
     return first.unionByName(second)
 

@@ -16,9 +16,34 @@ def test_join_lookup_equals_join(spark):
     left = spark.range(500).select("id", F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 7).alias("k"))
     right = spark.range(5).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ("inner", "left"):
-        for grows in (False, True):
-            got = sorted(map(str, spread.join_lookup(left, right, ["k"], how, grows=grows).select("id", "k", "v").collect()))
-            assert got == sorted(map(str, left.join(right, "k", how).select("id", "k", "v").collect()))
+        got = sorted(map(str, spread.join_lookup(left, right, ["k"], how).select("id", "k", "v").collect()))
+        assert got == sorted(map(str, left.join(right, "k", how).select("id", "k", "v").collect()))
+
+
+def test_hot_key_is_split_and_maps_are_allowed(spark):
+    """One key with most rows: adaptive execution cuts it, because nothing but the join shuffles."""
+    sizes = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 8).select(
+            F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id",
+            F.create_map(F.lit("a"), F.col("id")).alias("m"),
+        )
+        names = spark.range(1).select(F.lit("hot").alias("k"), F.lit(1).alias("v")).union(spark.range(1000).select(F.col("id").cast("string"), F.lit(2)))
+        joined = spread.join_lookup(rows, names, ["k"])
+        assert joined.count() == 160_000 + 200
+        joined.select("id", "v").write.format("noop").mode("overwrite").save()
+        done = joined.select("id", "v")
+        done.collect()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def conversations(spark):
