@@ -13,19 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, packing, partenum, substrings, toxicity
-from graphloom.llm.common import folder, stored
+from graphloom.llm.common import folder, read_table, stored
 from graphloom.llm.queries import TARGETS, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string kernel machine does not reject."""
-    model = toxicity.train(docs, toxicity.training_marks(_table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.training_marks(read_table(spark, sf_dir, "labels")))
     return toxicity.accepted(docs, model)
 
 
@@ -43,7 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, and more often where its domains have less than their target weight."""
-    marks = mixing.label_domains(_table(spark, sf_dir, "labels"))
+    marks = mixing.label_domains(read_table(spark, sf_dir, "labels"))
     return mixing.mixed(docs, marks, TARGETS, lower=1.0, upper=4.0, total=None)
 
 
@@ -63,7 +59,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)

@@ -229,5 +229,15 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows that a task hands to Python at once: texts are long, and a batch is held on both sides.
+ARROW_ROWS = 1_000
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table, in a session whose Arrow batches suit long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def partitions_for(rows: int, each: int, least: int = 1, most: int = 100_000) -> int:
     return max(least, min(most, -(-rows // max(each, 1))))

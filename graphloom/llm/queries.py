@@ -7,16 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import fingerprints, mixing, packing, partenum, quality, substrings, tokenfiles, toxicity, warc
-from graphloom.llm.common import folder
+from graphloom.llm.common import folder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _query(name: str, sql: str | None = None):
     def register(run: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = run
@@ -36,8 +32,8 @@ def vocabulary(name: str) -> str:
 
 @_query("op1_string_kernel")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
-    model = toxicity.train(documents, toxicity.training_marks(_table(spark, sf_dir, "labels")))
+    documents = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, toxicity.training_marks(read_table(spark, sf_dir, "labels")))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", toxicity.held_out(scored.doc_id).alias("held_out"), "score", "predicted", "worst")
 
@@ -48,42 +44,42 @@ TARGETS = {"good": 0.9, "low_quality": 0.08, "toxic": 0.02}
 
 @_query("op2_soft_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
-    marks = mixing.label_domains(_table(spark, sf_dir, "labels"))
+    documents = read_table(spark, sf_dir, "documents")
+    marks = mixing.label_domains(read_table(spark, sf_dir, "labels"))
     return mixing.document_rates(documents, marks, TARGETS, upper=4.0)
 
 
 @_query("op3_best_two_fit")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @_query("op4_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "tokens")
-    manifest = tokenfiles.write_parquet(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    manifest = tokenfiles.write_parquet(read_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return tokenfiles.digests(tokenfiles.read_parquet(manifest, path))
 
 
 @_query("op5_imatch")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
+    documents = read_table(spark, sf_dir, "documents")
     return fingerprints.compare_neighbours(documents, fingerprints.lexicon(documents))
 
 
 @_query("op6_line_cleaning")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
+    return quality.clean_lines(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
 @_query("op7_partenum")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.near_duplicates(_table(spark, sf_dir, "documents"))
+    return partenum.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 @_query("op8_separator_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 50256)
+    return tokenfiles.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 50256)
 
 
 @_query(
@@ -106,7 +102,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).drop("text")
 
 
 @_query(
@@ -125,5 +121,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    records = warc.round_trip(read_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
