@@ -14,27 +14,47 @@ from graphloom.session import cut
 
 @dataclass
 class Mode:
-    """Which branches run."""
+    """Which branches run. ``use_analysis`` leaves it to each question's own mode as well."""
 
     use_global: bool = True
     use_local: bool = True
     use_multi_hop: bool = False
     expand_query: bool = False
     rerank: bool = True
+    use_analysis: bool = False
+
+    @classmethod
+    def forced(cls, name: str) -> Mode:
+        """``vector``, ``graph`` or ``hybrid``."""
+        return cls(use_global={"vector": True, "graph": False, "hybrid": True}[name], use_local={"vector": False, "graph": True, "hybrid": True}[name])
 
 
 @dataclass
 class Answerable:
-    """Everything found for the questions."""
+    """Everything found for the questions.
+
+    ``chunks`` and ``contexts`` are the best of each question, ``counts`` what there was before that limit;
+    the ranked tables hold all, the answer's context is written from them.
+    """
 
     analysed: DataFrame
     chunks: DataFrame
     contexts: DataFrame
+    counts: DataFrame
+    ranked_chunks: DataFrame
+    ranked_contexts: DataFrame
     neighbours: DataFrame
     paths: DataFrame | None
     texts: DataFrame
 
 
+def _only(rows: DataFrame, on: bool, asked: DataFrame | None) -> DataFrame:
+    """Rows of the questions that a branch works for; an empty local table if it is off, which costs no scan."""
+    if not on:
+        return rows.sparkSession.createDataFrame([], rows.schema)
+    return rows if asked is None else rows.join(asked, "qid", "left_semi")
+
+
 def retrieve(
     questions: DataFrame,
     names: DataFrame,
@@ -42,7 +62,7 @@ def retrieve(
     nodes: DataFrame,
     edges: DataFrame,
     encoder: Encoder,
-    top_k: int = 5,
+    top_k: int = 10,
     mode: Mode | None = None,
 ) -> Answerable:
     """Both branches for every question.
@@ -57,13 +77,17 @@ def retrieve(
     texts = retrieval.expand(questions) if mode.expand_query else questions.select(
         "qid", F.lit(0).alias("branch"), F.col("question").alias("text")
     )
-    asked = encode(texts, encoder, "text").select(F.struct("qid", "branch").alias("qid"), "embedding")
+    by_mode = {}
+    if mode.use_analysis:
+        analysed = cut(analysed)
+        by_mode = {m: analysed.where(F.col("mode").isin(m, "hybrid")).select("qid") for m in ("vector", "graph")}
+    searched = _only(texts, mode.use_global, by_mode.get("vector"))
+    asked = encode(searched, encoder, "text").select(F.struct("qid", "branch").alias("qid"), "embedding")
     asked = asked.select(F.to_json("qid").alias("qid"), "embedding")
-    keys = texts.select(F.to_json(F.struct("qid", "branch")).alias("key"), "qid", "branch")
-    chunks = hits_by_branch(vectors.search(store, asked, top_k), keys, store)
-    chunks = cut(retrieval.merge_chunks(chunks if mode.use_global else chunks.where("false")))
-    seeds = traverse.find_seeds(entities.select("qid", "entity"), nodes)
-    seeds = cut(seeds if mode.use_local else seeds.where("false"))
+    keys = searched.select(F.to_json(F.struct("qid", "branch")).alias("key"), "qid", "branch")
+    chunks = cut(retrieval.merge_chunks(hits_by_branch(vectors.search(store, asked, top_k), keys, store)))
+    local = _only(entities, mode.use_local, by_mode.get("graph"))
+    seeds = cut(traverse.find_seeds(local.select("qid", "entity"), nodes))
     found = cut(traverse.neighbours(seeds, edges, 2, top_k))
     contexts = traverse.contexts(seeds, nodes, found)
     paths = None
@@ -75,7 +99,10 @@ def retrieve(
         contexts = retrieval.rerank_contexts(contexts, questions)
     else:
         chunks, contexts = plain_ranks(chunks, contexts)
-    return Answerable(analysed, chunks, contexts, found, paths, texts)
+    chunks, contexts = cut(chunks), cut(contexts)
+    counts = retrieval.result_counts(questions, chunks, contexts, paths, texts)
+    best_chunks, best_contexts = retrieval.limit_results(chunks, contexts, top_k)
+    return Answerable(analysed, best_chunks, best_contexts, counts, chunks, contexts, found, paths, texts)
 
 
 def hits_by_branch(found: DataFrame, keys: DataFrame, store: DataFrame) -> DataFrame:
@@ -103,4 +130,4 @@ def plain_ranks(chunks: DataFrame, contexts: DataFrame) -> tuple[DataFrame, Data
 def context(result: Answerable, keywords: DataFrame) -> DataFrame:
     """(qid, context) ready for the answering model."""
     relations = retrieval.relation_lines(result.neighbours, keywords)
-    return retrieval.context_text(result.analysed, result.chunks, result.contexts, relations, result.paths)
+    return retrieval.context_text(result.analysed, result.ranked_chunks, result.ranked_contexts, relations, result.paths)
