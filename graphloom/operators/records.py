@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from graphloom.functions import fixed
 from graphloom.functions.text import clean_field, first_text, is_good_entity, join_firsts, keyword_list, strip
@@ -18,13 +19,20 @@ KEYWORDS_KEPT = 5
 # ----------------------------------------------------------------- parsing
 
 
+def _others(output: DataFrame) -> list[str]:
+    return [c for c in output.columns if c not in ("chunk_id", "ord", "result")]
+
+
 def record_lines(output: DataFrame) -> DataFrame:
-    """Delimited record lines of model output (chunk_id, ord, result): one row per line with its fields."""
-    lines = output.select("chunk_id", "ord", F.posexplode(F.split("result", "\n")).alias("line_no", "line"))
+    """Delimited record lines of model output (chunk_id, ord, result): one row per line with its fields.
+
+    Other columns of the output, such as its document, stay with every line.
+    """
+    lines = output.select("chunk_id", "ord", *_others(output), F.posexplode(F.split("result", "\n")).alias("line_no", "line"))
     line = strip(F.col("line"))
     return (
         lines.where(~F.col("line").contains(fixed.DONE_MARK))
-        .select("chunk_id", "ord", "line_no", F.split(line, r"<\|#\|>").alias("field"))
+        .select("chunk_id", "ord", *_others(output), "line_no", F.split(line, r"<\|#\|>").alias("field"))
         .where(F.size("field") >= 4)
         .withColumn("kind", F.lower(strip(F.col("field")[0])))
     )
@@ -51,6 +59,7 @@ def parse_entities(output: DataFrame, check_quality: bool = True) -> DataFrame:
             F.when(type_.isin(fixed.ENTITY_TYPES), type_).otherwise("other").alias("entity_type"),
             clean_field(field[3]).alias("description"),
             F.when(given.isNull(), 3).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), given))).alias("confidence"),
+            *_others(output),
         )
         .where("entity_name <> '' AND description <> ''")
     )
@@ -72,6 +81,7 @@ def parse_relationships(output: DataFrame) -> DataFrame:
             clean_field(field[3]).alias("keywords"),
             clean_field(F.get(field, 4)).alias("description"),
             F.lit(1.0).alias("weight"),
+            *_others(output),
         )
         .where("source_id <> '' AND target_id <> '' AND source_id <> target_id")
     )
@@ -91,7 +101,7 @@ def _merge(rows: DataFrame, keys: list[str], values: list[str], chars: int) -> D
     the sources is worked out from one row per key and distinct description.
     """
     said = rows.groupBy(*keys, F.lower("description").alias("__same")).agg(
-        F.min(F.struct("ord", *values)).alias("row"),
+        F.min(F.struct(*dict.fromkeys(["ord", *values]))).alias("row"),
         F.min(first_text("description", "ord", chars)).alias("__first"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -103,15 +113,21 @@ def _merge(rows: DataFrame, keys: list[str], values: list[str], chars: int) -> D
     return facts.join(merged, keys, "left").join(sources, keys)
 
 
-def dedup_entities(entities: DataFrame) -> DataFrame:
-    """One row per case-insensitive name: first spelling and type, distinct descriptions, source count.
+def name_key(name: str = "entity_name") -> Column:
+    return F.lower(F.trim(name))
+
+
+def dedup_entities(entities: DataFrame, scope: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """One row per case-insensitive name (and scope): first spelling and type, distinct descriptions, source count.
 
-    A name that occurs once keeps its whole description.
+    A name that occurs once keeps its whole description. ``keep`` names more columns of the first row to keep.
     """
-    keyed = entities.withColumn("key", F.lower(F.trim("entity_name")))
-    merged = _merge(keyed, ["key"], ["entity_name", "entity_type", "description"], ENTITY_CHARS)
+    keyed = entities.withColumn("key", name_key())
+    merged = _merge(keyed, [*scope, "key"], ["entity_name", "entity_type", "description", *keep], ENTITY_CHARS)
     return merged.select(
+        *scope,
         "key",
+        *[F.col(f"first.{c}").alias(c) for c in keep],
         F.col("first.entity_name").alias("entity_name"),
         F.col("first.entity_type").alias("entity_type"),
         F.when(F.col("n_rows") == 1, F.col("first.description")).otherwise(F.col("merged")).alias("description"),
@@ -121,6 +137,25 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
     )
 
 
+def one_spelling(entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """All rows, each under the first spelling and type of its name (and scope), ignoring case."""
+    keyed = entities.withColumn("__key", name_key())
+    firsts = keyed.groupBy(*scope, "__key").agg(F.min(F.struct("ord", "entity_name", "entity_type")).alias("__first"))
+    told = join_lookup(keyed, firsts, [*scope, "__key"])
+    changed = {c: F.col(f"__first.{c}").alias(c) for c in ("entity_name", "entity_type")}
+    return told.select(*[changed.get(c, F.col(c)) for c in entities.columns])
+
+
+def spelled_ends(relationships: DataFrame, entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """All rows; ends that name an entity (of the scope), ignoring case, in its spelling."""
+    spelling = entities.groupBy(*scope, name_key().alias("__low")).agg(F.min("entity_name").alias("__spelled"))
+    out = relationships
+    for end in ("source_id", "target_id"):
+        out = join_lookup(out.withColumn("__low", name_key(end)), spelling, [*scope, "__low"], "left")
+        out = out.withColumn(end, F.coalesce("__spelled", end)).drop("__low", "__spelled")
+    return out.select(*relationships.columns)
+
+
 def entity_sources(entities: DataFrame) -> DataFrame:
     """Link table: deduplicated entity → chunk it was found in."""
     return entities.select(F.lower(F.trim("entity_name")).alias("key"), "chunk_id").distinct()
@@ -133,10 +168,10 @@ def distinct_descriptions(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, F.col("first.ord").alias("ord"), F.col("first.description").alias("description"))
 
 
-def dedup_relationships(relationships: DataFrame) -> DataFrame:
-    """One row per directed pair: distinct descriptions, the first five keywords in order, first weight, source count."""
-    keys = ["source_id", "target_id"]
-    merged = _merge(relationships, keys, ["keywords", "description", "weight"], RELATION_CHARS)
+def dedup_relationships(relationships: DataFrame, scope: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """One row per directed pair (and scope): distinct descriptions, the first five keywords in order, first weight, source count."""
+    keys = [*scope, "source_id", "target_id"]
+    merged = _merge(relationships, keys, ["keywords", "description", "weight", *keep], RELATION_CHARS)
     kept = (
         relationships.select(*keys, F.explode(keyword_list(F.col("keywords"))).alias("keyword"))
         .distinct()
@@ -150,6 +185,7 @@ def dedup_relationships(relationships: DataFrame) -> DataFrame:
         merged.join(kept, keys, "left")
         .select(
             *keys,
+            *[F.col(f"first.{c}").alias(c) for c in keep],
             F.when(once, F.col("first.keywords")).otherwise(F.coalesce("kept", F.lit(""))).alias("keywords"),
             F.when(once, F.col("first.description")).otherwise(F.col("merged")).alias("description"),
             F.col("first.weight").alias("weight"),
@@ -201,18 +237,18 @@ def validate_relationships(relationships: DataFrame, entities: DataFrame) -> Dat
     return out.where(F.col("source_id") != F.col("target_id")).select(*relationships.columns)
 
 
-def _end_flags(relationships: DataFrame, entities: DataFrame, name: str = "entity_name") -> DataFrame:
-    known = entities.select(F.col(name).alias("name")).distinct()
+def _end_flags(relationships: DataFrame, entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    known = entities.select(*scope, F.col("entity_name").alias("name")).distinct()
     out = relationships
     for end in ("source_id", "target_id"):
-        flag = known.select(F.col("name").alias(end), F.lit(True).alias(f"{end}_known"))
-        out = join_lookup(out, flag, [end], "left")
+        flag = known.select(*scope, F.col("name").alias(end), F.lit(True).alias(f"{end}_known"))
+        out = join_lookup(out, flag, [*scope, end], "left")
     return out
 
 
-def split_relationships(relationships: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with ``reason``) by exact names: source missing, then target missing, then self-loop."""
-    flagged = _end_flags(relationships, entities).withColumn(
+def split_relationships(relationships: DataFrame, entities: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with ``reason``) by exact names (of the scope): source missing, then target missing, then self-loop."""
+    flagged = _end_flags(relationships, entities, scope).withColumn(
         "reason",
         F.when(F.col("source_id_known").isNull(), "source missing")
         .when(F.col("target_id_known").isNull(), "target missing")

@@ -21,16 +21,19 @@ QUERY_BLOCK = 4096
 
 
 def texts_to_embed(chunks: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """One row per vector to be made: (id, text, chunk_id, entity_type)."""
+    """One row per vector to be made: (id, text, chunk_id, entity_type), and doc_id where all three tables have it."""
     empty = F.lit("")
-    a = chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), "chunk_id", F.lit("CHUNK").alias("entity_type"))
+    own = ["doc_id"] if all("doc_id" in t.columns for t in (chunks, entities, relationships)) else []
+    a = chunks.select(*own, F.col("chunk_id").alias("id"), F.col("content").alias("text"), "chunk_id", F.lit("CHUNK").alias("entity_type"))
     b = entities.select(
+        *own,
         F.concat(F.lit("entity_"), "entity_name").alias("id"),
         F.concat("entity_name", F.lit(" ("), "entity_type", F.lit("): "), F.coalesce("description", empty)).alias("text"),
         "chunk_id",
         "entity_type",
     )
     c = relationships.select(
+        *own,
         F.concat(F.lit("rel_"), "source_id", F.lit("_"), "target_id", F.lit("_"), F.coalesce("chunk_id", empty)).alias("id"),
         F.concat(
             "source_id", F.lit(" -> "), "target_id", F.lit(": "), F.coalesce("description", empty),

@@ -170,7 +170,7 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.repartitionByRange(2, "doc_id").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    documents.ingest_stream(_documents(stream), out, name_model, HashingEncoder(8), SETTINGS).awaitTermination()
+    documents.ingest_stream(_documents(stream), out, name_model, HashingEncoder(8), SETTINGS, link=False).awaitTermination()
     batch = ingest(_documents(docs), name_model, HashingEncoder(8), None, SETTINGS)
     nodes, edges = documents.current_graph(spark, out)
     same = lambda a, b: sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
@@ -178,6 +178,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert same(edges, graph.merge_documents(batch.edges, ["source", "target"]))
     stored = documents.numbered_vectors(spark, out)
     assert sorted(x["idx"] for x in stored.select("idx").collect()) == list(range(batch.vectors.count()))
+    # A document that comes again replaces what there was of it; its new vectors are numbered on.
+    first = docs.orderBy("doc_id").limit(1).withColumn("text", F.lit("Alpha meets Beta. ALPHA leaves Gamma."))
+    first.write.mode("append").parquet(str(tmp_path / "in"))
+    documents.ingest_stream(_documents(stream), out, name_model, HashingEncoder(8), SETTINGS, link=False).awaitTermination()
+    now = docs.join(first.select("doc_id"), "doc_id", "left_anti").unionByName(first)
+    again = ingest(_documents(now), name_model, HashingEncoder(8), None, SETTINGS)
+    nodes, edges = documents.current_graph(spark, out)
+    assert same(nodes, graph.merge_documents(again.nodes, ["node_id"]))
+    assert same(edges, graph.merge_documents(again.edges, ["source", "target"]))
+    stored = documents.numbered_vectors(spark, out)
+    ids = sorted(x["idx"] for x in stored.select("idx").collect())
+    assert ids == list(range(len(ids))) and stored.where("NOT deleted").count() == again.vectors.count()
+
+
+def test_ingestion_ignores_case(spark):
+    from catalog.ingestion import SETTINGS
+    from graphloom.functions.encoders import HashingEncoder
+    from graphloom.plans.ingest import ingest
+
+    def model(prompts):
+        line = "entity<|#|>{}<|#|>concept<|#|>{} of the text<|#|>4"
+        out = [line.format("Alpha", "beginning"), line.format("ALPHA", "first part"), line.format("beta", "second part")]
+        out += ["relation<|#|>alpha<|#|>BETA<|#|>next<|#|>one and two", "relation<|#|>Alpha<|#|>Beta<|#|>next<|#|>one and two", "relation<|#|>Alpha<|#|>Delta<|#|>x<|#|>no such end"]
+        return ["\n".join([*out, "<|COMPLETE|>"]) for _ in prompts]
+
+    docs = spark.createDataFrame([("1", "some text", "a.txt")], "doc_id string, text string, file_path string")
+    made = ingest(docs, model, HashingEncoder(8), None, SETTINGS, summary_model=lambda ps: ["short" for _ in ps])
+    assert {(r.entity_name, r.n_descriptions) for r in made.entities.collect()} == {("Alpha", 2), ("beta", 1)}
+    assert [(r.source_id, r.target_id, r.n_rows) for r in made.relationships.collect()] == [("Alpha", "beta", 2)]
+    assert [(r.target_id, r.reason) for r in made.rejected.collect()] == [("Delta", "target missing")]
+    assert {r.node_id for r in made.nodes.collect()} == {"Alpha", "beta"} and made.edges.count() == 1
+    assert made.vectors.where("id LIKE 'entity%'").count() == 2
 
 
 def test_registry():
