@@ -7,9 +7,11 @@ the first-level partitions at least ``slack + 1`` hold ``spare`` differences or
 those one choice of second-level partitions has no difference at all, so its signature is shared.
 
 Every pair that shares a signature counts as a candidate, yet pairs are not formed within buckets:
-each member meets the least member first, then only members that are still in other components.
-A bucket of more than ``HOT`` sets (a passage that many documents share) is left out for a set that is
-in no more than ``slack`` such buckets: it shares another signature with each of its partners.
+each member meets the least member first, then the most typical one, and only then members that are
+still in other components.
+Of its buckets with more than ``HOT`` sets (a passage that many documents share) each set leaves out the
+``slack`` largest: alike sets share signatures of more partitions than that, and the one in the least
+bucket of these is left out by neither.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import blocks, hash_spans, mix, partitions_for, select, stored, windows
@@ -31,10 +33,12 @@ WORDS = 5
 #: Stands for a null doc_id: larger than any other.
 NO_ID = (1 << 63) - 1
 #: Buckets of more sets than this are hot.
-HOT = 64
+HOT = 4
 #: Shingles whose signatures one group of buckets has, about.
 GROUP_SHINGLES = 400_000
 _HASH_BITS = 40
+#: Buckets of the least sketch, which is also what joins look at.
+SKETCH_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -115,25 +119,27 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[list[np.ndarr
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Shingles counted in 2^j hash buckets, about eight in each: two sets differ in at least the sum of differences."""
-    bits = max(4, (len(shingles) // 8).bit_length())
-    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    """Parity of the number of shingles in each of 2^j hash buckets, two for a shingle or more, as packed bits.
 
-
-def _packed_sketch(shingles: np.ndarray) -> bytes:
-    counts = sketch(shingles)
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+    Where two sets' parities differ there is a difference in the bucket, so they differ in as many shingles at least.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(shingles)).bit_length())
+    place = (shingles >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8))
 
 
-def _opened_sketch(raw: bytes, size: int) -> np.ndarray:
-    n = 1 << max(4, (size // 8).bit_length())
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
+def folded(parity: np.ndarray, n_bytes: int) -> np.ndarray:
+    """A sketch with fewer buckets: neighbours put together."""
+    if len(parity) == n_bytes:
+        return parity
+    bits = np.unpackbits(parity).reshape(8 * n_bytes, -1)
+    return np.packbits(np.bitwise_xor.reduce(bits, axis=1))
 
 
 def least_differences(a: np.ndarray, b: np.ndarray) -> int:
     """Lower bound of the differences of two sets, from their sketches."""
     n = min(len(a), len(b))
-    return int(np.abs(a.reshape(n, -1).sum(axis=1) - b.reshape(n, -1).sum(axis=1)).sum())
+    return int(np.bitwise_count(folded(a, n) ^ folded(b, n)).sum())
 
 
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
@@ -167,23 +173,26 @@ def _ids(narrow: DataFrame) -> DataFrame:
 
 
 def sets_table(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (shingles), set_a and set_b (hash of the set in two longs) and sketch of every row."""
+    """doc_id, n (shingles), set_a and set_b (hash of the set in two longs), sketch and fold (its least form) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.binary()), ("fold", pa.list_(pa.int64()))])
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(1), words):
                 with np.errstate(over="ignore"):
                     a = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
                     b = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
+                sketches = [sketch(s) for s in sets]
+                folds = [folded(s, SKETCH_BITS // 8).view(np.int64) for s in sketches]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
-                     pa.array(b.view(np.int64)), pa.array([_packed_sketch(s) for s in sets], pa.binary())], schema=schema,
+                     pa.array(b.view(np.int64)), pa.array([s.tobytes() for s in sketches], pa.binary()),
+                     pa.array(folds, pa.list_(pa.int64()))], schema=schema,
                 )
                 at += len(sets)
 
-    return _ids(select(documents, "doc_id", "text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sketch binary")
+    return _ids(select(documents, "doc_id", "text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sketch binary, fold array<long>")
 
 
 def buckets(documents: DataFrame, groups: int, bands: Bands, words: int = WORDS) -> DataFrame:
@@ -291,7 +300,7 @@ def _close(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [
-                least_differences(_opened_sketch(x, n), _opened_sketch(y, m)) <= bands.differences(n + m)
+                least_differences(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= bands.differences(n + m)
                 for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
             ]
             kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -340,14 +349,15 @@ def near_duplicates(documents: DataFrame, bands: Bands = Bands(), words: int = W
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = partitions_for(total, GROUP_SHINGLES, 4 * spark.sparkContext.defaultParallelism, 1 << 24)
     # Equal sets are one class, led by its least id.
-    led = sets.filter("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    led = sets.filter("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
     classes = stored(led, "classes")
     of = stored(
-        sets.filter("n > 0").select("doc_id", "set_a", "set_b", "n").join(classes.drop("sketch"), ["set_a", "set_b", "n"])
+        sets.filter("n > 0").select("doc_id", "set_a", "set_b", "n").join(classes.drop("sketch", "fold"), ["set_a", "set_b", "n"])
         .select("doc_id", "rep").distinct(),
         "class-of",
     )
     lead = classes.select("rep", "n", "sketch")
+    folds = classes.select("rep", "n", "fold")
 
     members = stored(bucket_members(buckets(documents, groups, bands, words)), "buckets")
     star = members.filter("doc_id <> least").select("doc_id", "least").distinct()
@@ -360,10 +370,14 @@ def near_duplicates(documents: DataFrame, bands: Bands = Bands(), words: int = W
     same_id = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     found = stored(components(links.union(same_id)), "components")
 
-    more = stored(_across(members, of, found, lead, tried, bands), "more-pairs")
-    if not more.isEmpty():
-        second = stored(_alike(more, documents, words, bands.percent), "linked")
-        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "components")
+    kept = stored(_kept(members, of, bands), "kept")
+    for choose in (_typical_pairs, _other_pairs):
+        more = stored(_close(choose(_mixed(kept, found), tried, folds, bands.percent), lead, bands), "pairs")
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored(components(known.union(_alike(more, documents, words, bands.percent))), "components")
     label = classes.select("set_a", "set_b", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     label = label.select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "set_a", "set_b").join(label, ["set_a", "set_b", "n"], "left")
@@ -374,30 +388,57 @@ def near_duplicates(documents: DataFrame, bands: Bands = Bands(), words: int = W
     )
 
 
-def _across(members: DataFrame, of: DataFrame, found: DataFrame, lead: DataFrame, tried: DataFrame, bands: Bands) -> DataFrame:
-    """Candidate pairs that are still in different components and were not tried: a, b."""
+def _kept(members: DataFrame, of: DataFrame, bands: Bands) -> DataFrame:
+    """signature and rep (the class of a member) of buckets of three or more, without what a set may leave out."""
     wide = members.filter("size > 2")
     band = F.shiftrightunsigned("signature", 56).cast("int")
-    spark = members.sparkSession
-    slack = spark.createDataFrame([(i, s[3]) for i, s in enumerate(bands.schemes)], "band int, slack int")
-    hot = wide.filter(F.col("size") > HOT)
-    heavy = (
-        hot.groupBy("doc_id", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(slack), "band").filter("n > slack").select("doc_id", "band")
-    )
-    kept = wide.filter(F.col("size") <= HOT).select("signature", "doc_id").union(
-        hot.withColumn("band", band).join(heavy, ["doc_id", "band"], "left_semi").select("signature", "doc_id")
-    )
-    labels = of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    labels = labels.select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    named = kept.join(labels, "doc_id").select("signature", "rep", "component")
+    slack = members.sparkSession.createDataFrame([(i, s[3]) for i, s in enumerate(bands.schemes)], "band int, slack int")
+    # Of the hot buckets of a set its ``slack`` largest are left out; all sets agree on the order of buckets.
+    largest = Window.partitionBy("doc_id", "band").orderBy(F.desc("size"), "signature")
+    hot = wide.filter(F.col("size") > HOT).withColumn("band", band).withColumn("place", F.row_number().over(largest))
+    left = hot.join(F.broadcast(slack), "band").filter("place > slack")
+    rows = wide.filter(F.col("size") <= HOT).select("signature", "doc_id").union(left.select("signature", "doc_id"))
+    return rows.join(of, "doc_id").select("signature", "rep")
+
+
+def _mixed(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """signature, rep and component of the buckets that still have members of several components."""
+    labels = found.select(F.col("node").alias("rep"), "component")
+    named = kept.join(labels, "rep", "left").select("signature", "rep", F.coalesce("component", "rep").alias("component"))
     spread = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = stored(named.join(spread.select("signature"), "signature", "left_semi").distinct(), "mixed")
-    # Of two members in different components, one at least is outside the bucket's most frequent component.
+    return stored(named.join(spread.select("signature"), "signature", "left_semi").distinct(), "mixed")
+
+
+def _pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _typical_pairs(mixed: DataFrame, tried: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """Every member with the member of its bucket that is in most buckets: a text that others are edits of."""
+    often = mixed.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    centre = mixed.join(often, "rep").groupBy("signature").agg(F.max(F.struct("n", -F.col("rep"))).alias("best"))
+    centre = centre.select("signature", (-F.col("best.col2")).alias("x"))
+    own = mixed.select(F.col("rep").alias("x"), F.col("component").alias("of_x")).distinct()
+    met = mixed.join(centre, "signature").join(own, "x").filter("component <> of_x")
+    return _pairs(met.withColumnRenamed("rep", "y"), tried)
+
+
+def _other_pairs(mixed: DataFrame, tried: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that are still in different components and can be alike by their sizes and folded sketches.
+
+    Of two such members one at least is outside the bucket's most frequent component. The join itself looks at
+    sizes and sketches, so that pairs which are not alike are never rows.
+    """
     counted = mixed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counted.groupBy("signature").agg(F.max_by("component", "n").alias("main"))
-    rare = mixed.join(main, "signature").filter("component <> main").select(
-        "signature", F.col("rep").alias("x"), F.col("component").alias("of_x")
+    main = counted.groupBy("signature").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    told = mixed.join(folds, "rep")
+    rare = told.join(main, "signature").filter("component <> main")
+    rare = rare.select("signature", *[F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "fold")])
+    apart = sum((F.bit_count(F.col("fold")[i].bitwiseXOR(F.col("x_fold")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    near = (
+        (F.col("x_component") != F.col("component"))
+        & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("x_n")))
     )
-    met = rare.join(mixed, "signature").filter("of_x <> component").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-    return _close(met.distinct().join(tried, ["a", "b"], "left_anti"), lead, bands)
+    met = rare.join(told.withColumnRenamed("signature", "s"), (F.col("signature") == F.col("s")) & near)
+    return _pairs(met.select(F.col("x_rep").alias("x"), F.col("rep").alias("y")), tried)
