@@ -101,6 +101,15 @@ def cells(i):
     return shown(v.nearest_in_cells(store, mid, centres(i), 5, probes=4))
 
 
+@query("vec7_recall")
+def recall(i):
+    """How many of the exact neighbours the approximate search finds."""
+    store, mid = v.build_cells(i.fx_vectors, 16)
+    exact = v.nearest(i.fx_vectors, centres(i), 5).select("qid", "idx")
+    found = v.nearest_in_cells(store, mid, centres(i), 5, probes=4).select("qid", "idx", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "idx"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+
+
 @query("vec7_all_cells", with_(f"WITH {knn_sql()} {SHOW}"))
 def all_cells(i):
     """With every cell probed the approximate search is exact."""

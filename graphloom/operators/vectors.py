@@ -13,8 +13,14 @@ from pyspark.sql import types as T
 from graphloom.functions import fixed
 from graphloom.operators.inference import Encoder, encode
 from graphloom.operators.spread import dense_index, join_lookup
+from graphloom.session import cut
 
 QUERY_BLOCK = 4096
+VECTOR_BLOCK = 8192
+#: Questions whose candidates a task holds before it hands them on.
+HELD_QUESTIONS = 50_000
+#: Parts of a question's candidates that are ranked by themselves first.
+RANK_PARTS = 16
 
 
 # ------------------------------------------------------------------ texts
@@ -114,20 +120,6 @@ def document_map(store: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- search
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and vectors in blocks of at most ``size`` rows; only one block is on the driver at a time."""
-    rows = queries.limit(size + 1).collect()
-    if len(rows) <= size:
-        if rows:
-            yield [r["qid"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
-        return
-    numbered = dense_index(queries, ["qid"], "at")
-    total = numbered.count()
-    for start in range(0, total, size):
-        rows = numbered.where(F.col("at").between(start, start + size - 1)).collect()
-        yield [r["qid"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
-
-
 def _closest(x: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each asked vector the k smallest squared distances to rows of x, ties by id.
 
@@ -146,71 +138,82 @@ def _closest(x: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Itera
             yield exact[order], ids[keep][order]
 
 
-def _scan(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_type: T.DataType, cells: dict | None) -> DataFrame:
-    """Local best k per query for every task: one pass over the vectors, k rows per query and task out."""
+def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Vectors put together, up to ``size`` of one partition in a row: ``cell`` (if there is one), ``keys`` and ``matrix``."""
+    by_cell = "cell" in rows.columns
+    fields = [T.StructField("keys", T.ArrayType(rows.schema[key].dataType)), T.StructField("matrix", T.BinaryType())]
+    schema = T.StructType(([T.StructField("cell", T.IntegerType())] if by_cell else []) + fields)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for cell, own in frame.groupby("cell", sort=False) if by_cell else [(None, frame)]:
+                for at in range(0, len(own), size):
+                    part = own.iloc[at : at + size]
+                    matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64).tobytes()
+                    row = {"keys": [part[key].tolist()], "matrix": [matrix]}
+                    yield pd.DataFrame({"cell": [int(cell)], **row} if by_cell else row)
+
+    columns = [key, "embedding", *(["cell"] if by_cell else [])]
+    return rows.select(*columns).mapInPandas(work, schema)
+
+
+def _met(pairs: DataFrame, k: int, qid_type: T.DataType) -> DataFrame:
+    """The best ``k`` of every question in each partition of packed pairs (keys, matrix, qids, asked)."""
     schema = T.StructType(
         [T.StructField("qid", qid_type), T.StructField("idx", T.LongType()), T.StructField("distance", T.DoubleType())]
     )
-    shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix, cells))
+
+    def told(best: dict) -> pd.DataFrame:
+        n = [len(d) for d, _ in best.values()]
+        return pd.DataFrame(
+            {"qid": [q for q, c in zip(best, n) for _ in range(c)], "idx": np.concatenate([i for _, i in best.values()]),
+             "distance": np.concatenate([d for d, _ in best.values()])}
+        )
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, asked, probed = shared.value
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(names)
+        best: dict = {}
         for frame in frames:
-            if frame.empty:
-                continue
-            x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-            ids = frame["idx"].to_numpy()
-            groups = [(slice(None), range(len(names)))]
-            if probed is not None:
-                cell = frame["cell"].to_numpy()
-                groups = [(np.flatnonzero(cell == c), probed.get(int(c), [])) for c in np.unique(cell)]
-            for rows, wanted in groups:
-                part, part_ids = x[rows], ids[rows]
-                for n, (d, i) in zip(wanted, _closest(part, part_ids, asked[list(wanted)], k)):
-                    if best[n] is not None:
-                        d, i = np.concatenate([best[n][0], d]), np.concatenate([best[n][1], i])
+            for keys, matrix, qids, asked in zip(frame["keys"], frame["matrix"], frame["qids"], frame["asked"]):
+                x = np.frombuffer(matrix).reshape(len(keys), -1)
+                q = np.frombuffer(asked).reshape(len(qids), -1)
+                for name, (d, i) in zip(qids, _closest(x, np.asarray(keys), q, k)):
+                    if name in best:
+                        d, i = np.concatenate([best[name][0], d]), np.concatenate([best[name][1], i])
                         order = np.lexsort((i, d))[:k]
                         d, i = d[order], i[order]
-                    best[n] = (d, i)
-        for n, found in enumerate(best):
-            if found is not None:
-                yield pd.DataFrame({"qid": [names[n]] * len(found[0]), "idx": found[1], "distance": found[0]})
+                    best[name] = (d, i)
+                if len(best) > HELD_QUESTIONS:
+                    yield told(best)
+                    best = {}
+        if best:
+            yield told(best)
 
-    columns = ["idx", "embedding"] + (["cell"] if cells is not None else [])
-    return vectors.select(*columns).mapInPandas(work, schema)
+    return pairs.select("keys", "matrix", "qids", "asked").mapInPandas(work, schema)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    place = Window.partitionBy("qid").orderBy("distance", "idx")
-    return (
-        found.withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= k)
-        .withColumn("similarity", 1.0 / (1.0 + F.col("distance")))
-    )
+    """The best ``k`` per question: first of each of a few parts of its candidates, then of what is left."""
+    part = F.pmod(F.xxhash64("idx"), F.lit(RANK_PARTS))
+    for keys in (["qid", "__part"], ["qid"]):
+        place = Window.partitionBy(*keys).orderBy("distance", "idx")
+        found = (found.withColumn("__part", part) if len(keys) > 1 else found.drop("__part")).withColumn("place", F.row_number().over(place))
+        found = found.where(F.col("place") <= k)
+    return found.withColumn("similarity", 1.0 / (1.0 + F.col("distance")))
+
+
+def _asked(queries: DataFrame, block: int) -> DataFrame:
+    return cut(_packed(queries, "qid", block).withColumnsRenamed({"keys": "qids", "matrix": "asked"}))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact k nearest vectors per query by squared distance: (qid, idx, distance, place, similarity).
 
-    Queries (qid, embedding) are sent to the executors in blocks of at most
-    ``block`` rows; every block is one scan of the vectors, which are never shuffled.
-    A task keeps k candidates per query, so the final ranking sees k rows per query and task.
+    Queries (qid, embedding) and vectors are packed into blocks where they are, and every block of queries
+    meets every block of vectors; nothing of either goes through the driver. A task keeps k candidates per
+    query, and these are ranked in two levels.
     """
-    parts = [
-        _scan(vectors, qids, matrix, k, queries.schema["qid"].dataType, None)
-        for qids, matrix in _blocks(queries.select("qid", "embedding"), block)
-    ]
-    return _ranked(_union(parts, queries), k)
-
-
-def _union(parts: list[DataFrame], queries: DataFrame) -> DataFrame:
-    if not parts:
-        return queries.where("false").select("qid", F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("distance"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    pairs = _packed(vectors.select("idx", "embedding"), "idx", VECTOR_BLOCK).crossJoin(_asked(queries.select("qid", "embedding"), block))
+    return _ranked(_met(pairs, k, queries.schema["qid"].dataType), k)
 
 
 def search(
@@ -259,33 +262,41 @@ def search_text(store: DataFrame, questions: DataFrame, encoder: Encoder, k: int
 # ------------------------------------------------------------ approximate
 
 
-def build_cells(vectors: DataFrame, n_cells: int, seed: int = 7, train_rows: int = 2_000_000) -> tuple[DataFrame, np.ndarray]:
+def build_cells(vectors: DataFrame, n_cells: int, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """(vectors with the nearest of ``n_cells`` centres as ``cell``, the centres).
 
-    Centres are learnt from at most about ``train_rows`` rows; every row is assigned.
+    Centres are learnt from all rows; the assigned vectors are written once.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     points = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    total = vectors.count()
-    sample = points if total <= train_rows else points.sample(train_rows / total, seed)
-    model = KMeans(k=n_cells, seed=seed, maxIter=10, predictionCol="cell").fit(sample.select("features"))
-    return model.transform(points).drop("features"), np.array(model.clusterCenters())
+    model = KMeans(k=n_cells, seed=seed, maxIter=10, predictionCol="cell").fit(points.select("features"))
+    return cut(model.transform(points).drop("features")), np.array(model.clusterCenters())
 
 
 def nearest_in_cells(
     vectors: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 5, probes: int = 4, block: int = QUERY_BLOCK
 ) -> DataFrame:
-    """Approximate neighbours: only the ``probes`` cells nearest to a query are looked through."""
-    parts = []
-    for qids, matrix in _blocks(queries.select("qid", "embedding"), block):
-        gaps = ((matrix[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-        near = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
-        cells: dict[int, list[int]] = {}
-        for n, row in enumerate(near):
-            for c in row:
-                cells.setdefault(int(c), []).append(n)
-        own = vectors.where(F.col("cell").isin(sorted(cells)))
-        parts.append(_scan(own, qids, matrix, k, queries.schema["qid"].dataType, cells))
-    return _ranked(_union(parts, queries), k)
+    """Approximate neighbours: only the ``probes`` cells nearest to a query are looked through.
+
+    Queries find their cells on the executors and meet the vectors by an equal join on the cell, which
+    adaptive execution splits where a cell is large.
+    """
+    schema = T.StructType([*queries.select("qid", "embedding").schema, T.StructField("cell", T.IntegerType())])
+    shared = queries.sparkSession.sparkContext.broadcast(centres)
+
+    def probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mid = shared.value
+        size = (mid * mid).sum(axis=1)
+        for frame in frames:
+            for at in range(0, len(frame), 1024):
+                part = frame.iloc[at : at + 1024]
+                if len(part):
+                    q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                    near = np.argsort(size - 2.0 * (q @ mid.T), axis=1, kind="stable")[:, :probes]
+                    yield part.loc[part.index.repeat(near.shape[1])].assign(cell=near.ravel().astype(np.int32))
+
+    asked = _asked(queries.select("qid", "embedding").mapInPandas(probed, schema), block)
+    held = _packed(vectors.select("idx", "embedding", F.col("cell").cast("int").alias("cell")), "idx", VECTOR_BLOCK)
+    return _ranked(_met(held.join(asked, "cell"), k, queries.schema["qid"].dataType), k)
