@@ -248,7 +248,7 @@ DEGREES = "deg AS (SELECT node_id, count(*) AS degree FROM (SELECT unnest([sourc
 
 
 @query("grf20_search_nodes", with_(f"""WITH {NODES}, {DEGREES}
-    SELECT node_id, type, CAST(CASE WHEN contains(lower(node_id), 'ring') THEN 10 ELSE 0 END + CASE WHEN contains(lower(description), 'ring') THEN 5 ELSE 0 END
+    SELECT CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INTEGER) AS place, node_id, type, CAST(CASE WHEN contains(lower(node_id), 'ring') THEN 10 ELSE 0 END + CASE WHEN contains(lower(description), 'ring') THEN 5 ELSE 0 END
            + CASE WHEN contains(lower(type), 'ring') THEN 3 ELSE 0 END AS INTEGER) AS score, coalesce(degree, 0) AS degree
     FROM nodes LEFT JOIN deg USING (node_id) WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20"""))
 def search_nodes(i):
@@ -263,10 +263,10 @@ def browse_nodes(i):
 
 
 @query("grf22_browse_edges", with_(f"""WITH {edge_sql('fx_relationships', PAIR, 'sum')},
-    best AS (SELECT source_id, target_id, strength FROM edges
+    best AS (SELECT source_id, target_id, strength, CAST(row_number() OVER (ORDER BY round(strength, 6) DESC, source_id, target_id) AS INTEGER) AS place FROM edges
              WHERE strength >= 3 AND (source_id, target_id) IN (SELECT (source_id, target_id) FROM ekw WHERE keyword = 'bulk')
-             ORDER BY strength DESC, source_id, target_id LIMIT 50)
-    SELECT source_id AS source, target_id AS target, string_agg(keyword, ',' ORDER BY keyword) AS keywords,
+             QUALIFY place <= 50)
+    SELECT any_value(place) AS place, source_id AS source, target_id AS target, string_agg(keyword, ',' ORDER BY keyword) AS keywords,
            round(any_value(strength), 6) AS strength,
            CASE WHEN any_value(strength) >= 5 THEN 'strong' WHEN any_value(strength) >= 3 THEN 'medium' ELSE 'weak' END AS class
     FROM best JOIN ekw USING (source_id, target_id) GROUP BY source_id, target_id"""))

@@ -33,11 +33,16 @@ def recent_messages(messages: DataFrame, n: int = 10) -> DataFrame:
 
 def history(messages: DataFrame, max_turns: int = 5) -> DataFrame:
     """Before every message: the previous ``2·max_turns`` messages as ``history`` (array of role, content)."""
+    return _look_back(messages, F.struct("role", "content"), "history", max_turns)
+
+
+def _look_back(messages: DataFrame, value: Column, name: str, max_turns: int) -> DataFrame:
+    """Add an array of ``value`` over the previous ``2·max_turns`` messages."""
     back = 2 * max_turns
     w = Window.partitionBy("seg", *KEY).orderBy("pos").rowsBetween(-back, -1)
     return (
-        segments(messages, KEY, ["turn"], back)
-        .withColumn("history", F.collect_list(F.struct("role", "content")).over(w))
+        segments(messages.withColumn(name, value), KEY, ["turn"], back)
+        .withColumn(name, F.collect_list(name).over(w))
         .where(~F.col("halo"))
         .drop("seg", "pos", "halo")
     )
@@ -50,10 +55,12 @@ def spoken(role: Column, content: Column, chars: int) -> Column:
 
 def history_text(messages: DataFrame, max_turns: int = 5, chars: int = 200, heading: str | None = None) -> DataFrame:
     """Before every message: the history as text lines; empty without history."""
-    lines = F.transform("history", lambda m: spoken(m["role"], m["content"], chars))
+    # Messages are cut before they are gathered, so a message is copied whole no more than once.
+    told = _look_back(messages, spoken(F.col("role"), F.col("content"), chars), "__lines", max_turns)
+    lines = F.col("__lines")
     if heading is not None:
-        lines = F.when(F.size("history") > 0, F.concat(F.array(F.lit(heading)), lines)).otherwise(lines)
-    return history(messages, max_turns).withColumn("history_text", F.array_join(lines, "\n")).drop("history")
+        lines = F.when(F.size(lines) > 0, F.concat(F.array(F.lit(heading)), lines)).otherwise(lines)
+    return told.withColumn("history_text", F.array_join(lines, "\n")).drop("__lines")
 
 
 def rewrite_candidates(messages: DataFrame, max_turns: int = 5, max_words: int = 10) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import joined_text, keyword_list
 from graphloom.operators.spread import join_lookup
+from graphloom.session import cut
 
 DESCRIPTION_CHARS = 500
 
@@ -270,6 +271,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     """Edges per node, both directions; counted before the shuffle, so hubs are cheap."""
     return (
         edges.select(F.explode(F.array("source", "target")).alias("node_id"))
+        .where("node_id IS NOT NULL")
         .groupBy("node_id")
         .agg(F.count(F.lit(1)).alias("degree"))
     )
@@ -331,8 +333,22 @@ def search_nodes(nodes: DataFrame, edges: DataFrame, text: str, limit: int = 20)
         return F.when(F.lower(F.coalesce(c, F.lit(""))).contains(q), points).otherwise(0)
 
     score = hit("node_id", 10) + hit("description", 5) + hit("type", 3)
-    best = nodes.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "node_id").limit(limit)
-    return _with_degree(best, edges).select("node_id", "type", "score", "degree")
+    best = _first(nodes.withColumn("score", score).where("score > 0"), limit, F.desc("score"), "node_id")
+    # At most ``limit`` ids: only their edges are counted.
+    own = degrees(_touching(edges, best.select("node_id")))
+    return best.join(own, "node_id", "left").select("place", "node_id", "type", "score", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def _first(rows: DataFrame, limit: int, *order: str | Column) -> DataFrame:
+    """The first ``limit`` rows in order, with their ``place``: a later join does not keep the order itself."""
+    top = rows.orderBy(*order).limit(limit)
+    return cut(top.withColumn("place", F.row_number().over(Window.orderBy(*order))))
+
+
+def _touching(edges: DataFrame, few: DataFrame) -> DataFrame:
+    """Ends of edges that are among a few nodes, as edges of one end."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).join(F.broadcast(few), "node_id", "left_semi")
+    return ends.select(F.col("node_id").alias("source"), F.lit(None).cast("string").alias("target"))
 
 
 def browse_nodes(
@@ -362,9 +378,9 @@ def browse_edges(
     found = edges.where(F.col("strength") >= min_strength)
     if keyword is not None:
         found = found.join(keywords.where(F.col("keyword") == keyword), ["source", "target"], "left_semi")
-    best = found.orderBy(F.desc("strength"), "source", "target").limit(limit)
+    best = _first(found, limit, F.desc("strength"), "source", "target")
     return keyword_text(best, keywords).select(
-        "source", "target", "keywords", "strength", strength_class(F.col("strength")).alias("class")
+        "place", "source", "target", "keywords", "strength", strength_class(F.col("strength")).alias("class")
     )
 
 
