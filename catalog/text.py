@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import query
@@ -10,6 +12,7 @@ from graphloom.functions import fixed, markup
 from graphloom.functions.pieces import ChunkSettings
 from graphloom.functions.text import token_count
 from graphloom.operators import chunking as c
+from graphloom.session import shared_dir
 from graphloom.sources import files, store
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -81,6 +84,40 @@ def element_markdown(i):
     )
 
 
+@query("src7_elements_table", with_(rf"""WITH e AS (SELECT doc_id, idx, label, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM fx_elements),
+    f AS (SELECT doc_id, string_agg({FORM_SQL}, concat(chr(10), chr(10)) ORDER BY idx, label, text) AS body FROM e WHERE t <> '' GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(concat(body, chr(10)), '') AS text FROM (SELECT DISTINCT doc_id FROM e) d LEFT JOIN f ON d.doc_id = f.doc_id"""))
+def elements_table(i):
+    return files.elements_documents(i.fx_elements)
+
+
+def _folder(i) -> str:
+    return f"{shared_dir(i.spark)}/files-{uuid.uuid4().hex}"
+
+
+SUPPLIER_TEXT = "concat('supplier ', s_name, chr(10), 'in nation ', s_nationkey)"
+
+
+@query("src1_text_files", f"SELECT concat({SUPPLIER_TEXT}, chr(10)) AS text, 'TXT' AS file_type FROM supplier")
+def text_files(i):
+    """A text file for every supplier, written to the shared folder and read back."""
+    path = _folder(i)
+    i.sql(f"SELECT s_suppkey, {SUPPLIER_TEXT} AS value FROM supplier").write.partitionBy("s_suppkey").text(path)
+    return files.read_documents(i.spark, path).select("text", "file_type")
+
+
+@query("src2_routed_files", f"""SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'TXT' ELSE 'JSON' END AS file_type,
+    CASE WHEN s_nationkey % 2 = 0 THEN concat({SUPPLIER_TEXT}, chr(10)) ELSE concat('{{', chr(10), '  "name": "', s_name, '",', chr(10), '  "nation": ', s_nationkey, chr(10), '}}') END AS text
+    FROM supplier""")
+def routed_files(i):
+    """Suppliers as text or JSON files, side by side: each goes to the parser of its suffix."""
+    path = _folder(i)
+    i.sql(f"SELECT s_suppkey, {SUPPLIER_TEXT} AS value FROM supplier WHERE s_nationkey % 2 = 0").write.partitionBy("s_suppkey").text(path)
+    i.sql("SELECT s_suppkey, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_nationkey % 2 = 1").write.mode("append").partitionBy("s_suppkey").json(path)
+    read = files.read_documents(i.spark, path)
+    return read.select(F.regexp_extract("file_path", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey"), "file_type", "text")
+
+
 @query("src8_metadata", """
     SELECT doc_id, 'title' AS key, CASE WHEN lang = 'en' THEN concat('about ', lang) ELSE source END AS value FROM documents
     UNION ALL SELECT doc_id, 'author', concat(source, ', ', lang) FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents""")

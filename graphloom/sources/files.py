@@ -117,6 +117,12 @@ def elements_text(elements: Column) -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "\n\n"), F.lit("\n"))).otherwise("")
 
 
+def elements_documents(elements: DataFrame) -> DataFrame:
+    """(doc_id, text): Markdown of documents given as a table (doc_id, idx, label, text) of their elements."""
+    listed = F.array_sort(F.collect_list(F.struct("idx", "label", "text")))
+    return elements.groupBy("doc_id").agg(listed.alias("elements")).select("doc_id", elements_text(F.col("elements")).alias("text"))
+
+
 def document_metadata(attributes: Column) -> Column:
     """Known fields by their first non-empty alias, then every other non-empty attribute.
 
