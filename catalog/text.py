@@ -86,7 +86,7 @@ def element_markdown(i):
 
 @query("src7_elements_table", with_(rf"""WITH e AS (SELECT doc_id, idx, label, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM fx_elements),
     f AS (SELECT doc_id, string_agg({FORM_SQL}, concat(chr(10), chr(10)) ORDER BY idx, label, text) AS body FROM e WHERE t <> '' GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(concat(body, chr(10)), '') AS text FROM (SELECT DISTINCT doc_id FROM e) d LEFT JOIN f ON d.doc_id = f.doc_id"""))
+    SELECT d.doc_id, CASE WHEN body IS NULL THEN '' ELSE concat(body, chr(10)) END AS text FROM (SELECT DISTINCT doc_id FROM e) d LEFT JOIN f ON d.doc_id = f.doc_id"""))
 def elements_table(i):
     return files.elements_documents(i.fx_elements)
 

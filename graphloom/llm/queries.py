@@ -58,7 +58,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "tokens")
     manifest = tokenfiles.write_parquet(read_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
-    return tokenfiles.digests(tokenfiles.read_parquet(manifest, path))
+    return tokenfiles.read_digests(manifest, path)
 
 
 @_query("op5_imatch")

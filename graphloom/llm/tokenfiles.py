@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,11 +134,10 @@ def with_bases(manifest: DataFrame) -> DataFrame:
     return manifest.join(bases, "file")
 
 
-def read_parquet(manifest: DataFrame, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
-    """Documents with an id from ``first_id`` to ``last_id`` (all, if both are None): doc_id, start, n_tokens, ids.
-
-    Only row groups that can hold such ids are opened. start counts the ids of all documents before.
-    """
+def _read(
+    manifest: DataFrame, path: str, first_id: int | None, last_id: int | None, shown: Callable[[pa.Table], pa.Table], ddl: str
+) -> DataFrame:
+    """What ``shown`` makes of the row groups that can hold the wanted ids (doc_id, start, n_tokens, ids)."""
     wanted = with_bases(manifest)
     if first_id is not None:
         wanted = wanted.filter(F.col("last_id") >= first_id)
@@ -147,7 +146,6 @@ def read_parquet(manifest: DataFrame, path: str, first_id: int | None = None, la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
             for file, group, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 with fs.open_input_file(f"{root}/{file}") as f:
@@ -157,31 +155,37 @@ def read_parquet(manifest: DataFrame, path: str, first_id: int | None = None, la
                 if last_id is not None:
                     table = table.filter(pa.compute.field("doc_id") <= last_id)
                 start = pa.compute.add(table["start_in_file"], base)
-                table = pa.table([table["doc_id"], start, table["n_tokens"], table["ids"]], schema=schema)
-                yield from table.to_batches()
+                yield from shown(pa.table({"doc_id": table["doc_id"], "start": start, "n_tokens": table["n_tokens"], "ids": table["ids"]})).to_batches()
 
     total = wanted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     tasks = partitions_for(total, READ_TOKENS, manifest.sparkSession.sparkContext.defaultParallelism)
     dealt = wanted.select("file", "row_group", "base").repartitionByRange(tasks, "file", "row_group")
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return dealt.mapInArrow(run, ddl)
 
 
-def digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of documents with ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+def read_parquet(manifest: DataFrame, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
+    """Documents with an id from ``first_id`` to ``last_id`` (all, if both are None): doc_id, start, n_tokens, ids.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            # n_tokens is what the list has, not what the metadata column says.
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], schema=schema
-            )
+    Only row groups that can hold such ids are opened. start counts the ids of all documents before.
+    """
+    return _read(manifest, path, first_id, last_id, lambda table: table, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
+def read_digests(manifest: DataFrame, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
+    """The same documents by doc_id, start, n_tokens and ids_crc32; the ids stay where they are read.
+
+    n_tokens is the length of the list that was read, not what the column of that name says.
+    """
+
+    def digested(table: pa.Table) -> pa.Table:
+        lists = table["ids"].combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        counted = pa.array(np.diff(offsets).astype(np.int64))
+        return pa.table({"doc_id": table["doc_id"], "start": table["start"], "n_tokens": counted, "ids_crc32": pa.array(crc, pa.int64())})
 
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _read(manifest, path, first_id, last_id, digested, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 # Flat files
