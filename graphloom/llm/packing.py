@@ -20,7 +20,7 @@ from graphloom.llm.common import select, stored
 from graphloom.llm.tokens import Encoder
 
 CAPACITY = 2048
-_CHUNK = 256
+_CHUNK = 1_024
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),

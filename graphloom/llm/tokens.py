@@ -10,17 +10,40 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from unicodedata import is_normalized
 
 from tokenizers import Tokenizer
 
 #: Words kept per generation; at most two generations are held.
-KNOWN_WORDS = 500_000
-_CLOSE_BLANKS = re.compile(r"  |\s \s|^ | $")
-#: A sign at the end of a word is a piece of its own if a letter or number stands before it.
-_SIGNS = frozenset(".,!?;:|)")
+KNOWN_WORDS = 300_000
+_AROUND = re.compile(r"\s \s")
+_OTHER_BLANKS = [chr(n) for n in range(0x3001) if chr(n).isspace() and chr(n) not in " \n"]
+#: A sign between a letter or number and a blank is a piece of its own; so is a line break between other characters.
+_SIGN = re.compile(r"(?<=[A-Za-z0-9])([.,!?;:])(?=[ \n]|$)")
+_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """How byte-level models show bytes: printable Latin-1 characters as they are, the others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+def _blanks_matter(text: str) -> bool:
+    """Whether a blank stands at an end or beside another one (or a zero character is taken)."""
+    if "  " in text or "\0" in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    if " \n" in text or any(c in text for c in _OTHER_BLANKS):
+        return _AROUND.search(text) is not None
+    return False
+
+
+_SHOWN = _byte_characters()
+
+
 class Encoder:
     """``encode`` gives the ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -35,6 +58,7 @@ class Encoder:
             told = json.load(f)
         self.added = [t["content"] for t in told["added_tokens"]]
         self.mode = self._mode(told)
+        self.piece = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -59,54 +83,46 @@ class Encoder:
         return _ENCODERS[key]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
     def _cut(self, text: str) -> list[str] | None:
-        """The words of a text under the keys they are known by; None if it must be encoded whole."""
+        """The words of a text under the keys they are known by; None if it must be encoded whole.
+
+        Signs behind words are words of their own. Where a blank opens a word, a word without one is known with
+        a zero character before it; where blanks are dropped, case is as well, and A-Z become small at once.
+        """
         if any(a in text for a in self.added):
             return None
         if self.mode == "dropped":
-            return text.replace("\n", " ").split(" ")
-        if self.mode == "opens" and not _CLOSE_BLANKS.search(text):
-            words = text.split(" ")
-            words[0] = "\0" + words[0]  # the first word has no blank before it
-            return words
+            small = text.encode().lower().decode()
+            return _SIGN.sub(r" \1", small).replace("\n", " ").split(" ")
+        if self.mode == "opens" and not _blanks_matter(text):
+            return ("\0" + _SIGN.sub(" \0\\1", _BREAK.sub(" \0\n \0", text))).split(" ")
         return None
 
     def _ask(self, words: list[str]) -> list[bytes]:
-        if self.mode == "dropped":
-            return self.whole(words)
-        return self.whole([w[1:] if w[:1] == "\0" else " " + w for w in words])
-
-    def _parts(self, word: str) -> list[str]:
-        """Words whose ids make up those of ``word``: without line breaks, closing signs and capitals, where that is safe."""
-        if self.mode == "opens" and "\n" in word:
-            lines = word.split("\n")
-            if all(lines) and lines[0] != "\0" and not any(x.isspace() for x in word if x != "\n"):
-                first, *rest = (self._parts(x if i == 0 else "\0" + x) for i, x in enumerate(lines))
-                return sum(([*x] for y in rest for x in (["\0\n"], y)), first)
-            return [word]
-        tail = []
-        if word[-1:] in _SIGNS and word[-2:-1].isalnum() and word[-2:-1].lower().isalnum():
-            tail = [word[-1] if self.mode == "dropped" else "\0" + word[-1]]
-            word = word[:-1]
-        if self.mode == "dropped" and word.isascii():
-            word = word.lower()
-        return [word, *tail]
+        """Ids of words; words of letters alone are one piece that the model takes without the steps before it."""
+        opens = self.mode == "opens"
+        out: list[bytes] = [b""] * len(words)
+        odd = []
+        for i, word in enumerate(words):
+            bare, blank = (word[1:], "") if opens and word[:1] == "\0" else (word, " " if opens else "")
+            if bare.isalpha() and (opens or bare.isascii() or (bare == bare.lower() and is_normalized("NFC", bare))):
+                shown = bare if bare.isascii() else bare.encode().decode("latin-1").translate(_SHOWN)
+                out[i] = array("I", [t.id for t in self.piece("Ġ" + shown if blank else shown)]).tobytes()
+            else:
+                odd.append((i, blank + bare))
+        for (i, _), ids in zip(odd, self.whole([text for _, text in odd])):
+            out[i] = ids
+        return out
 
     def _learn(self, words: set[str]) -> None:
         """Add ``words`` to the known ones."""
         known, older = self.words, self.older
         known.update([(w, older[w]) for w in words if w in older])
-        made = {w: self._parts(w) for w in words if w not in older}
-        parts = {x for xs in made.values() for x in xs}.difference(known)
-        known.update([(w, older[w]) for w in parts if w in older])
-        ask = [w for w in parts if w not in older]
+        ask = [w for w in words if w not in older]
         known.update(zip(ask, self._ask(ask)))
-        known.update([(w, b"".join([known[x] for x in xs])) for w, xs in made.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]

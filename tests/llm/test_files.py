@@ -23,7 +23,7 @@ from tests.llm.data import documents, empty, texts
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab'sZ É.,!|1\n\t İ̇Σ²{}"), max_size=40), min_size=1, max_size=4))
 def test_words_encode_like_whole_texts(some):
     for path in (BYTE, WORD):
