@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by likeness, the one with the least doc_id."""
+    """Of each group of documents linked by likeness, the one with the least doc_id (all its rows, if it has several)."""
     groups = stored(partenum.near_duplicates(docs), "groups")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

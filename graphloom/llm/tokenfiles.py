@@ -26,7 +26,7 @@ GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64_000
 READ_TOKENS = 4_000_000
 BLOCK_BYTES = 4_000_000
-_CHUNK = 256
+_CHUNK = 1_024
 
 FILE = pa.schema([
     ("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())),
