@@ -248,8 +248,9 @@ DEGREES = "deg AS (SELECT node_id, count(*) AS degree FROM (SELECT unnest([sourc
 
 
 @query("grf20_search_nodes", with_(f"""WITH {NODES}, {DEGREES}
-    SELECT CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INTEGER) AS place, node_id, type, CAST(CASE WHEN contains(lower(node_id), 'ring') THEN 10 ELSE 0 END + CASE WHEN contains(lower(description), 'ring') THEN 5 ELSE 0 END
-           + CASE WHEN contains(lower(type), 'ring') THEN 3 ELSE 0 END AS INTEGER) AS score, coalesce(degree, 0) AS degree
+    SELECT node_id, type, CAST(CASE WHEN contains(lower(node_id), 'ring') THEN 10 ELSE 0 END + CASE WHEN contains(lower(description), 'ring') THEN 5 ELSE 0 END
+           + CASE WHEN contains(lower(type), 'ring') THEN 3 ELSE 0 END AS INTEGER) AS score, coalesce(degree, 0) AS degree,
+           CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INTEGER) AS place
     FROM nodes LEFT JOIN deg USING (node_id) WHERE score > 0 ORDER BY score DESC, node_id LIMIT 20"""))
 def search_nodes(i):
     return g.search_nodes(g.summarised_nodes(i.fx_entities), g.summarised_edges(i.fx_relationships), "Ring")
