@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, packing, partenum, substrings, toxicity
-from graphloom.llm.common import folder, read_table, stored
+from graphloom.llm.common import folder, placed, read_table, stored
 from graphloom.llm.queries import TARGETS, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by likeness, the one with the least doc_id (all its rows, if it has several)."""
     groups = stored(partenum.near_duplicates(docs), "groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    named, (doc_id,) = placed(docs, "doc_id")
+    return named.join(gone, F.col(doc_id).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,11 @@ class Encoder:
             small = text.encode().lower().decode()
             return _SIGN.sub(r" \1", small).replace("\n", " ").split(" ")
         if self.mode == "opens" and not _blanks_matter(text):
-            return ("\0" + _SIGN.sub(" \0\\1", _BREAK.sub(" \0\n \0", text))).split(" ")
+            if "\n" in text:
+                alone = not ("\n\n" in text or " \n" in text or "\n " in text or text[0] == "\n" or text[-1] == "\n")
+                alone = alone and not any(c in text for c in _OTHER_BLANKS)
+                text = text.replace("\n", " \0\n \0") if alone else _BREAK.sub(" \0\n \0", text)
+            return ("\0" + _SIGN.sub(" \0\\1", text)).split(" ")
         return None
 
     def _ask(self, words: list[str]) -> list[bytes]:
