@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.session import shared_dir
 
 #: Whole documents are put together until a block has this many bytes (a longer document is a block of its own).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Rows of a column that are copied together.
 _SLICE = 1_000
 #: The blank bytes of ``[\x20\x09-\x0D]``; no UTF-8 sequence of a larger character contains them.

@@ -16,7 +16,7 @@ from unicodedata import is_normalized
 from tokenizers import Tokenizer
 
 #: Words kept per generation; at most two generations are held.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 _AROUND = re.compile(r"\s \s")
 _OTHER_BLANKS = [chr(n) for n in range(0x3001) if chr(n).isspace() and chr(n) not in " \n"]
 #: A sign between a letter or number and a blank is a piece of its own; so is a line break between other characters.
