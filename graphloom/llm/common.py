@@ -7,6 +7,7 @@ hashes are found by array operations instead of one Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -122,6 +123,18 @@ def blocks(column: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> It
             part = data[offsets[at] : offsets[to]]
             yield Block(LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at], low + at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers are kept between stages, and executors are small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+#: malloc_trim, where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def windows(hashes: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -162,6 +162,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                         rows.append((doc_id, k, low // 4, n, zlib.crc32(own), part, seen[n]))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+        encoder.forget()
 
     narrow = select(documents, "doc_id", "text")
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"

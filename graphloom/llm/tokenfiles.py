@@ -52,6 +52,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, end: bytes) ->
         for at in range(0, batch.num_rows, _CHUNK):
             texts = [t or "" for t in batch.column(1).slice(at, _CHUNK).to_pylist()]
             yield batch.column(0).slice(at, _CHUNK).to_pylist(), [ids + end for ids in encoder.encode(texts)]
+    encoder.forget()
 
 
 def write_parquet(

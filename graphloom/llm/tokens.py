@@ -15,6 +15,8 @@ from unicodedata import is_normalized
 
 from tokenizers import Tokenizer
 
+from graphloom.llm.common import trim
+
 #: Words kept per generation; at most two generations are held.
 KNOWN_WORDS = 150_000
 _AROUND = re.compile(r"\s \s")
@@ -128,6 +130,11 @@ class Encoder:
         ask = [w for w in words if w not in older]
         known.update(zip(ask, self._ask(ask)))
 
+    def forget(self) -> None:
+        """Drop the known words, at the end of a task: the worker goes on to other work."""
+        self.words, self.older = {}, {}
+        trim()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         out: list[bytes] = [b""] * len(texts)
