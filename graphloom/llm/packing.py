@@ -7,12 +7,12 @@ follows from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ _CHUNK = 1_024
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-    ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64()),
+    ("ids_crc32", pa.int64()), ("part", pa.int64()), ("place", pa.int64()),
 ])
 PACKED = pa.schema(list(PIECES)[:5] + [pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
 
@@ -143,10 +143,14 @@ def _runs(values: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, np.
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every document, with part and place: the rank among pieces of equal length in a part of the table."""
+    """Pieces of every document, with part and place: the rank among pieces of equal length in a part of the table.
+
+    A part is what one call reads, named by a random number: a task that takes several partitions in turn
+    makes a call, and so a part, of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(tokenizer), uuid.uuid4().int >> 65
         end = end_id.to_bytes(4, "little")
         seen = [0] * (capacity + 1)
         for batch in batches:
@@ -165,7 +169,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
         encoder.forget()
 
     narrow = select(documents, "doc_id", "text")
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, place long"
     return narrow.withColumn("doc_id", narrow.doc_id.cast("long")).mapInArrow(run, ddl)
 
 

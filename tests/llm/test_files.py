@@ -126,6 +126,20 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORD).count() == 0
 
 
+def test_packing_of_many_partitions(spark):
+    n = 3 * spark.sparkContext.defaultParallelism
+    docs = spark.range(600, numPartitions=n).selectExpr("id AS doc_id", "repeat('word ', CAST(id % 7 AS INT)) AS text")
+    sequences = defaultdict(list)
+    for r in packing.pack(docs, WORD, capacity=64).collect():
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for items in sequences.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=60), st.integers(30, 45))
 def test_best_two_fit_places_everything(lengths, capacity):
