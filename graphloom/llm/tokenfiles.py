@@ -41,10 +41,14 @@ MANIFEST = pa.schema([
 
 
 def in_order(documents: DataFrame) -> DataFrame:
-    """doc_id and text in ascending order of doc_id over range partitions; equal ids in the order of their texts' hash."""
+    """doc_id and text in ascending order of doc_id over range partitions; equal ids in the order of their texts' hash.
+
+    part is the number of the range, whatever task reads it.
+    """
     narrow = select(documents, "doc_id", "text")
     narrow = narrow.select(narrow.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    return narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    ordered = narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, end: bytes) -> Iterator[tuple[list, list[bytes]]]:
@@ -81,14 +85,21 @@ def write_parquet(
         raise ValueError("encoding is dictionary or delta")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder, part, name = Encoder.of(tokenizer), -1, ""
         fs, root = file_system(path)
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.parquet"
         chosen = {"use_dictionary": ["ids.list.element"]} if encoding == "dictionary" else {
             "use_dictionary": False, "column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED"}}
         writer, rows, pending = None, [], []
         waiting = before = 0
 
+        def numbered() -> Iterator[pa.RecordBatch]:
+            nonlocal part, name
+            for batch in batches:
+                if batch.num_rows and part < 0:  # a call reads one range
+                    part = batch.column(2)[0].as_py()
+                    name = f"part-{part:06d}-{uuid.uuid4().hex}.parquet"
+                yield batch
+
         def flush() -> None:
             nonlocal writer, pending, waiting, before
             if writer is None:
@@ -112,7 +123,7 @@ def write_parquet(
             before += int(lengths.sum())
             pending, waiting = [], 0
 
-        for docs, encoded in _encoded(batches, encoder, end_id.to_bytes(4, "little")):
+        for docs, encoded in _encoded(numbered(), encoder, end_id.to_bytes(4, "little")):
             for pair in zip(docs, encoded):
                 pending.append(pair)
                 waiting += len(pair[1]) // 4

@@ -64,6 +64,30 @@ def test_token_files_round_trip(spark, encoding):
     assert ("DELTA_BINARY_PACKED" in column.encodings) == (encoding == "delta")
 
 
+def test_token_files_of_many_ranges(spark):
+    path, ranges = folder(spark, "tokens"), 6 * spark.sparkContext.defaultParallelism
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, (str(ranges), "false")):
+            spark.conf.set(k, v)
+        rows = spark.range(900).selectExpr(
+            "CASE WHEN id % 30 > 0 THEN id DIV 2 END AS doc_id", "repeat('word ', CAST(id % 7 AS INT)) || id % 90 AS text"
+        )
+        manifest = tokenfiles.write_parquet(rows, path, BYTE)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert manifest.count() > 2 * spark.sparkContext.defaultParallelism
+    got = sorted(tokenfiles.read_digests(manifest, path).collect(), key=lambda r: r.start)
+    assert len(got) == 900
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    known = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert known == sorted(known)
+
+
 def test_token_files_of_nothing(spark):
     path = folder(spark, "tokens")
     manifest = tokenfiles.write_parquet(empty(spark), path, BYTE)
