@@ -26,11 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by likeness, the one with the least doc_id (all its rows, if it has several)."""
-    groups = stored(partenum.near_duplicates(docs), "groups")
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    named, (doc_id,) = placed(docs, "doc_id")
-    return named.join(gone, F.col(doc_id).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    """Of each group of rows linked by likeness one: that of the least doc_id, nulls last, then of the least hash of its text.
+
+    Rows are told apart by a stored number, so rows that share a doc_id, or have none, are as many documents.
+    Rows without words link with nothing and stay.
+    """
+    named, (doc_id, text) = placed(docs, "doc_id", "text")
+    rows = stored(named.withColumns({"row": F.monotonically_increasing_id(), "tie": F.xxhash64(text)}), "rows")
+    groups = stored(partenum.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))), "groups")
+    keys = rows.select("row", F.col(doc_id).cast("long").alias("id"), "tie")
+    member = groups.select(F.col("doc_id").alias("row"), "component_id").join(keys, "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie", "row"))
+    kept = member.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*named.columns).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

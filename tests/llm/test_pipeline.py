@@ -54,3 +54,19 @@ def test_awkward_rows_pass_every_stage(spark):
     for docs in (documents(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).count()
+
+
+def test_one_row_of_each_group_passes_the_cut(spark):
+    """Repeated rows, copies without an id, copies of a text that has one, and other texts under the same ids."""
+    from tests.llm.data import words
+
+    text = [" ".join(words(60, 100 + k, 5_000)) for k in range(6)]
+    rows = [(1, text[0]), (1, text[0]), (None, text[1]), (None, text[1]), (2, text[2]), (None, text[2]), (3, text[3]), (3, text[4]), (4, text[3])]
+    rows += [(None, text[5]), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    want = {(1, text[0]), (None, text[1]), (2, text[2]), (3, text[3]), (3, text[4]), (None, text[5])}
+    for got in (kept.collect(), substrings.without_repeats(kept).collect()):
+        named = [(r.doc_id, r.text) for r in got if r.text]
+        assert len(named) == len(want) and set(named) == want
+        assert sum(not r.text for r in got) == 2
