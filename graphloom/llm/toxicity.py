@@ -107,18 +107,20 @@ def _spelled(data, tokens, doc, sentence, parts, hashes):
     """Add the words that runs of very short tokens spell, written behind the block's bytes."""
     start, end = tokens
     tiny = (end - start <= 2) & (end > start)
-    edge = np.diff(np.concatenate(([0], tiny.astype(np.int8), [0])))
-    opens, shuts = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # A run ends with its document.
+    border = np.concatenate(([True], doc[1:] != doc[:-1], [True]))
+    solid = np.concatenate(([False], tiny, [False]))
+    opens = np.flatnonzero(tiny & (border[:-1] | ~solid[:-2]))
+    shuts = np.flatnonzero(tiny & (border[1:] | ~solid[2:])) + 1
     long = np.flatnonzero(shuts - opens >= SPELLED)
     words, of, at = [], [], []
     for i in long.tolist():
         run = range(opens[i], shuts[i])
         for a in range(run.start, run.stop, SPELLED * 2):  # pieces of a long run overlap by half
             b = min(a + SPELLED * 4, run.stop)
-            if doc[a] == doc[b - 1]:
-                words.append(b"".join(data[start[k] : end[k]].tobytes() for k in range(a, b)))
-                of.append(doc[a])
-                at.append(sentence[a])
+            words.append(b"".join(data[start[k] : end[k]].tobytes() for k in range(a, b)))
+            of.append(doc[a])
+            at.append(sentence[a])
     if not words:
         return data, parts, hashes
     size = np.array([len(w) for w in words])

@@ -126,6 +126,22 @@ def test_toxicity_edges(spark, machine):
     assert {round(r.score, 3) for r in toxicity.score(documents(spark), nothing).collect()} == {0.5}
 
 
+def test_spelled_words_end_with_their_document():
+    """A text has the same spans alone and between texts that end and start with short tokens."""
+    text = "they said you are a t o t a l f o o l"
+    some = ["so it is I", text, "I am he", text, "It is so", "a b", "c d e f g h"]
+
+    def found(column: list[str]) -> list[list[bytes]]:
+        out = [[] for _ in column]
+        for first, _, s in toxicity.spans(pa.array(column)):
+            for a, b, d in zip(s.start, s.end, s.doc):
+                out[first + d].append(s.data[a:b].tobytes())
+        return [sorted(x) for x in out]
+
+    assert found(some) == [found([t])[0] for t in some]
+    assert any(b"fool" in w for w in found([text])[0])
+
+
 def test_mixing_reaches_targets(spark):
     rows = [(i, " ".join(f"{'abc'[i % 10 // 4]}{k}" for k in words(50, i, 50)), "abc"[i % 10 // 4]) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, domain string")
