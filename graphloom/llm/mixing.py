@@ -3,12 +3,14 @@
 A softmax classifier of hashed words, trained on a labelled table, gives every document posteriors over
 domains. Document rates (how often a document is to be seen) are then fitted by projected-gradient least
 squares: the expected tokens of each domain, rates times tokens times posteriors summed over all
-documents, are brought to the target weights. Each step is one pass over the table that returns one
-number per domain; a rate is a function of the document and of those numbers, so no rate is stored.
+documents, are brought to the target weights. At the optimum all rates follow from the gradient of the
+domains' sums, one number per domain, by one projected step from 1; Newton steps look for that gradient,
+each by a pass over the table that returns sums per domain and per two domains. No rate is stored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -137,7 +139,7 @@ def memberships(documents: DataFrame, classifier: Classifier) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fit:
-    """What turns a document's posteriors into its rate: the gradients of all steps so far."""
+    """What turns a document's posteriors into its rate: projected steps with these gradients, starting from 1."""
 
     gradients: np.ndarray
     step: float
@@ -163,10 +165,17 @@ def fit_rates(
     """Least squares for rates between ``lower`` and ``upper``, none negative.
 
     Minimises the squared distance of the domains' expected tokens (as shares of all tokens) from
-    ``total`` times the target weights, plus ``ridge`` times the token-weighted squared distance of rates
-    from 1. A ``total`` of None is the least, up to ``upper``, at which no domain has to lose tokens. Each
-    of at most ``steps`` passes sums one number per domain on the executors.
+    ``total`` times the target weights, plus ``ridge`` (above 0) times the token-weighted squared distance
+    of rates from 1. A ``total`` of None is the least, up to ``upper``, at which no domain has to lose tokens.
+
+    A gradient fits if it is that of the rates it gives. Newton steps, shortened where they go too far, bring
+    it there: they scale with the mass of each domain, so rare ones arrive with the others. They stop when the
+    projected gradient of no rate is off by more than ``tolerance`` times ``ridge``, which bounds the token-weighted
+    distance of all rates from their optimum by ``tolerance``. Each pass sums k * k + k + 1 numbers on the
+    executors; should ``steps`` passes not do, there is a warning.
     """
+    if ridge <= 0:
+        raise ValueError("ridge is above 0")
     k = len(domains)
     tokens, *mass = laid.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col("posteriors")[j]) for j in range(k)]).first()
     tokens = float(tokens or 0) or 1.0
@@ -176,25 +185,53 @@ def fit_rates(
         need = [(m or 0.0) / tokens / w for m, w in zip(mass, wanted) if w]
         total = min(upper, max([1.0, *need]))
     wanted *= total
-    # Posteriors add up to 1, so the curvature is at most 1 + ridge.
-    fit = Fit(np.zeros((0, k)), 1 / (1 + ridge), ridge, lower, upper)
     narrow = laid.select("n_tokens", "posteriors")
-    for _ in range(steps):
 
-        def sums(batches: Iterator[pa.RecordBatch], fit: Fit = fit) -> Iterator[pa.RecordBatch]:
-            got = np.zeros(k)
+    def fitted(gradient: np.ndarray) -> Fit:
+        # A step of 1 / ridge leads to clip(1 - posteriors @ gradient / ridge) from anywhere.
+        return Fit(gradient[None, :], 1 / ridge, ridge, lower, upper)
+
+    def tried(gradient: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, slope and curvature of the dual, which is least at the gradient that fits."""
+        fit = fitted(gradient)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros(k + k * k + 1)
             for batch in batches:
-                p = _posteriors(batch, 1, k)
-                got += (batch.column(0).to_numpy() * fit.rates(p)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], names=["sums"])
-
-        parts = narrow.mapInArrow(sums, "sums array<double>").select(*[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(k)])
-        now = np.array([x or 0.0 for x in parts.first()]) / tokens
-        gradient = now - wanted
-        if np.abs(gradient).max() < tolerance or (len(fit.gradients) and np.abs(gradient - fit.gradients[-1]).max() < tolerance / 20):
+                n, p = batch.column(0).to_numpy(), _posteriors(batch, 1, k)
+                r = fit.rates(p)
+                free = (r > lower) & (r < upper)
+                got[:k] += (n * r) @ p
+                got[k:-1] += ((n[free, None] * p[free]).T @ p[free]).ravel() / ridge
+                got[-1] += n @ (r * (p @ gradient) + ridge / 2 * (r - 1) ** 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got))), pa.array(got)], names=["place", "part"])
+
+        parts = narrow.mapInArrow(sums, "place long, part double").groupBy("place").agg(F.sum("part").alias("part")).collect()
+        now = np.zeros(k + k * k + 1)
+        for row in parts:
+            now[row["place"]] = row["part"] / tokens
+        value = gradient @ gradient / 2 + wanted @ gradient - now[-1]
+        return float(value), gradient + wanted - now[:k], np.eye(k) + now[k:-1].reshape(k, k)
+
+    at = np.zeros(k)
+    value, slope, curve = tried(at)
+    way, length = -np.linalg.solve(curve, slope), 1.0
+    for _ in range(steps):
+        if np.abs(slope).max() <= tolerance * ridge:
             break
-        fit = Fit(np.vstack((fit.gradients, gradient)), fit.step, ridge, lower, upper)
-    return fit
+        ahead = at + length * way
+        there, rise, bend = tried(ahead)
+        down, after = float(way @ slope), float(way @ rise)
+        # Where values differ by rounding alone, the slope tells.
+        level = abs(after) <= abs(down) / 2 and there <= value + 1e-12 * (1 + abs(value))
+        if there <= value + 1e-4 * length * down or level:
+            at, value, slope, curve = ahead, there, rise, bend
+            way, length = -np.linalg.solve(curve, slope), 1.0
+        else:
+            length *= min(0.5, max(0.1, down / (down - after)))
+    if (off := float(np.abs(slope).max())) > tolerance * ridge:
+        warnings.warn(f"rates are not at their optimum after {steps} passes: a gradient is off by {off:.2g}", stacklevel=2)
+    return fitted(at)
 
 
 def _copies(rate, *seed) -> F.Column:

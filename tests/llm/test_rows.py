@@ -157,6 +157,27 @@ def test_mixing_reaches_targets(spark):
     assert set(counts) == set(range(400)) and max(counts.values()) > 1
 
 
+def test_mixing_of_rare_domains(spark):
+    """Rates are at their optimum for domains of any share: 0.2 % and 1 % of the tokens, posteriors hard or soft."""
+    wanted, ridge = np.array([0.9, 0.08, 0.02]), 1e-3
+    names, targets = ["good", "low_quality", "toxic"], dict(zip(["good", "low_quality", "toxic"], [0.9, 0.08, 0.02]))
+    for rare, mixed, total in ((2, False, 1.0), (10, False, 1.0), (2, True, 1.0), (2, True, None), (2, False, None)):
+        own = np.repeat([0, 1, 2], [1000 - 50 - rare, 50, rare])
+        p = np.eye(3)[own]
+        if mixed:
+            p = 0.8 * p + 0.2 * np.random.default_rng(1).dirichlet(np.ones(3) / 2, 1000)
+        n = np.full(1000, 50) + (np.arange(1000) % 3 if mixed else 0)
+        laid = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posteriors array<double>")
+        low = 0.0 if total else 1.0
+        fit = mixing.fit_rates(laid, names, targets, low, 4.0, total)
+        rates, mass = fit.rates(p), n @ p / n.sum()
+        goal = wanted * (total or min(4.0, max(1.0, *(mass / wanted))))
+        gradient = (n * rates) @ p / n.sum() - goal
+        assert np.allclose(rates, np.clip(1 - p @ gradient / ridge, low, 4.0), atol=1e-3)
+        if not mixed:
+            assert np.allclose(rates, np.clip((ridge + goal) / (ridge + mass), low, 4.0)[own], atol=1e-3)
+
+
 def test_mixing_rates_equal_plain_projection():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(3), 50)
