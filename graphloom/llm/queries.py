@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import fingerprints, mixing, packing, partenum, quality, substrings, tokenfiles, toxicity, warc
+from graphloom.llm import fingerprints, mixing, packing, pagetext, partenum, quality, substrings, tokenfiles, toxicity, turns, variants, warc
 from graphloom.llm.common import folder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(read_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op11_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.damaged_words(read_table(spark, sf_dir, "documents")))
+
+
+@_query("op12_page_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(read_table(spark, sf_dir, "pages"))
+
+
+@_query("op13_turn_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(read_table(spark, sf_dir, "conversations"))
