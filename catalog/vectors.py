@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from catalog.base import query
 from catalog.inputs import DERIVED, with_
 from graphloom.functions.encoders import HashingEncoder
+from graphloom.operators import proximity as p
 from graphloom.operators import vectors as v
 from graphloom.operators.inference import encode
+from graphloom.session import cut
 
 # Asked vectors: the mean vector of each label over the whole table.
 CENTRES = """
@@ -31,6 +33,11 @@ def knn_sql(where: str = "true", k: int = 5) -> str:
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, idx) AS INTEGER) AS place FROM d QUALIFY place <= {k})"""
 
 
+def reversed_(i):
+    """Questions that are no vectors of the store: every 20th vector, its numbers in reverse order."""
+    return i.fx_vectors.where("idx % 20 = 0").select(F.col("idx").alias("qid"), F.reverse("embedding").alias("embedding"))
+
+
 SHOW = "SELECT qid, idx, round(distance, 6) AS distance, place, round(1 / (1 + distance), 6) AS similarity FROM r"
 
 
@@ -81,6 +88,31 @@ def nearest(i):
     return shown(v.nearest(i.fx_vectors, centres(i), 5))
 
 
+@query("vec5_pruned", with_(f"WITH {knn_sql()} {SHOW}"))
+def pruned(i):
+    """The same from blocks of an index, visited only where a neighbour can be."""
+    return shown(p.nearest_in_blocks(p.index_blocks(i.fx_vectors, 8, block_rows=32), centres(i), 5)[0])
+
+
+@query("vec5_visited", "SELECT count(*) AS questions, true AS some_left_alone FROM documents WHERE doc_id % 20 = 0")
+def visited(i):
+    """Whether exact search for every 20th encoded document leaves pairs of questions and blocks alone."""
+    encoded = cut(encode(i.dealt("documents").select("doc_id", "text"), HashingEncoder(64)).select(F.col("doc_id").alias("idx"), "embedding"))
+    asked = encoded.where("idx % 20 = 0").select(F.col("idx").alias("qid"), "embedding")
+    report = p.nearest_in_blocks(p.index_blocks(encoded, 16, block_rows=32), asked, 3)[1]
+    return report.select("questions", (F.col("visited") < F.col("pairs")).alias("some_left_alone"))
+
+
+FILTERED = "NOT deleted AND doc_id IN ('doc1', 'doc2', 'doc5') AND entity_type IN ('CHUNK', 'ENTITY')"
+
+
+@query("vec6_rings", with_(f"WITH {knn_sql(FILTERED, 4)} {SHOW}"))
+def rings(i):
+    """Filtered search: blocks are visited until no unvisited one can hold a nearer row that passes the filter."""
+    index = p.index_blocks(i.fx_vectors, 8, block_rows=32).where(F.expr(FILTERED))
+    return shown(p.nearest_in_blocks(index, centres(i), 4)[0])
+
+
 @query("vec6_filtered", with_(f"""WITH {knn_sql("NOT deleted AND doc_id IN ('doc1', 'doc2', 'doc5') AND entity_type IN ('CHUNK', 'ENTITY')", 4)} {SHOW} WHERE similarity >= 0.45"""))
 def filtered(i):
     return shown(v.search(i.fx_vectors, centres(i), 4, ["doc1", "doc2", "doc5"], ["CHUNK", "ENTITY"], 0.45)).where("similarity >= 0.45")
@@ -101,13 +133,24 @@ def cells(i):
     return shown(v.nearest_in_cells(store, mid, centres(i), 5, probes=4))
 
 
-@query("vec7_recall")
+@query("vec7_graph")
+def graph(i):
+    """Approximate neighbours of every 20th vector, its own reversed, from the graph of neighbours."""
+    found, _ = p.search_links(i.fx_vectors, p.build_links(i.fx_vectors), reversed_(i), 5)
+    return shown(found)
+
+
+@query("vec7_recall", with_("""SELECT 5 * count(*) AS wanted, true AS nine_of_ten, true AS fewer_distances FROM fx_vectors WHERE idx % 20 = 0"""))
 def recall(i):
-    """How many of the exact neighbours the approximate search finds."""
-    store, mid = v.build_cells(i.fx_vectors, 16)
-    exact = v.nearest(i.fx_vectors, centres(i), 5).select("qid", "idx")
-    found = v.nearest_in_cells(store, mid, centres(i), 5, probes=4).select("qid", "idx", F.lit(1).alias("hit"))
-    return exact.join(found, ["qid", "idx"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+    """Whether the graph finds nine of ten exact neighbours, and takes fewer distances than the exact search."""
+    found, report = p.search_links(i.fx_vectors, p.build_links(i.fx_vectors), reversed_(i), 5)
+    exact = v.nearest(i.fx_vectors, reversed_(i), 5).select("qid", "idx")
+    hits = exact.join(found.select("qid", "idx", F.lit(1).alias("hit")), ["qid", "idx"], "left")
+    counted = hits.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+    return counted.crossJoin(F.broadcast(report)).select(
+        "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("nine_of_ten"),
+        (F.col("distances") < F.col("questions") * F.col("vectors")).alias("fewer_distances"),
+    )
 
 
 @query("vec7_all_cells", with_(f"WITH {knn_sql()} {SHOW}"))

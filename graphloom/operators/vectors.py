@@ -17,6 +17,8 @@ from graphloom.session import cut
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 8192
+#: Packed questions of this size are sent to all executors.
+SENT_BYTES = 16_000_000
 #: Questions whose candidates a task holds before it hands them on.
 HELD_QUESTIONS = 50_000
 #: Parts of a question's candidates that are ranked by themselves first.
@@ -142,7 +144,7 @@ def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Vectors put together, up to ``size`` of one partition in a row: ``cell`` (if there is one), ``keys`` and ``matrix``."""
     by_cell = "cell" in rows.columns
     fields = [T.StructField("keys", T.ArrayType(rows.schema[key].dataType)), T.StructField("matrix", T.BinaryType())]
-    schema = T.StructType(([T.StructField("cell", T.IntegerType())] if by_cell else []) + fields)
+    schema = T.StructType(([T.StructField("cell", T.LongType())] if by_cell else []) + fields)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -208,11 +210,21 @@ def _asked(queries: DataFrame, block: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact k nearest vectors per query by squared distance: (qid, idx, distance, place, similarity).
 
-    Queries (qid, embedding) and vectors are packed into blocks where they are, and every block of queries
-    meets every block of vectors; nothing of either goes through the driver. A task keeps k candidates per
-    query, and these are ranked in two levels.
+    Queries (qid, embedding) and vectors are packed into blocks where they are, and every block of queries meets
+    every block of vectors: a stated set of questions against all rows, with nothing of either on the driver. Queries
+    of ``SENT_BYTES`` at most are sent to all vectors; more are joined by the numbers of their blocks to the vectors,
+    which are packed and written once. A task keeps k candidates per query, and these are ranked in two levels.
+    ``proximity.nearest_in_blocks`` gives the same from an index without a meeting of all blocks.
     """
-    pairs = _packed(vectors.select("idx", "embedding"), "idx", VECTOR_BLOCK).crossJoin(_asked(queries.select("qid", "embedding"), block))
+    asked = _asked(queries.select("qid", "embedding"), block)
+    held = _packed(vectors.select("idx", "embedding"), "idx", VECTOR_BLOCK)
+    size = asked.agg(F.sum(F.length("asked"))).first()[0] or 0
+    if size <= SENT_BYTES:
+        pairs = held.join(F.broadcast(asked))
+    else:
+        numbered = cut(asked.withColumn("__n", F.monotonically_increasing_id()))
+        numbers = [r[0] for r in numbered.select("__n").collect()]  # one for each block of queries
+        pairs = cut(held).withColumn("__n", F.explode(F.lit(numbers))).join(numbered, "__n")
     return _ranked(_met(pairs, k, queries.schema["qid"].dataType), k)
 
 
@@ -283,7 +295,7 @@ def nearest_in_cells(
     Queries find their cells on the executors and meet the vectors by an equal join on the cell, which
     adaptive execution splits where a cell is large.
     """
-    schema = T.StructType([*queries.select("qid", "embedding").schema, T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([*queries.select("qid", "embedding").schema, T.StructField("cell", T.LongType())])
     shared = queries.sparkSession.sparkContext.broadcast(centres)
 
     def probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,8 +307,8 @@ def nearest_in_cells(
                 if len(part):
                     q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
                     near = np.argsort(size - 2.0 * (q @ mid.T), axis=1, kind="stable")[:, :probes]
-                    yield part.loc[part.index.repeat(near.shape[1])].assign(cell=near.ravel().astype(np.int32))
+                    yield part.loc[part.index.repeat(near.shape[1])].assign(cell=near.ravel().astype(np.int64))
 
     asked = _asked(queries.select("qid", "embedding").mapInPandas(probed, schema), block)
-    held = _packed(vectors.select("idx", "embedding", F.col("cell").cast("int").alias("cell")), "idx", VECTOR_BLOCK)
+    held = _packed(vectors.select("idx", "embedding", F.col("cell").cast("long").alias("cell")), "idx", VECTOR_BLOCK)
     return _ranked(_met(held.join(asked, "cell"), k, queries.schema["qid"].dataType), k)
