@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import query
 from catalog.inputs import with_
 from graphloom.operators import graph as g
+from graphloom.operators import revision
 from graphloom.session import cut
 
 NODES = """
@@ -210,6 +211,49 @@ def delete_nodes_left(i):
     return out["nodes"].join(left, "node_id")
 
 
+@query("grf7_delete_edges_left", with_(f"""WITH {GONE}
+    SELECT source_id AS source, target_id AS target, had - lost AS n_docs FROM ef WHERE lost < had"""))
+def delete_edges_left(i):
+    out = g.delete_documents(_tables(i), _gone(i))
+    left = out["edge_docs"].groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_docs"))
+    return out["edges"].join(left, ["source", "target"])
+
+
+STAYS = "WHERE doc_id NOT IN (SELECT concat('d', s_suppkey % 50) FROM supplier WHERE s_nationkey = 3)"
+
+
+@query("grf7_recomputed_nodes", with_(f"""WITH {DOC_NODES}
+    SELECT node_id, arg_max(type, doc_id) AS type, arg_max(description, doc_id) AS description,
+           arg_max(n_sources, doc_id) AS n_sources, count(*) AS n_docs FROM dnodes {STAYS} GROUP BY node_id"""))
+def recomputed_nodes(i):
+    """Shared nodes fall back to the last document left: the same as a rebuild."""
+    state = revision.start(g.sync_nodes(i.fx_entities), ["node_id"])
+    return g.delete_documents(_tables(i), _gone(i), {"nodes": state})["nodes"]
+
+
+@query("grf7_recomputed_edges", with_(f"""WITH {edge_sql('fx_relationships', DOC_PAIR, 'avg')}
+    SELECT source_id AS source, target_id AS target, arg_max(description, doc_id) AS description,
+           round(arg_max(strength, doc_id), 6) AS strength, arg_max(n_keywords, doc_id) AS n_keywords,
+           arg_max(n_chunks, doc_id) AS n_chunks, count(*) AS n_docs FROM edges {STAYS} GROUP BY source_id, target_id"""))
+def recomputed_edges(i):
+    state = revision.start(g.sync_edges(i.fx_relationships), ["source", "target"])
+    out = g.delete_documents(_tables(i), _gone(i), {"edges": state})["edges"]
+    return out.withColumn("strength", F.round("strength", 6))
+
+
+@query("grf5_replaced_nodes", with_(f"""WITH {DOC_NODES},
+    now AS (FROM dnodes {STAYS} UNION ALL SELECT doc_id, node_id, type, concat('again ', description), n_sources FROM dnodes WHERE doc_id = 'd7' AND n_sources = 1)
+    SELECT node_id, arg_max(type, doc_id) AS type, arg_max(description, doc_id) AS description,
+           arg_max(n_sources, doc_id) AS n_sources, count(*) AS n_docs
+    FROM now WHERE doc_id <> 'd7' OR description LIKE 'again %' GROUP BY node_id"""))
+def replaced_nodes(i):
+    """Two changes of a kept state: documents go, then one document comes again with other rows."""
+    rows = g.sync_nodes(i.fx_entities)
+    state, _ = revision.revise(revision.start(rows, ["node_id"]), _gone(i))
+    again = rows.where("doc_id = 'd7' AND n_sources = 1").withColumn("description", F.concat(F.lit("again "), "description"))
+    return revision.merged(revision.revise(state, new=again)[0])
+
+
 @query("grf8_delete_tenant", with_("""
     SELECT 'feedbacks' AS item, count(*) AS n FROM fx_feedback WHERE user_id = 7
     UNION ALL SELECT 'login_logs', count(*) FROM fx_login_logs WHERE user_id = 7

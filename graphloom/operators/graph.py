@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import joined_text, keyword_list
+from graphloom.operators import revision
 from graphloom.operators.spread import join_lookup
 from graphloom.session import cut
 
@@ -219,12 +220,15 @@ def shrink_links(links: DataFrame, keys: Sequence[str], documents: DataFrame) ->
     return marked.where(F.col("__gone").isNull()).drop("__gone"), fate
 
 
-def delete_documents(tables: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
+def delete_documents(
+    tables: dict[str, DataFrame], documents: DataFrame, recompute: dict[str, revision.Revisions] | None = None
+) -> dict[str, DataFrame]:
     """Cascade delete of a set of documents.
 
     ``tables`` has documents, chunks, entities, relationships (each with doc_id),
     nodes, edges, node_docs and edge_docs. The result has the same tables without
-    the documents, and ``report`` (item, n).
+    the documents, and ``report`` (item, n). Attributes of shared nodes and edges stay as they are, unless
+    ``recompute`` has their states (``nodes``, ``edges``): then they are those of the last document left.
     """
     gone = documents.select("doc_id").distinct()
     out: dict[str, DataFrame] = {}
@@ -244,6 +248,8 @@ def delete_documents(tables: dict[str, DataFrame], documents: DataFrame) -> dict
                 .agg(F.count(F.lit(1)).alias("n"))
                 .select(F.lit(f"{name}_{action}").alias("item"), "n")
             )
+    for name, state in (recompute or {}).items():
+        out[name] = revision.merged(revision.revise(state, gone)[0])
     report = counts[0]
     for part in counts[1:]:
         report = report.unionByName(part)
