@@ -64,7 +64,15 @@ def echo(prompts: list[str]) -> list[str]:
     return ['"' + [line for line in p.split("\n") if line.strip()][-2] + '"' for p in prompts]
 
 
-@query("cnv5_rewritten")
+# The stand-in model answers with the last line that holds text before the prompt's own last line.
+BARE = """regexp_replace(regexp_replace({line}, '^\\s+|\\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g')"""
+LAST_LINE = "list_last(list_filter(string_split({text}, chr(10)), lambda l: regexp_matches(l, '\\S')))"
+
+
+@query("cnv5_rewritten", with_(rf"""WITH h AS (SELECT *, count(*) OVER (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS n FROM fx_messages),
+    q AS (SELECT conversation_id, turn, content, n > 0 AND len(regexp_extract_all(content, '\S+')) <= 10 AS needed,
+                 {BARE.format(line=LAST_LINE.format(text="concat('Question: ', content)"))} AS bare FROM h WHERE role = 'user')
+    SELECT conversation_id, turn, CASE WHEN needed AND bare <> '' THEN bare ELSE content END AS question FROM q"""))
 def rewritten(i):
     return d.rewrite_questions(i.fx_messages, echo).select("conversation_id", "turn", "question")
 
@@ -82,7 +90,10 @@ def title_contexts(i):
     return d.title_contexts(i.fx_messages)
 
 
-@query("cnv7_titles")
+@query("cnv7_titles", with_(rf"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS p FROM fx_messages QUALIFY p <= 4),
+    c AS (SELECT conversation_id, string_agg(concat(upper(left(role, 1)), substr(role, 2), ': ', left(content, 100)), chr(10) ORDER BY p) AS context FROM f GROUP BY conversation_id),
+    b AS (SELECT conversation_id, {BARE.format(line=BARE.format(line=LAST_LINE.format(text="context")))} AS bare FROM c)
+    SELECT conversation_id, CASE WHEN bare <> '' AND length(bare) <= 100 THEN bare END AS title FROM b"""))
 def titles(i):
     return d.titles(i.fx_messages, echo)
 

@@ -145,3 +145,15 @@ def with_(body: str) -> str:
     if body.upper().startswith("WITH"):
         return f"WITH {ctes}, {body[4:]}"
     return f"WITH {ctes} {body}"
+
+
+#: WITH entry ``crc``: the 256 steps of crc32 as one list, for SQL engines without it.
+CRC_STEPS = """crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB expression for the crc32 of a string's UTF-8; needs ``crc`` in the FROM clause."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::BIGINT"
+    listed = f"list_transform(range(0, strlen({text})), lambda j: {byte})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {listed}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -175,7 +175,10 @@ def existing(i):
     return r.existing_names(asked, i.fx_entities)
 
 
-@query("ext16_spotted")
+@query("ext16_spotted", r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '[À-ɏ]', '_', 'g') AS plain FROM documents),
+    e AS (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(plain, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), regexp_extract_all(text, 'GPT|API|LLM|RAG|AI|ML|DL'))) AS entity FROM t),
+    p AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY -length(entity), entity) - 1 AS INTEGER) AS place, entity FROM e)
+    SELECT * FROM p WHERE place < 5""")
 def spotted(i):
     """Entity mentions spotted in whole documents."""
     found = i.documents.select("doc_id", F.posexplode(r.spot_entities(F.col("text"))).alias("place", "entity"))

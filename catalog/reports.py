@@ -91,7 +91,26 @@ def grade(prompts: list[str]) -> list[str]:
     return [forms[len(p) % 4].format(s=len(p) % 7) for p in prompts]
 
 
-@query("evl6_prompts")
+JUDGED = """
+    a AS (SELECT conversation_id, turn, role, content AS answer,
+        last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question
+        FROM fx_messages),
+    asked AS (SELECT conversation_id, turn, question, answer, concat(answer, chr(10), question) AS context FROM a WHERE role = 'assistant' AND question IS NOT NULL),
+    form AS (SELECT concat(chr(10), chr(10), 'Reply with JSON only: {"score": <1-5>, "reason": "<one sentence>"}') AS form),
+    prompts AS (SELECT conversation_id, turn, answer,
+        concat('Grade from 1 (off topic) to 5 (direct, complete and correct) how well the answer fits the question.', chr(10), chr(10), 'Question: ', question,
+               chr(10), chr(10), 'Answer: ', answer, form) AS relevancy_prompt,
+        concat('Grade from 1 (contradicts the sources) to 5 (everything is in the sources) how faithful the answer is.', chr(10), chr(10), 'Sources:', chr(10),
+               CASE WHEN length(context) > 2000 THEN concat(left(context, 2000), '...') ELSE context END, chr(10), chr(10), 'Answer:', chr(10), answer, form) AS faithfulness_prompt
+        FROM asked, form)"""
+
+
+def graded(prompt: str) -> str:
+    """Score that ``parse_judgement`` takes from the stand-in judge's reply to a prompt."""
+    return f"CAST(CASE WHEN length({prompt}) % 4 < 2 AND length({prompt}) % 7 BETWEEN 1 AND 5 THEN length({prompt}) % 7 ELSE 3 END AS INTEGER)"
+
+
+@query("evl6_prompts", with_(f"WITH {JUDGED} SELECT conversation_id, turn, relevancy_prompt, faithfulness_prompt FROM prompts"))
 def judge_prompts(i):
     return f.judge_prompts(_answers(i)).select("conversation_id", "turn", "relevancy_prompt", "faithfulness_prompt")
 
@@ -113,7 +132,8 @@ def parsed(i):
     return i.fx_replies.select("id", score.alias("score"), reason.alias("reason"))
 
 
-@query("evl8_evaluated")
+@query("evl8_evaluated", with_(f"""WITH {JUDGED} SELECT conversation_id, turn, {graded('relevancy_prompt')} AS relevancy_score,
+    {graded('faithfulness_prompt')} AS faithfulness_score, round(length(answer) / 7.0::DOUBLE, 2) AS response_time_ms, true AS auto_evaluated FROM prompts"""))
 def evaluated(i):
     return f.evaluate(_answers(i), grade).select("conversation_id", "turn", "relevancy_score", "faithfulness_score", "response_time_ms", "auto_evaluated")
 

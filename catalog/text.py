@@ -12,6 +12,7 @@ from graphloom.functions import fixed, markup
 from graphloom.functions.pieces import ChunkSettings
 from graphloom.functions.text import token_count
 from graphloom.operators import chunking as c
+from graphloom.operators import tables
 from graphloom.session import shared_dir
 from graphloom.sources import files, store
 
@@ -232,12 +233,58 @@ def table_span(i):
     return i.sql(TABLE_TEXT).select("doc_id", c.table_span(F.col("text")).alias("t")).where("t IS NOT NULL").select("doc_id", "t.first", "t.after")
 
 
-@query("chk7_packed_rows")
+def blocks_sql(rows: str, room: str) -> str:
+    """WITH entries up to ``blocks`` (doc_id, n, row, blk) for ``lines`` (doc_id, n, row, c words): a row starts a block where it no longer fits."""
+    return f"""lines AS ({rows}),
+    filled(doc_id, n, used, blk) AS (SELECT doc_id, n, c, 0 FROM lines WHERE n = 1
+        UNION ALL SELECT l.doc_id, l.n, CASE WHEN f.used + l.c > {room} THEN l.c ELSE f.used + l.c END, CASE WHEN f.used + l.c > {room} THEN f.blk + 1 ELSE f.blk END
+        FROM filled f JOIN lines l ON l.doc_id = f.doc_id AND l.n = f.n + 1),
+    blocks AS (SELECT doc_id, blk, n, row FROM filled JOIN lines USING (doc_id, n))"""
+
+
+# Blocks of more than 60 words are cut into windows of 60 that overlap by 6.
+CHK7 = r"""WITH RECURSIVE """ + blocks_sql(
+    r"""SELECT doc_id, n, row, len(regexp_extract_all(row, '\S+')) AS c, 57 - len(regexp_extract_all(source, '\S+')) AS room FROM
+        (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""",
+    "l.room",
+) + r""",
+    t AS (SELECT doc_id, blk, regexp_replace(concat(any_value(source), chr(10), chr(10), 'a | b', chr(10), string_agg(row, chr(10) ORDER BY n)), '\s+$', '') AS body
+          FROM blocks JOIN documents USING (doc_id) GROUP BY ALL),
+    w AS (SELECT doc_id, blk, body, regexp_extract_all(body, '\S+\s*') AS toks FROM t),
+    p AS (SELECT doc_id, blk, body, toks, unnest(range(0, CASE WHEN len(toks) <= 60 THEN 1 ELSE CAST(1 + ceil((len(toks) - 60) / 54.0) AS BIGINT) END)) AS piece FROM w)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY blk, piece) - 1 AS INTEGER) AS part,
+           CASE WHEN len(toks) <= 60 THEN body ELSE regexp_replace(array_to_string(list_slice(toks, piece * 54 + 1, piece * 54 + 60), ''), '\s+$', '') END AS content FROM p"""
+
+
+@query("chk7_packed_rows", CHK7)
 def packed_rows(i):
     tables = i.dealt("documents").select("doc_id", F.lit("a | b").alias("header"), F.split("text", "\n").alias("rows"), F.col("source").alias("prefix"))
     return c.packed_rows(tables, ChunkSettings(60, 6))
 
 
+@query("chk7_packed_tables", CHK7)
+def packed_tables(i):
+    """The same for tables whose rows are rows of a table, in any partitions."""
+    docs = i.dealt("documents")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "row"))
+    return tables.packed_tables(rows, docs.select("doc_id", F.lit("a | b").alias("header"), F.col("source").alias("prefix")), ChunkSettings(60, 6))
+
+
+PART_LINE = "concat_ws(' | ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)"
+PART_HEADER = "p_partkey | p_name | p_brand | p_type | p_size | p_retailprice"
+
+
+@query("src6_packed_table", "WITH RECURSIVE " + blocks_sql(
+    rf"SELECT 'part' AS doc_id, row_number() OVER (ORDER BY p_partkey) AS n, {PART_LINE} AS row, len(regexp_extract_all({PART_LINE}, '\S+')) AS c FROM part", "48"
+) + f""" SELECT doc_id, CAST(blk AS INTEGER) AS part, concat('Parts', chr(10), chr(10), '{PART_HEADER}', chr(10), string_agg(row, chr(10) ORDER BY n)) AS content
+    FROM blocks GROUP BY doc_id, blk""")
+def packed_table(i):
+    """One table of all parts, from its rows to blocks under its header."""
+    lines = files.row_lines(i.part, i.part.columns).select(F.lit("part").alias("doc_id"), F.col("p_partkey").alias("row_no"), F.col("line").alias("row"))
+    top = i.spark.createDataFrame([("part", " | ".join(i.part.columns), "Parts")], "doc_id string, header string, prefix string")
+    return tables.packed_tables(lines, top, ChunkSettings(60, 6))
+
+
 @query("chk8_breadcrumbs", """SELECT doc_id, concat('**[SECTION] ', source, CASE WHEN n_chars % 4 > 1 THEN concat(' — part ', doc_id % 3, '/', n_chars % 4) ELSE '' END, '**', chr(10), chr(10), text) AS content FROM documents""")
 def breadcrumbs(i):
     part, parts = F.pmod("doc_id", F.lit(3)), F.pmod("n_chars", F.lit(4))

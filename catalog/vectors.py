@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from catalog.inputs import DERIVED, with_
+from catalog.inputs import CRC_STEPS, DERIVED, crc_sql, with_
 from graphloom.functions.encoders import HashingEncoder
 from graphloom.operators import proximity as p
 from graphloom.operators import vectors as v
@@ -54,11 +54,19 @@ def texts(i):
     return v.texts_to_embed(chunks, i.fx_entities, i.fx_relationships)
 
 
-@query("vec2_encoded")
+ENCODED = f"""{CRC_STEPS},
+    said AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\\s\\x{{A0}}]+')) AS w FROM documents) GROUP BY ALL),
+    codes AS (SELECT w, {crc_sql("w")} AS code FROM (SELECT DISTINCT w FROM said), crc),
+    sums AS (SELECT doc_id, code % 64 AS p, sum(CASE WHEN (code >> 16) & 1 = 1 THEN n ELSE -n END) AS x FROM said JOIN codes USING (w) GROUP BY ALL),
+    coded AS (SELECT doc_id, p, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM sums WHERE x <> 0)"""
+
+
+@query("vec2_encoded", f"WITH {ENCODED} SELECT doc_id, CAST(p AS INTEGER) AS p, round(CAST(x AS FLOAT)::DOUBLE, 5) AS x FROM coded")
 def encoded(i):
     """Whole documents encoded by the hashing encoder."""
     out = encode(i.dealt("documents").select("doc_id", "text"), HashingEncoder(64))
-    return out.select("doc_id", F.posexplode("embedding").alias("p", "x")).where("x <> 0")
+    numbers = out.select("doc_id", F.posexplode("embedding").alias("p", "x")).where("x <> 0")
+    return numbers.withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 @query("vec3_unit", """
