@@ -80,12 +80,14 @@ def table_blocks(rows: DataFrame, tables: DataFrame, max_tokens: int) -> DataFra
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
 
     def told(part: pd.DataFrame) -> pd.DataFrame:
+        """What the first and the last table of a run do to a block; tables between them lie in the run whole."""
         part = part.sort_values("pos")
-        out, started = transfer(part["cost"].to_numpy(), int(part["room"].iloc[0]))
-        return pd.DataFrame({"doc_id": part["doc_id"].iloc[:1], "run": part["run"].iloc[:1], "after": [out], "started": [started]})
+        edges = {part["doc_id"].iloc[0], part["doc_id"].iloc[-1]}
+        found = [(doc, *transfer(own["cost"].to_numpy(), int(own["room"].iloc[0]))) for doc, own in part.groupby("doc_id", sort=False) if doc in edges]
+        return pd.DataFrame(found, columns=["doc_id", "after", "started"]).assign(run=part["run"].iloc[0])[["doc_id", "run", "after", "started"]]
 
     runs_schema = T.StructType([doc, *longs("run"), T.StructField("after", T.ArrayType(T.LongType())), T.StructField("started", T.ArrayType(T.LongType()))])
-    runs = laid.select("doc_id", "run", "pos", "cost", "room").groupBy("doc_id", "run").applyInPandas(told, runs_schema)
+    runs = laid.select("doc_id", "run", "pos", "cost", "room").groupBy("run").applyInPandas(told, runs_schema)
 
     def composed(part: pd.DataFrame) -> pd.DataFrame:
         """Where each run of a table is entered: one row for ``RUN_ROWS`` of its rows."""
@@ -99,12 +101,15 @@ def table_blocks(rows: DataFrame, tables: DataFrame, max_tokens: int) -> DataFra
     entries = runs.groupBy("doc_id").applyInPandas(composed, T.StructType([doc, *longs("run", "full", "before")]))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        new = starts(part["cost"].to_numpy(), int(part["room"].iloc[0]), int(part["full"].iloc[0]))
-        return part[["doc_id", "row_no", "row"]].assign(block=part["before"].to_numpy() + np.cumsum(new) - 1)
+        part, blocks = part.sort_values("pos"), []
+        for _, own in part.groupby("doc_id", sort=False):
+            room, full, before = int(own["room"].iloc[0]), own["full"].iloc[0], own["before"].iloc[0]
+            new = starts(own["cost"].to_numpy(), room, max(room, -1) + 1 if pd.isna(full) else int(full))
+            blocks.append((0 if pd.isna(before) else int(before)) + np.cumsum(new) - 1)
+        return part[["doc_id", "row_no", "row"]].assign(block=np.concatenate(blocks))
 
     out_schema = T.StructType([doc, T.StructField("row_no", rows.schema["row_no"].dataType), T.StructField("row", T.StringType()), *longs("block")])
-    return laid.join(entries, ["doc_id", "run"]).groupBy("doc_id", "run").applyInPandas(packed, out_schema)
+    return laid.join(entries, ["doc_id", "run"], "left").groupBy("run").applyInPandas(packed, out_schema)
 
 
 def packed_tables(rows: DataFrame, tables: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
