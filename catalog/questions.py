@@ -210,7 +210,7 @@ def context_block(i):
     return r.context_block(ctx, r.relation_lines(near, g.edge_keywords(i.fx_walk)))
 
 
-@query("ret13_graph_text", with_(f"""{GRAPH_BRANCH}, {CTX_RANKED},
+RET13 = f"""{GRAPH_BRANCH}, {CTX_RANKED},
     kws AS (SELECT source_id, target_id, string_agg(keyword, ',' ORDER BY keyword) AS kw FROM ekw GROUP BY ALL),
     lines AS (SELECT qid, seed, string_agg(concat('     • ', seed, ' → ', target, ' [', kw, '] (strength: ', printf('%.2f', h1.strength + 1e-9), '): ', left(e.description, 80)), chr(10) ORDER BY place) AS rel
               FROM h1 JOIN kws ON kws.source_id = seed AND kws.target_id = target JOIN edges e ON e.source_id = seed AND e.target_id = target GROUP BY ALL),
@@ -219,13 +219,24 @@ def context_block(i):
     SELECT qid, seed, rank AS place, concat('**', seed, '** (', type, ')', chr(10), '    ', description,
            CASE WHEN rel IS NOT NULL THEN concat(chr(10), '    Relationships:', chr(10), rel) ELSE '' END,
            CASE WHEN n_neighbours > n_relationships THEN concat(chr(10), '    ', n_neighbours - n_relationships, ' more connections: ', names, '...') ELSE '' END) AS text
-    FROM ck LEFT JOIN lines USING (qid, seed) LEFT JOIN names USING (qid, seed)"""))
+    FROM ck LEFT JOIN lines USING (qid, seed) LEFT JOIN names USING (qid, seed)"""
+
+
+@query("ret13_graph_text", with_(RET13))
 def graph_text(i):
     near, ctx = _contexts(i)
     edges = g.summarised_edges(i.fx_walk, strength="avg").select("source", "target", "description")
     return r.graph_text(ctx, near, edges, g.edge_keywords(i.fx_walk))
 
 
+@query("ret13_context", with_(f"""WITH blocks AS (FROM ({RET13}))
+    SELECT qid, concat('{fixed.GRAPH_CONTEXT_TITLE}', chr(10), chr(10), string_agg(concat(place, '. ', text), chr(10) || chr(10) ORDER BY place), chr(10)) AS context
+    FROM blocks GROUP BY qid"""))
+def graph_context(i):
+    """The same as one text a question."""
+    return r.graph_context(graph_text(i))
+
+
 @query("ret12_full_context")
 def full_context(i):
     """Questions about parts answered end to end with the hashing encoder over all documents."""
