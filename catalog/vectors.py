@@ -208,7 +208,21 @@ def document_map(i):
     return v.document_map(i.fx_vectors)
 
 
-@query("vec12_search_text")
+def coded_sql(name: str, key: str, text: str, table: str) -> str:
+    """WITH entries up to ``name`` (key, p, x): unit vectors of the hashing encoder with 64 numbers, without zeros."""
+    return f"""{name}_w AS (SELECT k, w, count(*) AS n FROM (SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[^\\s\\x{{A0}}]+')) AS w FROM {table}) GROUP BY ALL),
+    {name}_c AS (SELECT w, {crc_sql("w")} AS code FROM (SELECT DISTINCT w FROM {name}_w), crc),
+    {name}_s AS (SELECT k, code % 64 AS p, sum(CASE WHEN (code >> 16) & 1 = 1 THEN n ELSE -n END) AS x FROM {name}_w JOIN {name}_c USING (w) GROUP BY ALL),
+    {name} AS (SELECT k, p, CAST(x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS FLOAT)::DOUBLE AS x FROM {name}_s WHERE x <> 0)"""
+
+
+@query("vec12_search_text", with_(f"""WITH {CRC_STEPS}, {coded_sql("dv", "doc_id", "text", "documents")}, {coded_sql("qv", "qid", "question", "fx_questions")},
+    ds AS (SELECT doc_id, coalesce(sum(x * x), 0) AS size FROM documents LEFT JOIN dv ON k = doc_id GROUP BY doc_id),
+    qs AS (SELECT qid, coalesce(sum(x * x), 0) AS size FROM fx_questions LEFT JOIN qv ON k = qid GROUP BY qid),
+    dots AS (SELECT q.k AS qid, d.k AS doc_id, sum(q.x * d.x) AS dot FROM qv q JOIN dv d USING (p) GROUP BY ALL),
+    far AS (SELECT qid, doc_id, ds.size + qs.size - 2 * coalesce(dot, 0) AS distance FROM ds CROSS JOIN qs LEFT JOIN dots USING (qid, doc_id)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), doc_id) AS INTEGER) AS place FROM far QUALIFY place <= 3)
+    SELECT qid, place, doc_id AS idx, concat('doc', doc_id) AS doc_id, round(1 / (1 + distance), 6) AS score FROM r"""))
 def search_text(i):
     """Nearest documents of every user turn, by the hashing encoder."""
     store = encode(
