@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import query
 from catalog.graph import NODES
+from catalog.links import near, ratio_sql
+from catalog.records import spotted_sql
 from catalog.inputs import DERIVED, with_
 from catalog.vectors import CENTRES, centres
 from catalog.walk import HOPS, found, walk_edges
@@ -55,7 +57,21 @@ def known(i):
     return r.known_entities(i.fx_asked, i.fx_entities).select("qid", "low")
 
 
-@query("ret4_question_entities")
+@query("ret4_question_entities", with_(rf"""WITH RECURSIVE dict AS (SELECT lower(entity_name) AS low, min(ord) AS ord, arg_max(entity_name, (ord, entity_name)) AS entity FROM fx_entities GROUP BY 1),
+    known AS ({KNOWN}),
+    words AS (SELECT qid, list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '') AS w FROM fx_asked),
+    starts AS (SELECT qid, w, unnest(range(0, len(w))) AS i FROM words),
+    runs AS (SELECT qid, w, i, unnest(range(1, least(3, len(w) - i) + 1)) AS n FROM starts),
+    spoken AS (SELECT qid, i, n, lower(array_to_string(list_slice(w, i + 1, i + n), ' ')) AS phrase FROM runs),
+    open_ AS (SELECT s.* FROM spoken s LEFT JOIN known k ON k.qid = s.qid AND k.low = s.phrase WHERE k.qid IS NULL),
+    {ratio_sql(f"SELECT a, b FROM (SELECT DISTINCT phrase AS a FROM open_ WHERE phrase <> ''), (SELECT low AS b FROM dict WHERE length(low) >= 4) WHERE {near(0.9)}")},
+    close AS (SELECT a AS phrase, arg_min(entity, (ord, low)) AS entity FROM ratios JOIN dict ON b = low WHERE score > 0.9 GROUP BY a),
+    named AS (SELECT qid, 0 AS level, ord AS pos, 0::BIGINT AS n, entity FROM known JOIN dict USING (low)
+        UNION ALL SELECT qid, 1, i, n, entity FROM open_ JOIN close USING (phrase)),
+    {spotted_sql('qid', 'question', 'fx_asked')},
+    every AS (FROM named UNION ALL SELECT qid, 2, place, 0, entity FROM spotted WHERE qid NOT IN (SELECT qid FROM named)),
+    firsts AS (SELECT qid, entity, min({{'level': level, 'pos': pos, 'n': n}}) AS f FROM every GROUP BY ALL)
+    SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY f, entity) AS INTEGER) AS place, entity FROM firsts QUALIFY place <= 5"""))
 def question_entities(i):
     return r.question_entities(i.fx_asked, i.fx_entities)
 

@@ -175,10 +175,14 @@ def existing(i):
     return r.existing_names(asked, i.fx_entities)
 
 
-@query("ext16_spotted", r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '[À-ɏ]', '_', 'g') AS plain FROM documents),
-    e AS (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(plain, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), regexp_extract_all(text, 'GPT|API|LLM|RAG|AI|ML|DL'))) AS entity FROM t),
-    p AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY -length(entity), entity) - 1 AS INTEGER) AS place, entity FROM e)
-    SELECT * FROM p WHERE place < 5""")
+def spotted_sql(key: str, text: str, table: str) -> str:
+    """WITH entries up to ``spotted`` (key, place, entity): title-case runs and acronyms, longest first, five at most."""
+    return rf"""st AS (SELECT {key}, {text} AS t, regexp_replace({text}, '[À-ɏ]', '_', 'g') AS plain FROM {table}),
+    se AS (SELECT DISTINCT {key}, unnest(list_concat(regexp_extract_all(plain, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), regexp_extract_all(t, '{"|".join(fixed.ACRONYMS)}'))) AS entity FROM st),
+    spotted AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY -length(entity), entity) - 1 AS INTEGER) AS place, entity FROM se QUALIFY place < 5)"""
+
+
+@query("ext16_spotted", f"WITH {spotted_sql('doc_id', 'text', 'documents')} SELECT * FROM spotted")
 def spotted(i):
     """Entity mentions spotted in whole documents."""
     found = i.documents.select("doc_id", F.posexplode(r.spot_entities(F.col("text"))).alias("place", "entity"))
