@@ -65,7 +65,7 @@ class LineRules:
     ``upper_share`` of its ASCII letters are capitals and it has ``shouting_words`` words or more; it
     has fewer than ``short_words`` words and no sign that ends a sentence (navigation); one word makes
     up more than ``same_word_share`` of ``same_words`` words or more; it has a phrase of
-    ``BOILERPLATE``; or it equals an earlier line. A document is rejected if more than ``lost_share``
+    ``BOILERPLATE`` as whole words; or it equals an earlier line. A document is rejected if more than ``lost_share``
     of its words are in failed lines.
     """
 
@@ -154,7 +154,9 @@ def measure(block: Block, rules: LineRules) -> dict[str, np.ndarray]:
         run = np.flatnonzero(new)
         np.maximum.at(common, w_line[order[run]], np.diff(np.concatenate((run, [len(order)]))))
     framed = np.zeros(n_lines, bool)
-    at = [m.start() for m in _PHRASES.finditer(data.tobytes())]
+    # Each document by itself: a phrase lies in one document, and its edges are judged inside it.
+    raw, offsets = data.tobytes(), block.offsets.tolist()
+    at = [low + m.start() for low, high in zip(offsets, offsets[1:]) for m in _PHRASES.finditer(raw[low:high])]
     framed[np.searchsorted(l_start, np.array(at, np.int64), "right") - 1] = True
 
     failed = used & (
@@ -174,7 +176,8 @@ def measure(block: Block, rules: LineRules) -> dict[str, np.ndarray]:
     return out
 
 
-_PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)).encode(), re.IGNORECASE)
+#: The phrases as whole words; bytes of larger characters count as letters.
+_PHRASES = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:" + "|".join(map(re.escape, BOILERPLATE)).encode() + rb")(?![A-Za-z0-9\x80-\xff])", re.IGNORECASE)
 
 
 def _cleaned(block: Block, found: dict) -> list[str]:

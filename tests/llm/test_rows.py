@@ -53,6 +53,20 @@ def test_cleaning_rejects_by_line(spark):
     assert got[3].kept and got[3].clean_text == good
 
 
+def test_cleaning_does_not_look_at_neighbours(spark):
+    filler = " ".join(words(60, 1)) + ".\n"
+    halves = [filler + "and what they said was re", "ad more of it than they had to.\n" + filler, filler + "so please click", " here they stand and look.\n" + filler]
+    inside = [filler * 2 + "Spread more joy in all that you do.", filler * 2 + "Now read more of it in all that you do."]
+    for texts_ in (halves, inside, [x + "x" for x in inside]):
+        rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").coalesce(1)
+        together = {r.doc_id: tuple(r) for r in quality.clean_lines(rows).collect()}
+        for i in range(len(texts_)):
+            (alone,) = quality.clean_lines(rows.where(F.col("doc_id") == i)).collect()
+            assert tuple(alone) == together[i]
+    lines = {r.doc_id: r.n_lines_removed for r in quality.clean_lines(spark.createDataFrame(list(enumerate(inside)), "doc_id long, text string")).collect()}
+    assert lines[1] == lines[0] + 1  # "spread more" is no phrase
+
+
 def test_blocks_cut_at_documents():
     column = pa.array(texts())
     whole = next(common.blocks(column, size=1 << 30))
