@@ -84,9 +84,11 @@ def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every line of the block's non-empty documents."""
     breaks = np.flatnonzero(block.data == 10)
     filled = np.flatnonzero(block.offsets[1:] > block.offsets[:-1])
-    starts = np.sort(np.concatenate((block.offsets[filled], breaks + 1)))
-    docs = np.searchsorted(block.offsets, starts, "right") - 1
+    starts = np.concatenate((block.offsets[filled], breaks + 1))
+    docs = np.concatenate((filled, np.searchsorted(block.offsets, breaks, "right") - 1))
     # A text that ends with a line break has an empty last line; it starts where the next document does.
+    order = np.lexsort((docs, starts))
+    starts, docs = starts[order], docs[order]
     ends = np.sort(np.concatenate((breaks, block.offsets[filled + 1])))
     return starts, ends, docs
 
