@@ -30,8 +30,8 @@ from graphloom.llm.common import blocks, hash_spans, mix, partitions_for, select
 from graphloom.llm.components import components
 
 WORDS = 5
-#: Stands for a null doc_id: larger than any other.
-NO_ID = (1 << 63) - 1
+#: Rows without doc_id get numbers from here on, by the hash of their text: larger than any doc_id, and unlike for unlike texts.
+NO_ID = 1 << 62
 #: Buckets of more sets than this are hot.
 HOT = 4
 #: Shingles whose signatures one group of buckets has, about.
@@ -169,7 +169,8 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _ids(narrow: DataFrame) -> DataFrame:
-    return narrow.withColumn("doc_id", F.coalesce(narrow.doc_id.cast("long"), F.lit(NO_ID)))
+    unnamed = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    return narrow.withColumn("doc_id", F.coalesce(narrow.doc_id.cast("long"), unnamed))
 
 
 def sets_table(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -341,7 +342,8 @@ def near_duplicates(documents: DataFrame, bands: Bands = Bands(), words: int = W
 
     Null and empty texts, and texts of blanks, have an empty set and link with nothing: their component is
     their own id. Repeated rows give repeated results. Rows with one doc_id are one document for its links.
-    A null doc_id takes part as the largest id; its own component_id is null if no other id is reachable.
+    Rows with a null doc_id are a document for each text, larger than any id (ids are below 2^62); their component_id is
+    null if no id is reachable.
     Other columns are ignored, an empty table gives an empty result.
     """
     spark = documents.sparkSession
@@ -381,7 +383,7 @@ def near_duplicates(documents: DataFrame, bands: Bands = Bands(), words: int = W
     label = classes.select("set_a", "set_b", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     label = label.select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "set_a", "set_b").join(label, ["set_a", "set_b", "n"], "left")
-    real = lambda c: F.when(c != NO_ID, c)
+    real = lambda c: F.when(c < NO_ID, c)
     return out.select(
         real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
         real(F.coalesce("component", "doc_id")).alias("component_id"),

@@ -186,3 +186,12 @@ def test_texts_without_repeats_keep_their_columns(spark):
     assert set(got) == {1, 3, 4, 5}
     assert got[1].text == "Start here.\nand the end." and got[1].lang == "en" and got[1].n_chars == 24
     assert got[3].text == "a  b\nc" and got[5].text == "x "
+
+
+def test_rows_without_id_link_by_their_texts_only(spark):
+    a, b = " ".join(words(80, 31)), " ".join(words(80, 32))
+    rows = [(1, a), (None, a), (None, b), (2, b), (None, "quite another text of nine words in all here"), (None, None)]
+    got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert named == {1: 1, 2: 2} and len(got) == len(rows)
+    assert sorted((r.component_id or 0) for r in got if r.doc_id is None) == [0, 0, 1, 2]
