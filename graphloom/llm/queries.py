@@ -125,7 +125,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@_query("op11_variants")
+#: Words one edit apart share what is left of them without one letter: at the same place, or with a word itself.
+_VARIANTS = """
+    WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+    runs AS (SELECT run, concat(doc_id, ':', run) AS key, count(*) AS k FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+    ) WHERE length(run) >= 7 GROUP BY ALL),
+    hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT,
+            list_transform(range(0, strlen(key)), lambda j: ('0x' || substr(hex(encode(key)), 2 * j + 1, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, crc),
+    words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+        SELECT k, CASE WHEN h % 31 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM hashed
+    ) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    cuts AS (SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+    near AS (
+        SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+        UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word
+    ),
+    best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+             QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+    forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+              FROM words LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS here, 0 AS step FROM forms UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.here WHERE forms.form IS NOT NULL),
+    roots AS (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+@_query("op11_variants", _VARIANTS)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.damaged_words(read_table(spark, sf_dir, "documents")))
 
