@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import fixed
 from graphloom.functions.text import clip, strip
 from graphloom.operators.inference import Model, run_model
 
@@ -147,9 +148,9 @@ def judge_prompts(answers: DataFrame, context_chars: int = 2000) -> DataFrame:
 
 def parse_judgement(reply: Column) -> tuple[Column, Column]:
     """(score, reason) from a judge's reply; a score that is no whole number from 1 to 5 counts as 3."""
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(reply, fixed.FENCED_JSON, 1)
     body = F.when(fenced != "", fenced).otherwise(reply)
-    value = F.try_parse_json(F.regexp_extract(body, r"(?s)\{.*?\}", 0))
+    value = F.try_parse_json(F.regexp_extract(body, fixed.FIRST_OBJECT, 0))
     score = F.when(
         F.schema_of_variant(F.try_variant_get(value, "$.score", "variant")) == "BIGINT",
         F.try_variant_get(value, "$.score", "int"),

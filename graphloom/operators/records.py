@@ -300,7 +300,7 @@ def existing_names(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 def spot_entities(text: Column, limit: int = 5) -> Column:
     """Title-case runs and known acronyms in a text, longest first, at most ``limit``."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?U)(\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b)"), 1)
+    runs = F.regexp_extract_all(text, F.lit(f"(?U)({fixed.TITLE_CASE_RUN})"), 1)
     acronyms = F.regexp_extract_all(text, F.lit("(" + "|".join(fixed.ACRONYMS) + ")"), 1)
     keyed = F.transform(
         F.array_union(runs, acronyms), lambda e: F.struct((-F.length(e)).alias("minus"), e.alias("entity"))
