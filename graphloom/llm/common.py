@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import shared_dir
@@ -199,11 +199,12 @@ def marked(documents: DataFrame, marks: DataFrame) -> DataFrame:
     return named.join(known, "doc_id", "left_semi")
 
 
-def sampled(documents: DataFrame, marks: DataFrame, most: dict) -> pa.Table:
+def sampled(documents: DataFrame, marks: DataFrame, most: dict, most_bytes: int = 32_000_000) -> pa.Table:
     """mark and text of at most ``most[mark]`` documents of each mark, taken by the hash of their ids.
 
     The ids of the sample are as many as ``most`` says at any size of the tables, so they are broadcast and
-    no text is shuffled; the driver gets the texts of the sample.
+    no text is shuffled; the driver gets the texts of the sample. Texts above an eighth of ``most_bytes`` are
+    no part of it, and it ends, in the order of the hash, before the texts together have more than ``most_bytes``.
     """
     taken = None
     for mark, n in most.items():
@@ -212,9 +213,11 @@ def sampled(documents: DataFrame, marks: DataFrame, most: dict) -> pa.Table:
     if taken is None:
         return pa.table({"mark": pa.array([], pa.string()), "text": pa.array([], pa.string())})
     texts = select(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = texts.filter("text is not null").join(F.broadcast(taken), "doc_id")
+    found = texts.filter(F.octet_length("text") <= most_bytes // 8).join(F.broadcast(taken), "doc_id")
     # A doc_id may be in many rows; the sample stays as large as it was to be.
-    return found.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sum(most.values())).select("mark", "text").toArrow()
+    first = found.withColumn("place", F.xxhash64("doc_id", "text")).orderBy("place", "doc_id").limit(sum(most.values()))
+    so_far = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("held", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("held") <= most_bytes).select("mark", "text").toArrow()
 
 
 def folder(spark: SparkSession, name: str) -> str:

@@ -39,6 +39,8 @@ _SENTENCE_END[list(b".!?\n")] = True
 #: A document is judged by so many of its worst spans, their margins cut to this stretch.
 WORST = 3
 LEAST, MOST = -1.0, 1.5
+#: Spans whose subsequences are laid out at once, in scoring and against landmarks, and rows added to a fit at once.
+_SCORED, _COMPARED, _FITTED = 4_000, 256, 4_096
 #: Where training starts: a span is taken for toxic if it is so many times as common under the label.
 _CLEAR = 10
 _STEPS = [d for d in combinations(range(1, STRETCH), LENGTH - 1)]
@@ -188,9 +190,9 @@ class Model:
     def margins(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Margin of every span, never under the bias: a span that shares nothing toxic has the bias."""
         out = np.full(len(start), self.bias, np.float32)
-        for a in range(0, len(start), 20_000):
-            own, key, weight = subsequences(data, start[a : a + 20_000], end[a : a + 20_000])
-            n = min(20_000, len(start) - a)
+        for a in range(0, len(start), _SCORED):
+            own, key, weight = subsequences(data, start[a : a + _SCORED], end[a : a + _SCORED])
+            n = min(_SCORED, len(start) - a)
             maybe = self._filter[(key * np.uint32(2654435761)) >> np.uint32(14)]
             at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
             hit = self.keys[at] == key[maybe]
@@ -251,13 +253,16 @@ class Landmarks:
     def kernel(self, units: list[bytes]) -> np.ndarray:
         """Normalised kernel of units and landmarks."""
         out = np.zeros((len(units), self.table.shape[1]), np.float32)
-        own, key, weight = _laid(units)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        own, at, weight = own[hit], at[hit], weight[hit].astype(np.float32)
-        if len(own):
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            out[own[first]] = np.add.reduceat(self.table[at] * weight[:, None], first, axis=0)
+        for low in range(0, len(units), _COMPARED):
+            own, key, weight = _laid(units[low : low + _COMPARED])
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            own, at, weight = own[hit], at[hit], weight[hit].astype(np.float32)
+            if len(own):
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                rows = self.table[at]
+                rows *= weight[:, None]
+                out[low + own[first]] = np.add.reduceat(rows, first, axis=0)
         return out
 
     def features(self, kernel: np.ndarray) -> np.ndarray:
@@ -272,9 +277,14 @@ def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: floa
     w = np.zeros(x.shape[1])
     hold = np.diag(np.full(x.shape[1], ridge))
     for _ in range(rounds):
-        inside = y * (x @ w + LEAST) < 1
-        xi, yi, ci = x[inside].astype(np.float64), y[inside], cost[inside]
-        new = np.linalg.solve(xi.T @ (xi * ci[:, None]) + hold, xi.T @ (ci * (yi - LEAST)))
+        square, pull = hold.copy(), np.zeros(x.shape[1])
+        for low in range(0, len(x), _FITTED):
+            xi, yi, ci = x[low : low + _FITTED].astype(np.float64), y[low : low + _FITTED], cost[low : low + _FITTED]
+            inside = yi * (xi @ w + LEAST) < 1
+            xi, yi, ci = xi[inside], yi[inside], ci[inside]
+            square += xi.T @ (xi * ci[:, None])
+            pull += xi.T @ (ci * (yi - LEAST))
+        new = np.linalg.solve(square, pull)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -285,11 +295,13 @@ def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: floa
 class Training:
     """``positive`` and ``negative``: documents of each label in the sample, taken by the hash of their id.
 
+    Their texts have ``sample_bytes`` together at most, and none an eighth of that: the driver holds them.
     Half of the ``landmarks`` are the spans most tied to the label, half are others.
     """
 
     positive: int = 1_000
     negative: int = 2_000
+    sample_bytes: int = 16_000_000
     landmarks: int = 128
     ridge: float = 1e-4
     rounds: int = 5
@@ -298,12 +310,12 @@ class Training:
 def train(documents: DataFrame, marks: DataFrame, settings: Training = Training()) -> Model:
     """Fit the machine to a bounded sample of ``documents`` (doc_id, text) marked 0 or 1 by ``marks`` (doc_id, mark).
 
-    The sample has at most ``settings.positive`` and ``settings.negative`` documents, whatever the size of
-    the tables; it is what the driver holds. Null marks and texts are left out. Without a document of either
+    The sample has at most ``settings.positive`` and ``settings.negative`` documents and
+    ``settings.sample_bytes`` of text, whatever the size of the tables; it is what the driver holds. Null marks and texts are left out. Without a document of either
     mark every text gets the share of positive ones (0.5 without any) as its score.
     """
     known = marked(documents, marks.select("doc_id", F.col("mark").cast("int").alias("mark")))
-    rows = sampled(documents, known, {1: settings.positive, 0: settings.negative})
+    rows = sampled(documents, known, {1: settings.positive, 0: settings.negative}, settings.sample_bytes)
     marks_of = np.array(rows["mark"].to_pylist(), np.int64)
     taken = [rows["text"].filter(pa.array(marks_of == y)).combine_chunks() for y in (1, 0)]
     label = np.concatenate([np.full(len(t), y) for t, y in zip(taken, (1, 0))])
@@ -354,9 +366,9 @@ def train(documents: DataFrame, marks: DataFrame, settings: Training = Training(
     score = np.where(in_positive > 2, odds - np.log(_CLEAR), -1.0)
     # Fitting starts from the spans that are like a landmark tied to the label, common, or clear.
     near = []
-    for at in range(0, len(units), 4_000):
-        like = marks.kernel(units[at : at + 4_000])[:, : len(best)].max(axis=1, initial=0) > 0.1
-        near.append(at + np.flatnonzero(like | (in_negative[at : at + 4_000] > 5) | (score[at : at + 4_000] > 0)))
+    for at in range(0, len(units), _SCORED):
+        like = marks.kernel(units[at : at + _SCORED])[:, : len(best)].max(axis=1, initial=0) > 0.1
+        near.append(at + np.flatnonzero(like | (in_negative[at : at + _SCORED] > 5) | (score[at : at + _SCORED] > 0)))
     near = np.concatenate(near)
     size = np.array([len(u) for u in units])
     low = np.cumsum(size) - size
@@ -385,7 +397,7 @@ def train(documents: DataFrame, marks: DataFrame, settings: Training = Training(
         positive, times = np.unique(taken, return_counts=True)
         new = np.setdiff1d(np.concatenate((near, positive)), np.flatnonzero(place >= 0))
         place[new] = len(mapped) + np.arange(len(new))
-        mapped = np.concatenate([mapped, *(marks.features(marks.kernel([units[i] for i in new[k : k + 4_000].tolist()])) for k in range(0, len(new), 4_000))])
+        mapped = np.concatenate([mapped, *(marks.features(marks.kernel([units[i] for i in new[k : k + _SCORED].tolist()])) for k in range(0, len(new), _SCORED))])
         negative = np.flatnonzero((place >= 0) & usable & (in_negative > 0))
         x = np.concatenate((mapped[place[positive]], stretched, mapped[place[negative]]))
         y = np.concatenate((np.ones(len(positive) + len(gapped)), -np.ones(len(negative))))
@@ -477,7 +489,12 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
 
 def accepted(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All columns of the documents whose score is under ``threshold``."""
+    """All columns of the documents whose score is under ``threshold``, under the names they have.
+
+    Each row is judged by its whole text alone: repeated rows stay or go together, and null and empty texts
+    have the lowest score. Null doc_ids are rows like others, columns whose names clash are carried by their
+    places, and an empty table gives an empty one.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     kept: list[Scorer] = []  # one for each task

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,48 @@ def test_toxicity_edges(spark, machine):
     assert {round(r.score, 3) for r in toxicity.score(documents(spark), nothing).collect()} == {0.5}
 
 
+def plain_kernel(a: bytes, b: bytes) -> float:
+    def vector(span: bytes) -> Counter:
+        span, out = b"\x01" + span + b"\x01", Counter()
+        for places in combinations(range(len(span)), toxicity.LENGTH):
+            stretch = places[-1] - places[0] + 1
+            if stretch <= toxicity.STRETCH:
+                out[bytes(span[p] for p in places)] += toxicity.DECAY ** (stretch - toxicity.LENGTH)
+        return out
+
+    x, y = vector(a), vector(b)
+    size = sum(v * v for v in x.values()) ** 0.5 * sum(v * v for v in y.values()) ** 0.5
+    return sum(v * y[k] for k, v in x.items()) / size
+
+
+def test_kernel_and_margins_equal_plain():
+    marks = [b"blockhead", b"dunder", b"aaaaaaa", b"w1w2w3"]
+    units = [b"block-head", b"blockhead", b"aaaa", b"thunder", b"zzzzzz", "größe".encode(), *(w.encode() * 3 for w in words(600, 3))]
+    laid = toxicity.Landmarks(marks)
+    want = np.array([[plain_kernel(u, m) for m in marks] for u in units])
+    assert np.allclose(laid.kernel(units), want, atol=1e-5)
+    assert np.allclose(laid.root @ laid.kernel(marks) @ laid.root, np.eye(len(marks)), atol=1e-3)
+
+    w = np.array([0.9, -0.2, 0.4, 0.1])
+    model = toxicity.Model(laid.keys, laid.table @ (laid.root @ w), -1.0, np.zeros(3), 0.0, [])
+    end = np.cumsum([len(u) for u in units])
+    got = model.margins(np.frombuffer(b"".join(units), np.uint8), end - [len(u) for u in units], end)
+    assert np.allclose(got, np.maximum(want @ laid.root @ w, 0) - 1, atol=1e-5)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = [(i, "x" * (5_000 if i % 7 == 0 else 100)) for i in range(300)] + [(900, None), (901, ""), (5, "again")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("mark"))
+    for most, bound in (({0: 1_000, 1: 1_000}, 8_000), ({0: 20, 1: 10}, 10**9)):
+        taken = common.sampled(table, common.marked(table, marks), most, bound)
+        size = sum(map(len, taken["text"].to_pylist()))
+        assert size <= bound and taken.num_rows <= sum(most.values())
+        assert bound > 8_000 or (size > bound - 200 and max(map(len, taken["text"].to_pylist())) <= bound // 8)
+        assert set(taken["mark"].to_pylist()) == {0, 1}
+    assert common.sampled(empty(spark), common.marked(empty(spark), marks), {0: 5}, 100).num_rows == 0
+
+
 def test_spelled_words_end_with_their_document():
     """A text has the same spans alone and between texts that end and start with short tokens."""
     text = "they said you are a t o t a l f o o l"
