@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,7 +207,7 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str, end_id: int, wid
 
     Documents are written where they are read, in the order of the table. Strings of special tokens in a
     text are encoded as ordinary text, so ``end_id`` occurs at ends only; an id that does not fit raises.
-    Returns, stored in the shared folder, which document is where: file, part, n_bytes (of the file),
+    Returns, stored in the shared folder, which document is where: file, n_bytes (of the file),
     ordinal (from 0 in its file), doc_id. Null and empty texts have the end id alone; repeated rows and null
     doc_ids are written like others; other columns are ignored; an empty table writes no file.
     """
@@ -216,9 +215,9 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str, end_id: int, wid
         raise ValueError("width is 2 or 4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.of(tokenizer, True), TaskContext.get().partitionId()
+        encoder = Encoder.of(tokenizer, True)
         fs, root = file_system(path)
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.bin"
+        name = f"part-{uuid.uuid4().hex}.bin"
         out, written, n = None, [], 0
         for docs, encoded in _encoded(batches, encoder, end_id.to_bytes(4, "little")):
             if out is None:
@@ -232,16 +231,16 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str, end_id: int, wid
             written += docs
         if out is not None:
             out.close()
-            schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_bytes", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
+            schema = pa.schema([("file", pa.string()), ("n_bytes", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
             for at in range(0, len(written), 50_000):
                 ids = written[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(ids)), pa.array([part] * len(ids), pa.int32()), pa.array([n] * len(ids), pa.int64()),
+                    [pa.array([name] * len(ids)), pa.array([n] * len(ids), pa.int64()),
                      pa.array(np.arange(at, at + len(ids))), pa.array(ids, pa.int64())], schema=schema,
                 )
 
     narrow = select(documents, "doc_id", "text")
-    ddl = "file string, part int, n_bytes long, ordinal long, doc_id long"
+    ddl = "file string, n_bytes long, ordinal long, doc_id long"
     return stored(narrow.withColumn("doc_id", narrow.doc_id.cast("long")).mapInArrow(run, ddl), "flat-files")
 
 
@@ -324,11 +323,15 @@ def _unended(files: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
 
 def count_tokens(documents: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
-    """Write ``documents`` to flat files, scan them, and name the documents again: doc_id, part, ordinal, start, n_tokens."""
+    """Write ``documents`` to flat files, scan them, and name the documents again: doc_id, file, ordinal, start, n_tokens.
+
+    (file, ordinal) is a key: every row of ``documents`` is one row here, repeated rows and rows without a doc_id
+    too. start counts the ids of its file before the document. Null and empty texts have one token, the end id;
+    other columns are ignored; an empty table gives an empty one.
+    """
     path = folder(documents.sparkSession, "flat")
     written = write_flat(documents, path, tokenizer, end_id, width)
     files = written.groupBy("file").agg(F.max("n_bytes").alias("n_bytes"))
     counted = scan_flat(files, path, end_id, width)
-    return written.select("file", "part", "ordinal", "doc_id").join(counted, ["file", "ordinal"]).select(
-        "doc_id", "part", "ordinal", "start", "n_tokens"
-    )
+    named = written.select("file", "ordinal", "doc_id").join(counted, ["file", "ordinal"])
+    return named.select("doc_id", "file", "ordinal", "start", "n_tokens")

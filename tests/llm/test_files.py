@@ -149,6 +149,9 @@ def test_packing(spark):
     assert len(sequences) <= -(-tokens // 64) + 2
     assert packing.pack(empty(spark), WORD).count() == 0
 
+    assert len({(r.file, r.ordinal) for r in got}) == len(got)
+    many = docs.repartition(5 * spark.sparkContext.defaultParallelism)
+    assert len({(r.file, r.ordinal) for r in tokenfiles.count_tokens(many, BYTE, 50256).collect()}) == len(got)
 
 def test_packing_of_many_partitions(spark):
     n = 3 * spark.sparkContext.defaultParallelism
