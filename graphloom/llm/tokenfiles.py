@@ -25,6 +25,8 @@ GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64_000
 READ_TOKENS = 4_000_000
 BLOCK_BYTES = 4_000_000
+#: Stored documents of this size make one file.
+RANGE_BYTES = 64_000_000
 _CHUNK = 1_024
 
 FILE = pa.schema([
@@ -39,14 +41,25 @@ MANIFEST = pa.schema([
 ])
 
 
-def in_order(documents: DataFrame) -> DataFrame:
+def _ranges(documents: DataFrame, range_bytes: int) -> int:
+    """Two ranges a core, or more where the session's shuffles have more partitions and a range would exceed ``range_bytes``.
+
+    A worker learns words anew in every range, so ranges are not smaller than that. The size is the planner's estimate.
+    """
+    spark = documents.sparkSession
+    least = 2 * spark.sparkContext.defaultParallelism
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size // range_bytes, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def in_order(documents: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id and text in ascending order of doc_id over range partitions; equal ids in the order of their texts' hash.
 
     part is the number of the range, whatever task reads it.
     """
     narrow = select(documents, "doc_id", "text")
     narrow = narrow.select(narrow.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered = narrow.repartitionByRange(_ranges(documents, range_bytes), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
 
@@ -67,6 +80,7 @@ def write_parquet(
     group_tokens: int = GROUP_TOKENS,
     page_bytes: int = PAGE_BYTES,
 ) -> DataFrame:
+    range_bytes: int = RANGE_BYTES,
     """Write the ids of every document, ``end_id`` after each, to Parquet files under ``path``.
 
     Files hold doc_id, start_in_file (ids of the file before the document), n_tokens and ids, in ascending
@@ -134,7 +148,7 @@ def write_parquet(
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MANIFEST)], schema=MANIFEST)
 
-    return stored(in_order(documents).mapInArrow(run, MANIFEST_DDL), "token-manifest")
+    return stored(in_order(documents, range_bytes).mapInArrow(run, MANIFEST_DDL), "token-manifest")
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_token_files_of_many_ranges(spark):
         rows = spark.range(900).selectExpr(
             "CASE WHEN id % 30 > 0 THEN id DIV 2 END AS doc_id", "repeat('word ', CAST(id % 7 AS INT)) || id % 90 AS text"
         )
-        manifest = tokenfiles.write_parquet(rows, path, BYTE)
+        manifest = tokenfiles.write_parquet(rows, path, BYTE, range_bytes=1)
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
