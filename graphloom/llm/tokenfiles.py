@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from graphloom.llm.tokens import Encoder
 GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64_000
 READ_TOKENS = 4_000_000
-BLOCK_BYTES = 4_000_000
 #: Stored documents of this size make one file.
 RANGE_BYTES = 64_000_000
+BLOCK_BYTES = 4_000_000
 _CHUNK = 1_024
 
 FILE = pa.schema([
@@ -79,8 +80,8 @@ def write_parquet(
     encoding: str = "dictionary",
     group_tokens: int = GROUP_TOKENS,
     page_bytes: int = PAGE_BYTES,
-) -> DataFrame:
     range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
     """Write the ids of every document, ``end_id`` after each, to Parquet files under ``path``.
 
     Files hold doc_id, start_in_file (ids of the file before the document), n_tokens and ids, in ascending
@@ -160,9 +161,21 @@ def with_bases(manifest: DataFrame) -> DataFrame:
 
 
 def _read(
-    manifest: DataFrame, path: str, first_id: int | None, last_id: int | None, shown: Callable[[pa.Table], pa.Table], ddl: str
+    manifest: DataFrame,
+    path: str,
+    first_id: int | None,
+    last_id: int | None,
+    shown: Callable[[pa.Table], pa.Table],
+    ddl: str,
+    columns: Sequence[str] = ("doc_id", "start", "n_tokens", "ids"),
 ) -> DataFrame:
-    """What ``shown`` makes of the row groups that can hold the wanted ids (doc_id, start, n_tokens, ids)."""
+    """What ``shown`` makes of the wanted columns of the row groups that can hold the wanted ids.
+
+    No other column's bytes are read, but for doc_id where ids are asked for by range.
+    """
+    ranged = first_id is not None or last_id is not None
+    stored_as = {"start": "start_in_file"}
+    held = [stored_as.get(c, c) for c in dict.fromkeys([*(["doc_id"] if ranged else []), *columns])]
     wanted = with_bases(manifest)
     if first_id is not None:
         wanted = wanted.filter(F.col("last_id") >= first_id)
@@ -174,13 +187,13 @@ def _read(
         for batch in batches:
             for file, group, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 with fs.open_input_file(f"{root}/{file}") as f:
-                    table = pq.ParquetFile(f).read_row_group(group)
+                    table = pq.ParquetFile(f).read_row_group(group, columns=held)
                 if first_id is not None:
-                    table = table.filter(pa.compute.field("doc_id") >= first_id)
+                    table = table.filter(pc.field("doc_id") >= first_id)
                 if last_id is not None:
-                    table = table.filter(pa.compute.field("doc_id") <= last_id)
-                start = pa.compute.add(table["start_in_file"], base)
-                yield from shown(pa.table({"doc_id": table["doc_id"], "start": start, "n_tokens": table["n_tokens"], "ids": table["ids"]})).to_batches()
+                    table = table.filter(pc.field("doc_id") <= last_id)
+                taken = {c: pc.add(table["start_in_file"], base) if c == "start" else table[c] for c in columns}
+                yield from shown(pa.table(taken)).to_batches()
 
     total = wanted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     tasks = partitions_for(total, READ_TOKENS, manifest.sparkSession.sparkContext.defaultParallelism)
@@ -188,12 +201,27 @@ def _read(
     return dealt.mapInArrow(run, ddl)
 
 
-def read_parquet(manifest: DataFrame, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
-    """Documents with an id from ``first_id`` to ``last_id`` (all, if both are None): doc_id, start, n_tokens, ids.
+_READ = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids": "array<int>"}
+
+
+def read_parquet(
+    manifest: DataFrame,
+    path: str,
+    first_id: int | None = None,
+    last_id: int | None = None,
+    columns: Sequence[str] = ("doc_id", "start", "n_tokens", "ids"),
+) -> DataFrame:
+    """``columns`` of the documents with an id from ``first_id`` to ``last_id`` (all, if both are None).
 
-    Only row groups that can hold such ids are opened. start counts the ids of all documents before.
+    Only row groups that can hold such ids are opened, and of them only the columns asked for: lengths and
+    places come from a few bytes a document, without its ids. start counts the ids of all documents before.
+    Rows without a doc_id are in no range, but among all; repeated ids are read as often as they were written;
+    an empty manifest gives no row. An unknown column raises ValueError.
     """
-    return _read(manifest, path, first_id, last_id, lambda table: table, "doc_id long, start long, n_tokens long, ids array<int>")
+    if unknown := [c for c in columns if c not in _READ]:
+        raise ValueError(f"no such columns: {unknown}")
+    ddl = ", ".join(f"{c} {_READ[c]}" for c in columns)
+    return _read(manifest, path, first_id, last_id, lambda table: table, ddl, columns)
 
 
 def read_digests(manifest: DataFrame, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
@@ -210,7 +238,8 @@ def read_digests(manifest: DataFrame, path: str, first_id: int | None = None, la
         counted = pa.array(np.diff(offsets).astype(np.int64))
         return pa.table({"doc_id": table["doc_id"], "start": table["start"], "n_tokens": counted, "ids_crc32": pa.array(crc, pa.int64())})
 
-    return _read(manifest, path, first_id, last_id, digested, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ddl = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return _read(manifest, path, first_id, last_id, digested, ddl, ("doc_id", "start", "ids"))
 
 
 # Flat files

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -88,6 +89,32 @@ def test_token_files_of_many_ranges(spark):
     assert known == sorted(known)
 
 
+def test_token_files_are_read_by_column(spark):
+    """Lengths and places come without the ids: their bytes may be gone from the file."""
+    path = folder(spark, "tokens")
+    rows = spark.range(300).selectExpr("id AS doc_id", "repeat('word ', CAST(id % 9 AS INT)) AS text")
+    manifest = tokenfiles.write_parquet(rows, path, BYTE, group_tokens=40)
+    whole = {r.doc_id: r for r in tokenfiles.read_parquet(manifest, path).collect()}
+    fs, root = file_system(path)
+    for file in {r.file for r in manifest.collect()}:
+        with fs.open_input_file(f"{root}/{file}") as f:
+            data = bytearray(f.read())
+            told = pq.ParquetFile(pa.BufferReader(bytes(data))).metadata
+        for group in range(told.num_row_groups):
+            ids = told.row_group(group).column(3)
+            low = ids.dictionary_page_offset or ids.data_page_offset
+            data[low : low + ids.total_compressed_size] = b"\xff" * ids.total_compressed_size
+        with fs.open_output_stream(f"{root}/{file}", compression=None) as out:
+            out.write(bytes(data))
+    some = tokenfiles.read_parquet(manifest, path, columns=["n_tokens", "doc_id", "start"])
+    assert some.columns == ["n_tokens", "doc_id", "start"]
+    assert {r.doc_id: (r.start, r.n_tokens) for r in some.collect()} == {d: (r.start, len(r.ids)) for d, r in whole.items()}
+    ranged = tokenfiles.read_parquet(manifest, path, 50, 59, columns=["n_tokens"]).collect()
+    assert sorted(r.n_tokens for r in ranged) == sorted(whole[d].n_tokens for d in range(50, 60))
+    with pytest.raises(ValueError, match="no such columns"):
+        tokenfiles.read_parquet(manifest, path, columns=["text"])
+
+
 def test_token_files_of_nothing(spark):
     path = folder(spark, "tokens")
     manifest = tokenfiles.write_parquet(empty(spark), path, BYTE)
@@ -122,6 +149,9 @@ def test_counted_documents(spark):
     encoder = Encoder.of(BYTE, True)
     want = Counter((r.doc_id, len(encoder.whole([r.text or ""])[0]) // 4 + 1) for r in docs.collect())
     assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    assert len({(r.file, r.ordinal) for r in got}) == len(got)
+    many = docs.repartition(5 * spark.sparkContext.defaultParallelism)
+    assert len({(r.file, r.ordinal) for r in tokenfiles.count_tokens(many, BYTE, 50256).collect()}) == len(got)
     assert tokenfiles.count_tokens(empty(spark), BYTE, 50256).count() == 0
 
 
@@ -149,9 +179,6 @@ def test_packing(spark):
     assert len(sequences) <= -(-tokens // 64) + 2
     assert packing.pack(empty(spark), WORD).count() == 0
 
-    assert len({(r.file, r.ordinal) for r in got}) == len(got)
-    many = docs.repartition(5 * spark.sparkContext.defaultParallelism)
-    assert len({(r.file, r.ordinal) for r in tokenfiles.count_tokens(many, BYTE, 50256).collect()}) == len(got)
 
 def test_packing_of_many_partitions(spark):
     n = 3 * spark.sparkContext.defaultParallelism
