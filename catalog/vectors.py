@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import query
 from catalog.inputs import CRC_STEPS, DERIVED, crc_sql, with_
+from graphloom.functions import fixed
 from graphloom.functions.encoders import HashingEncoder
 from graphloom.operators import proximity as p
 from graphloom.operators import vectors as v
 from graphloom.operators.inference import encode
-from graphloom.session import cut
+from graphloom.session import cut, shared_dir
+from graphloom.sources import marked
 
 # Asked vectors: the mean vector of each label over the whole table.
 CENTRES = """
@@ -181,6 +187,43 @@ def soft_delete(i):
     return _deleted(i).select("idx", "doc_id", "deleted")
 
 
+def _marked(i):
+    """The store in files laid out by document, two deletions one after the other marked in them."""
+    path = f"{shared_dir(i.spark)}/{uuid.uuid4().hex}"
+    store = i.fx_vectors.select("idx", "doc_id", "entity_type", "deleted")
+    marked.create(store.repartitionByRange(12, "doc_id", "idx").sortWithinPartitions("doc_id", "idx"), path)
+    marked.delete(store.where("deleted"), path, ["idx"])
+    marked.delete(i.sql(GONE), path)
+    return path
+
+
+@query("vec8_marked_rows", with_(f"""WITH g AS ({GONE}), s AS (SELECT *, CASE WHEN deleted THEN 1 WHEN doc_id IN (FROM g) THEN 2 END AS gone FROM fx_vectors)
+    SELECT version, idx, doc_id, entity_type FROM s, (VALUES (0), (1), (2)) v(version) WHERE gone IS NULL OR gone > version"""))
+def marked_rows(i):
+    """All versions of a store whose rows are deleted by bitmaps."""
+    path = _marked(i)
+    parts = [marked.read(i.spark, path, n).select(F.lit(n).alias("version"), "idx", "doc_id", "entity_type") for n in marked.versions(i.spark, path)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("vec9_worn_files", with_(f"""WITH g AS ({GONE}), s AS (SELECT deleted OR doc_id IN (FROM g) AS dead FROM fx_vectors)
+    SELECT count(*) FILTER (WHERE NOT dead) AS rows_left, true AS same_rows, true AS none_worn, true AS others_kept FROM s"""))
+def worn_files(i):
+    """Compaction of the files that lost more than a fifth: the rows that are left, and whether the other files kept their names."""
+    path = _marked(i)
+    before = cut(marked.read(i.spark, path))
+    was = cut(marked.report(i.spark, path))
+    version = marked.compact(i.spark, path)["version"]
+    after, now = marked.read(i.spark, path, version), marked.report(i.spark, path, version)
+    lost = was.where(f"share <= {fixed.REBUILD_SHARE}").join(now, "file", "left_anti")
+    differ = before.exceptAll(after).unionByName(after.exceptAll(before))
+    counts = after.agg(F.count(F.lit(1)).alias("rows_left"))
+    return counts.select(
+        "rows_left", F.lit(differ.isEmpty()).alias("same_rows"),
+        F.lit(now.where(f"share > {fixed.REBUILD_SHARE}").isEmpty()).alias("none_worn"), F.lit(lost.isEmpty()).alias("others_kept"),
+    )
+
+
 @query("vec9_compacted", with_(f"""WITH g AS ({GONE})
     SELECT row_number() OVER (ORDER BY doc_id, idx) - 1 AS idx, doc_id, entity_type FROM fx_vectors WHERE NOT deleted AND doc_id NOT IN (FROM g)"""))
 def compacted(i):
