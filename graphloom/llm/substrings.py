@@ -178,14 +178,17 @@ def remove_repeats(documents: DataFrame, threshold: int = THRESHOLD, seed: int =
 def without_repeats(documents: DataFrame, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
     """All columns of ``documents`` with their texts as ``remove_repeats`` leaves them, and n_chars of the new text.
 
-    Documents that lose all their words are left out; those without any word stay as they are.
+    Documents that lose all their words are left out; those without any word stay as they are, null texts null.
     """
-    keyed = _keyed(documents)
-    left = _judged(keyed, threshold, seed).filter("n_words = 0 or n_removed < n_words")
     named, (doc_id, text) = placed(documents, "doc_id", "text")
-    columns = {doc_id: F.col("doc_id"), text: F.col("text")}
+    absent = f"c{len(named.columns)}"
+    keyed = _keyed(named.withColumn(absent, F.col(text).isNull()).toDF(*documents.columns, "absent"))
+    left = _judged(keyed, threshold, seed).filter("n_words = 0 or n_removed < n_words")
+    columns = {doc_id: F.col("doc_id"), text: F.when(~F.col(absent), F.col("text"))}
     if "n_chars" in documents.columns:
-        columns[f"c{documents.columns.index('n_chars')}"] = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        own = f"c{documents.columns.index('n_chars')}"
+        counted = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        columns[own] = F.when(F.col("n_words") == 0, F.col(own)).otherwise(counted)
     return left.select(*[columns.get(c, F.col(c)).alias(c) for c in named.columns]).toDF(*documents.columns)
 
 

@@ -186,6 +186,11 @@ def test_texts_without_repeats_keep_their_columns(spark):
     assert set(got) == {1, 3, 4, 5}
     assert got[1].text == "Start here.\nand the end." and got[1].lang == "en" and got[1].n_chars == 24
     assert got[3].text == "a  b\nc" and got[5].text == "x "
+    assert got[4].text is None and got[4].n_chars == 0 and got[4].lang == "es"
+    clash = documents(spark)
+    kept = substrings.without_repeats(clash)
+    assert kept.columns == clash.columns
+    assert sum(r.text is None for r in kept.select("text").collect()) == sum(r.text is None for r in clash.select("text").collect()) > 0
 
 
 def test_rows_without_id_link_by_their_texts_only(spark):
