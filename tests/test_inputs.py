@@ -1,10 +1,11 @@
-"""Supplied tables as streams."""
+"""Supplied tables as streams and as appended files."""
 
 import glob
 
 from pyspark.sql import functions as F
 
 from catalog.inputs import Inputs
+from graphloom.sources import store
 
 
 def test_a_stream_reads_a_file_and_a_folder(spark, tmp_path):
@@ -21,3 +22,14 @@ def test_a_stream_reads_a_file_and_a_folder(spark, tmp_path):
         written = stream.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
         written.format("parquet").start(out).awaitTermination()
         assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
+def test_an_append_writes_files_by_size_not_by_tenant(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 4_000, 1, 16).select(F.when(F.col("id") % 2 == 0, F.col("id") % 1_000).alias("user_id"), "id")
+    store.append(rows, path)
+    store.append(rows.where("id < 100"), path)
+    assert 2 <= len(glob.glob(f"{path}/**/part-*", recursive=True)) <= 40
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect() + rows.where("id < 100").collect()))
+    assert back.where("user_id = 998").count() == 4
