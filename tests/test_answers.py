@@ -1,6 +1,7 @@
 """Vectors, questions, retrieval, dialogue, feedback, streams and the registry."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,22 @@ def test_model_failures_are_retried_and_isolated(spark):
     assert got == ["A", "", None, "C"]
 
 
+def test_models_see_small_parts_of_a_large_batch(spark):
+    # What a worker made for a batch of Arrow was as large as the batch; now its replies go on after some prompts.
+    df = spark.range(3_000).coalesce(1).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("p"), "id")).alias("prompt"), "id")
+    parts = inference.run_model(df, lambda prompts: [p.upper() for p in prompts], batch=4, parallel=8, error="why")
+    told = parts.collect()
+    assert [(r.id, r.reply, r.why) for r in told] == [(k, f"P{k}" if k % 7 else None, None) for k in range(3_000)]
+    seen = []
+    for rows in inference._slices(iter([pa.RecordBatch.from_pydict({"t": ["x" * 1_000] * 100})]), 30):
+        seen.append(rows.num_rows)
+    assert seen == [30, 30, 30, 10]
+    long = pa.RecordBatch.from_pydict({"t": ["x" * inference.SLICE_BYTES] * 3})
+    assert [r.num_rows for r in inference._slices(iter([long]), 30)] == [1, 1, 1]
+    vectors = inference.encode(df, HashingEncoder(8), "prompt").collect()
+    assert [r.id for r in vectors] == list(range(3_000)) and all(len(r.embedding) == 8 for r in vectors)
+
+
 def test_gleaning_asks_only_open_answers(spark):
     def model(prompts):
         return ["more <|COMPLETE|>" if p.startswith("Some records") else ("done <|COMPLETE|>" if "short" in p else "open") for p in prompts]
