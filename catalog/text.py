@@ -96,6 +96,15 @@ def _folder(i) -> str:
     return f"{shared_dir(i.spark)}/files-{uuid.uuid4().hex}"
 
 
+#: Tasks move their own files to the folder, which is new for each run; else the driver moves all of them one by one.
+COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def _many_files(suppliers):
+    """Suppliers in several parts a core: making a file takes longer than writing to it, so no task is to make them all."""
+    return suppliers.repartition(4 * suppliers.sparkSession.sparkContext.defaultParallelism, "s_suppkey")
+
+
 SUPPLIER_TEXT = "concat('supplier ', s_name, chr(10), 'in nation ', s_nationkey)"
 
 
@@ -103,7 +112,10 @@ SUPPLIER_TEXT = "concat('supplier ', s_name, chr(10), 'in nation ', s_nationkey)
 def text_files(i):
     """A text file for every supplier, written to the shared folder and read back."""
     path = _folder(i)
-    i.sql(f"SELECT s_suppkey, {SUPPLIER_TEXT} AS value FROM supplier").write.partitionBy("s_suppkey").text(path)
+    texts = i.sql(f"SELECT s_suppkey, coalesce({SUPPLIER_TEXT}, '') AS value FROM supplier")
+    whole = texts.groupBy("s_suppkey").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    # A file a row, all in one folder: a folder for each takes longer to write and to list.
+    _many_files(whole).select("value").write.options(**COMMIT).option("maxRecordsPerFile", 1).text(path)
     return files.read_documents(i.spark, path).select("text", "file_type")
 
 
@@ -113,8 +125,10 @@ def text_files(i):
 def routed_files(i):
     """Suppliers as text or JSON files, side by side: each goes to the parser of its suffix."""
     path = _folder(i)
-    i.sql(f"SELECT s_suppkey, {SUPPLIER_TEXT} AS value FROM supplier WHERE s_nationkey % 2 = 0").write.partitionBy("s_suppkey").text(path)
-    i.sql("SELECT s_suppkey, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_nationkey % 2 = 1").write.mode("append").partitionBy("s_suppkey").json(path)
+    texts = i.sql(f"SELECT s_suppkey, {SUPPLIER_TEXT} AS value FROM supplier WHERE s_nationkey % 2 = 0")
+    records = i.sql("SELECT s_suppkey, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_nationkey % 2 = 1")
+    _many_files(texts).write.options(**COMMIT).partitionBy("s_suppkey").text(path)
+    _many_files(records).write.options(**COMMIT).mode("append").partitionBy("s_suppkey").json(path)
     read = files.read_documents(i.spark, path)
     return read.select(F.regexp_extract("file_path", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey"), "file_type", "text")
 

@@ -33,3 +33,19 @@ def test_an_append_writes_files_by_size_not_by_tenant(spark, tmp_path):
     back = spark.read.parquet(path)
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect() + rows.where("id < 100").collect()))
     assert back.where("user_id = 998").count() == 4
+
+
+def test_supplier_files_are_written_by_many_tasks_and_whole(spark, tmp_path, monkeypatch):
+    from catalog import text
+
+    monkeypatch.setattr(text, "_folder", lambda i: str(tmp_path / "files"))
+    rows = [(k, f"S{k}", k % 25) for k in range(60)] + [(59, "S59", 59 % 25), (60, None, 4)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(str(tmp_path / "sf" / "supplier.parquet"))
+    got = text.text_files(Inputs(spark, str(tmp_path / "sf"))).collect()
+    said = [f"supplier S{k}\nin nation {k % 25}\n" for k in range(60)]
+    # A supplier that comes twice is one file; one without a name has an empty line.
+    assert sorted(r.text for r in got) == sorted([*said[:59], said[59] * 2, "\n"])
+    assert {r.file_type for r in got} == {"TXT"}
+    tasks = {p.rsplit("part-", 1)[1][:5] for p in glob.glob(str(tmp_path / "files" / "**" / "part-*"), recursive=True)}
+    assert len(tasks) > 4
+    assert not glob.glob(str(tmp_path / "files" / "s_suppkey=*"))
