@@ -37,6 +37,13 @@ def test_confidence_and_type(spark):
     assert [e["confidence"] for e in got] == [5, 1, 3, 3] and {e["entity_type"] for e in got} == {"other"}
 
 
+def test_fields_are_cleaned_once(spark):
+    for parse in (r.parse_entities, r.parse_relationships):
+        plan = parse(output(spark, SAMPLE))._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter " in line]
+        assert filters and not any(f"{costly}(" in line for line in filters for costly in ("regexp_replace", "split"))
+
+
 def test_quality(spark):
     rows = [("42", "a long description"), ("The", "a long description"), ("X", "a long description"),
             ("--", "a long description"), ("Fine", "nine char"), ("Fine", "ten chars!")]
