@@ -137,3 +137,17 @@ def test_rows_without_a_user_survive_a_tenant(spark):
     table = spark.createDataFrame([("7",), ("8",), (None,)], "user_id string")
     out = g.delete_tenant({"t": table}, "7")
     assert {r["user_id"] for r in out["t"].collect()} == {"8", None} and out["report"].first()["n"] == 1
+
+
+def test_edges_are_dealt_once(spark):
+    """Counts and text of an edge are made where its relationships are; an edge without a name at one end counts nothing but chunks."""
+    rows = [(1, "d", "a", "b", "x, y", "one", 2.0, "c1"), (2, "d", "a", "b", "y", "two", None, "c2"), (3, "d", "a", "b", "", "one", 3.0, "c1"),
+            (None, "d", "a", "b", None, "nought", 2.0, None), (5, "d", None, "b", "x", "lost", 1.0, "c1")]
+    r = spark.createDataFrame(
+        rows, "ord long, doc_id string, source_id string, target_id string, keywords string, description string, weight double, chunk_id string")
+    got = {x["source"]: tuple(x)[3:] for x in g.sync_edges(r).collect()}
+    assert got == {"a": ("nought; one; two", 2.0, 2, 2), None: ("", 1.0, 0, 1)}
+    built = {x["source"]: tuple(x)[2:] for x in g.build_edges(r).collect()}
+    assert built == {"a": (8.0, 2, 3, 2), None: (1.0, 0, 0, 1)}
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(g.sync_edges(r)) == 2 and shuffles(g.build_edges(r)) == 1
