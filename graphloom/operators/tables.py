@@ -17,7 +17,7 @@ from graphloom.functions import pieces
 from graphloom.functions.pieces import ChunkSettings
 from graphloom.functions.text import strip, token_count
 from graphloom.operators.spread import dense_index
-from graphloom.session import cut
+from graphloom.session import kept
 
 #: Rows of a run.
 RUN_ROWS = 16_384
@@ -74,7 +74,7 @@ def table_blocks(rows: DataFrame, tables: DataFrame, max_tokens: int) -> DataFra
     rooms = tables.select("doc_id", (F.lit(max_tokens) - top).cast("int").alias("room"))
     lines = rows.select("doc_id", "row_no", F.coalesce("row", F.lit("")).alias("row"))
     numbered = dense_index(lines, ["doc_id", "row_no"], "pos").withColumn("run", F.floor(F.col("pos") / RUN_ROWS).cast("long"))
-    laid = cut(numbered.withColumn("cost", token_count(F.col("row")).cast("long")).join(rooms, "doc_id"))
+    laid = kept(numbered.withColumn("cost", token_count(F.col("row")).cast("long")).join(rooms, "doc_id"))
     kind = laid.schema["doc_id"].dataType
     doc = T.StructField("doc_id", kind)
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]

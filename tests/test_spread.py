@@ -1,9 +1,12 @@
 """Numbering, hot keys and bounded windows against plain forms."""
 
+import os
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import spread
+from graphloom.session import kept
 
 
 def test_dense_index(spark):
@@ -72,3 +75,16 @@ def test_running_last_goes_back_any_distance(spark, monkeypatch):
     want = {(r["c"], r["t"]): r["l"] for r in df.withColumn("l", F.last("u", True).over(w)).collect()}
     got = {(r["c"], r["t"]): r["l"] for r in spread.running_last(df, ["c"], ["t"], F.col("u"), "l").collect()}
     assert got == want
+
+
+def test_kept_tables_are_whole_and_compressed(spark):
+    """Tables with texts are written in compressed columns, of the same rows and types; those without a type are cut."""
+    rows = [(i, f"text {i % 5} " * 200, [i, None], None if i % 3 else {"a": i}) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string, l array<long>, m map<string,long>").repartition(3)
+    out = kept(df)
+    files = out.inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert out.schema == df.schema and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    assert sum(os.path.getsize(f.split("file:")[1].replace("///", "/")) for f in files) < 50_000
+    assert kept(df.withColumn("none", F.lit(None))).count() == 500 and kept(df.limit(0)).count() == 0
+    assert all(f.endswith(".zstd.parquet") for f in spread.dense_index(df, ["id"]).inputFiles())
